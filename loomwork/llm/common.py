@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
@@ -24,6 +25,8 @@ NULL_ID = (1 << 63) - 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _U = np.uint64
 _LONG = 4096
 
@@ -54,6 +57,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- session
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers started from now on find this package where the driver found it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else (tests) a local one set here."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -80,6 +88,7 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -121,9 +130,9 @@ class Words:
 
     __slots__ = ("data", "start", "end", "hash", "first")
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, off: np.ndarray, hashes: bool = True, space: np.ndarray = _SPACE):
         self.data = data
-        word = ~_SPACE[data]
+        word = ~space[data]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         cut = off[:-1][off[:-1] < len(data)]
@@ -198,3 +207,8 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
 
 def sha256(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
+
+
+def with_field(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of df and one more column."""
+    return StructType([*df.schema.fields]).add(name, kind)

@@ -99,7 +99,7 @@ class Fingerprinter:
 
 def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = C.SHINGLE) -> DataFrame:
     """docs (doc_id, text) with a column `fingerprint`: hex."""
-    schema = docs.schema.add("fingerprint", "string")
+    schema = C.with_field(docs, "fingerprint", "string")
 
     def run(batches):
         maker = Fingerprinter(bins, bits, k)
@@ -125,36 +125,32 @@ def _pairs(rows, maker: Fingerprinter):
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (lot, key, ahead, doc_id, text): lots are runs of doc_id, each ended by the first rows of the next one.
+    """Rows (lot, ahead, key, doc_id, text): lots are runs of doc_id, each ended by the first rows of the next one.
 
     The last lot ends with the first document.  Cut points are doc_ids from one
-    pass over the id column, as many as partitions; the texts are shuffled once.
+    pass over the id column, as many as partitions (their number is the one
+    thing sent to tasks); the texts are shuffled once.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.id_key().alias("key"), "text")
-    n = max(4 * C.n_shuffle(spark), C.text_bytes(docs) // (16 << 20))
-    cuts = sorted({int(x) for x in docs.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))})
+    n = int(max(4 * C.n_shuffle(spark), C.text_bytes(docs) // (16 << 20)))
+    found = docs.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))
     least = docs.agg(F.min("key")).first()[0]
-    cuts = [c for c in cuts if least is not None and c > least and c < 1 << 53]
-    lot = F.lit(0)
-    if cuts:
-        lot = _search(len(cuts), F.lit(cuts))
-    rows = docs.withColumn("lot", lot)
-    last = len(cuts)
-    before = F.when(F.col("key") == F.lit(least), F.lit(last)).when(F.array_contains(F.lit(cuts or [-1]), F.col("key")), F.col("lot") - 1)
-    copies = F.array_compact(F.array(F.struct(F.col("lot").alias("lot"), F.lit(0).alias("ahead")), F.when(before.isNotNull(), F.struct(before.cast("int").alias("lot"), F.lit(1).alias("ahead")))))
-    return rows.select("doc_id", "key", "text", F.explode(copies).alias("at")).select("at.lot", "at.ahead", "key", "doc_id", "text")
-
-
-def _search(n: int, table):
-    """How many of the n sorted values are <= key, by bisection with built-in functions."""
-    at = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        probe = at + F.lit(step)
-        at = F.when((probe <= n) & (F.get(table, F.least(probe, F.lit(n)) - 1) <= F.col("key")), probe).otherwise(at)
-        step //= 2
-    return at
+    cuts = np.array(sorted({int(c) for c in found if c < 1 << 53 and least < c}), np.int64)
+
+    def place(batches):
+        for b in batches:
+            key = b.column("key").to_numpy()
+            lot = np.searchsorted(cuts, key, "right")
+            at = np.searchsorted(cuts, key, "left")
+            cut = (at < lot) | (key == least)
+            rows = np.concatenate((np.arange(len(key)), np.flatnonzero(cut)))
+            ahead = np.arange(len(rows)) >= len(key)
+            lots = np.concatenate((lot, np.where(key == least, len(cuts), lot - 1)[cut]))
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(lots.astype(np.int32)), pa.array(ahead), *(b.column(c).take(take) for c in ("key", "doc_id", "text"))], ["lot", "ahead", "key", "doc_id", "text"])
+
+    return docs.mapInArrow(place, "lot int, ahead boolean, key long, doc_id long, text string")
 
 
 def edited_report(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = C.SHINGLE) -> DataFrame:
