@@ -1,10 +1,56 @@
-"""The corpus pipeline (stages are added as their operators arrive)."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, source mix, tokens.
+
+Each stage gets all rows its predecessor kept, as Parquet read again, and all but
+the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from loomwork.llm import jaccard_join, mixing, pieces, substring_dedup, toxicity
+from loomwork.llm.common import read, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney models reject go."""
+    return toxicity.kept(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest doc_id stays."""
+    return jaccard_join.kept(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 50 words that a document with a smaller doc_id has are cut out."""
+    return substring_dedup.cleaned(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, to reach the sources' targets."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, and whether decoding them gives the text again."""
+    return pieces.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mix", mix_sources),
+    ("tokens", encode),
+]
+
+#: Neither the language models, nor the pieces can be put in SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

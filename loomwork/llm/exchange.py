@@ -26,11 +26,15 @@ _ROW = "part int, batch int, keys binary, extra binary"
 _ANSWER = "batch int, part int, answer binary"
 
 
+def batch_of(n_bytes: int, key: str = "doc_id"):
+    """The batch of an id."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1))), F.lit(max(1, n_bytes // BATCH_BYTES))).cast("int")
+
+
 def batched(docs: DataFrame, n_bytes: int, key: str = "doc_id") -> DataFrame:
     """docs with a column `batch`, dealt by it.  Uses of the result within one plan share the exchange."""
-    n = max(1, n_bytes // BATCH_BYTES)
     dealt = max(C.n_shuffle(docs.sparkSession), n_bytes // (64 << 20))
-    return docs.withColumn("batch", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1))), F.lit(n)).cast("int")).repartition(dealt, "batch")
+    return docs.withColumn("batch", batch_of(n_bytes, key)).repartition(dealt, "batch")
 
 
 def n_parts(n_bytes: int) -> int:
@@ -52,21 +56,28 @@ def _unpacked(cell: bytes, wide: bool) -> np.ndarray:
     return (np.frombuffer(cell, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(cell, np.uint8, n, 4 * n)
 
 
-def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, extra: str, answer: str, *, wide: bool, given: DataFrame | None = None) -> DataFrame:
-    """Answers (batch, part, answer) for the keys of each batch.
+class Answers:
+    """Rows (batch, part, answer) and the dtype of the packed answers."""
+
+    def __init__(self, rows: DataFrame, kind: str):
+        self.rows, self.kind = rows, kind
+
+
+def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, extra: str, answer: str, *, wide: bool, given: tuple[Answers, ...] = ()) -> Answers:
+    """Answers for the keys of each batch.
 
-    emit(table[, answers]) -> (sorted distinct uint64 keys, values of dtype `extra` or None).
+    emit(table, answers...) -> (sorted distinct uint64 keys, values of dtype `extra`).
     reduce(group index of each key, number of groups, values) -> one answer of dtype `answer` per key.
     wide=False sends 40 bits of a key beyond those that name its partition: for filters whose false hits do no harm.
-    given: answers of an earlier exchange, handed to emit.
+    given: answers of earlier exchanges, handed to emit.
     """
     bits = parts.bit_length() - 1
     edges = [i << (64 - bits) for i in range(1, parts)] if bits else []
 
-    def send(table: pa.Table, *got: pa.Table) -> pa.Table:
+    def send(table: pa.Table, *got: np.ndarray) -> pa.Table:
         rows: dict[str, list] = {"part": [], "batch": [], "keys": [], "extra": []}
         if table.num_rows:
-            keys, values = emit(table, *map(answers, got))
+            keys, values = emit(table, *got)
             cut = np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
             for p in np.flatnonzero(np.diff(cut)):
                 a, b = cut[p], cut[p + 1]
@@ -90,20 +101,22 @@ def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, e
         packed = [np.packbits(out[a:b]).tobytes() if answer == "bool" else out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table({"batch": table.column("batch").combine_chunks(), "part": table.column("part").combine_chunks(), "answer": pa.array([len(x).to_bytes(4, "little") + y for x, y in zip(cells, packed, strict=True)], pa.binary())})
 
-    def answers(table: pa.Table) -> np.ndarray:
-        return merged(table, given_type)
+    sent = consume(batches, given, send, _ROW) if given else batches.groupBy("batch").applyInArrow(lambda t: send(t), _ROW)
+    dealt = sent.repartition(min(parts, max(C.n_shuffle(batches.sparkSession), parts // 4)), "part")
+    return Answers(dealt.groupBy("part").applyInArrow(resolve, _ANSWER), answer)
 
-    given_type = getattr(given, "_answer", None)
-    if given is None:
-        sent = batches.groupBy("batch").applyInArrow(lambda t: send(t), _ROW)
-    else:
-        sent = batches.groupBy("batch").cogroup(given.groupBy("batch")).applyInArrow(lambda t, g: send(t, g), _ROW)
-    out = sent.repartition(min(parts, max(C.n_shuffle(batches.sparkSession), parts // 4)), "part").groupBy("part").applyInArrow(resolve, _ANSWER)
-    out._answer = answer
-    return out
 
+def packed(rows: DataFrame, column: str) -> Answers:
+    """A column of longs (column, batch), sorted within each batch, as answers."""
 
-def merged(table: pa.Table, kind: str) -> np.ndarray:
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.sort(table.column(column).to_numpy().astype(np.int64))
+        return pa.table({"batch": table.column("batch")[:1], "part": pa.array([0], pa.int32()), "answer": pa.array([len(x).to_bytes(4, "little") + x.tobytes()], pa.binary())})
+
+    return Answers(rows.groupBy("batch").applyInArrow(pack, _ANSWER), "int64")
+
+
+def _merged(table: pa.Table, kind: str) -> np.ndarray:
     """A batch's answers, in the order of its sorted keys."""
     if not table.num_rows:
         return np.empty(0, kind)
@@ -115,22 +128,15 @@ def merged(table: pa.Table, kind: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def consume(batches: DataFrame, given: list[DataFrame], use: Callable, schema: str) -> DataFrame:
+def consume(batches: DataFrame, given: tuple[Answers, ...], use: Callable, schema) -> DataFrame:
     """use(table, answers...) -> Arrow table, for each batch."""
-    kinds = [g._answer for g in given]
-    if len(given) == 1:
-        both = given[0]
-    else:
-        both = None
-        for i, g in enumerate(given):
-            g = g.withColumn("part", F.col("part") * len(given) + i)
-            both = g if both is None else both.union(g)
-
-    def run(table: pa.Table, got: pa.Table) -> pa.Table:
-        part = got.column("part").to_numpy()
-        return use(table, *(merged(got.filter(pa.array(part % len(kinds) == i)), k) for i, k in enumerate(kinds)))
+    kinds, both = [g.kind for g in given], None
+    for i, g in enumerate(given):
+        rows = g.rows.withColumn("part", F.col("part") * len(given) + i)
+        both = rows if both is None else both.union(rows)
 
-    def call(t: pa.Table, g: pa.Table) -> pa.Table:
-        return run(t, g)
+    def call(table: pa.Table, got: pa.Table) -> pa.Table:
+        part = got.column("part").to_numpy()
+        return use(table, *(_merged(got.filter(pa.array(part % len(kinds) == i)), k) for i, k in enumerate(kinds)))
 
     return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(call, schema)

@@ -9,7 +9,7 @@ Texts equal byte for byte are one representative.  Then:
    n - ceil(t * n) + 1 in the order of rising count.  Linked documents share a
    shingle of both prefixes.
 2. Similar documents are dealt into groups by their smallest shingle hash; a
-   large such set is split by a hash of the id.  Within a group all links are
+   set of more than `LARGE` is split by a hash of the id.  Within a group all links are
    found, and joined to cells.
 3. The matrix has a row (shingle, group) for each shingle in a prefix of the
    group.  A document asks the groups that hold a shingle of its prefix.  A
@@ -17,8 +17,9 @@ Texts equal byte for byte are one representative.  Then:
    members only if the bound reaches ceil(t * n).  Pairs already connected need
    no look: first each document asks, per shingle, only the group of the
    shingle's smallest component; after these links are joined, it asks every
-   group that still holds another component.  So all links between components
-   are tried, and a group of thousands of near copies isn't opened pair by pair.
+   group that still holds another component (a large set's parts ask as a
+   whole).  So all links between components are tried, and a group of thousands
+   of near copies isn't opened pair by pair.
 
 Result: per document the number of shingles and the smallest doc_id reachable.
 
@@ -29,6 +30,8 @@ count as linked; a null doc_id is its own component (null).
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +42,8 @@ from loomwork.llm import exchange as X
 from loomwork.llm.components import components
 
 GROUP = 192
-_SETS = "node long, n long, tokens binary, prefix array<long>, low long"
+LARGE = 1024
+_SETS = "node long, n long, tokens binary, prefix array<long>, low long, same string"
 
 
 def _need(n, percent: int):
@@ -52,6 +56,15 @@ def _sets(table: pa.Table, k: int):
         yield from enumerate(C.shingle_sets(C.Words(C.lowered(data), off), k), i)
 
 
+def _firsts(table: pa.Table, first: np.ndarray) -> pa.Table:
+    """The rows that stand for their text: their id is among first, or null."""
+    ids = table.column("node").to_pylist()
+    node = np.array([-1 if x is None else x for x in ids], np.int64)
+    at = np.minimum(np.searchsorted(first, node), max(0, len(first) - 1))
+    keep = (first[at] == node) if len(first) else np.zeros(len(node), bool)
+    return table.filter(pa.array(keep | np.array([x is None for x in ids], bool)))
+
+
 def _counted(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [s for _, s in _sets(table, k)]
     keys = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
@@ -67,12 +80,13 @@ def _total(group: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
 
 def _described(table: pa.Table, count: np.ndarray, k: int, percent: int) -> pa.Table:
     keys = _counted(table, k)[0]
-    ids = table.column("node").to_pylist()
-    rows: dict[str, list] = {c: [] for c in ("node", "n", "tokens", "prefix", "low")}
+    ids, texts = table.column("node").to_pylist(), table.column("text").to_pylist()
+    rows: dict[str, list] = {c: [] for c in ("same", "node", "n", "tokens", "prefix", "low")}
     for i, s in _sets(table, k):
         n = len(s)
         seen = count[np.searchsorted(keys, s)] if n else np.empty(0, np.uint8)
         shared = s[seen > 1]
+        rows["same"].append(hashlib.md5(texts[i].encode()).hexdigest())
         rows["node"].append(ids[i])
         rows["n"].append(n)
         if n == 0 or len(shared) < _need(n, percent):
@@ -84,7 +98,7 @@ def _described(table: pa.Table, count: np.ndarray, k: int, percent: int) -> pa.T
         rows["tokens"].append(shared.tobytes())
         rows["prefix"].append(shared[order].view(np.int64))
         rows["low"].append(int(C.mix(shared).min().view(np.int64)))
-    return pa.table({"node": pa.array(rows["node"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "tokens": pa.array(rows["tokens"], pa.binary()), "prefix": pa.array(rows["prefix"], pa.list_(pa.int64())), "low": pa.array(rows["low"], pa.int64())})
+    return pa.table({"node": pa.array(rows["node"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "tokens": pa.array(rows["tokens"], pa.binary()), "prefix": pa.array(rows["prefix"], pa.list_(pa.int64())), "low": pa.array(rows["low"], pa.int64()), "same": pa.array(rows["same"], pa.string())})
 
 
 class _Group:
@@ -176,39 +190,42 @@ def classes(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.md5("text").alias("same"))
     first = keyed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"))
-    lone = keyed.where("doc_id is null").select("same").distinct().join(first, "same", "left_anti").select("same", F.lit(None).cast("long").alias("node"))
 
     n_bytes = C.text_bytes(docs)
     parts = X.n_parts(n_bytes)
-    reps = docs.withColumn("same", F.md5("text")).join(first.union(lone).withColumnRenamed("node", "rep"), "same").where("doc_id <=> rep").select(F.col("doc_id").alias("node"), "text", "same")
-    batches = X.batched(reps, n_bytes, "node")
-    count = X.exchange(batches, parts, lambda t: _counted(t, k), _total, "uint32", "uint8", wide=False)
-    described = C.stored(X.consume(batches, [count], lambda t, c: _described(t, c, k, percent).append_column("same", t.column("same")), _SETS + ", same string"), "sets")
+    batches = X.batched(docs.withColumnRenamed("doc_id", "node"), n_bytes, "node")
+    chosen = X.packed(first.select("node", X.batch_of(n_bytes, "node").alias("batch")), "node")
+    count = X.exchange(batches, parts, lambda t, f: _counted(_firsts(t, f), k), _total, "uint32", "uint8", wide=False, given=(chosen,))
+    described = C.stored(X.consume(batches, (chosen, count), lambda t, f, c: _described(_firsts(t, f), c, k, percent), _SETS), "sets")
 
     live = described.where("tokens is not null and node is not null")
-    large = live.groupBy("low").count().where(F.col("count") > GROUP).select("low", F.ceil(F.col("count") / GROUP).alias("split"))
-    n_live = live.count()
-    lots = max(1, n_live // GROUP)
+    large = live.groupBy("low").count().where(F.col("count") > LARGE).select("low", F.ceil(F.col("count") / LARGE).alias("split"))
+    lots = max(1, live.count() // GROUP)
     sets = live.join(large, "low", "left").withColumn(
         "group",
         F.when(F.col("split").isNull(), F.pmod(F.xxhash64("low"), F.lit(lots))).otherwise(F.xxhash64("low", F.pmod(F.xxhash64("node"), F.coalesce("split", F.lit(1))))),
     )
-    sets = C.stored(sets.select("node", "n", "tokens", "prefix", "group"), "groups")
+    sets = C.stored(sets.select("node", "n", "tokens", "prefix", "group", F.col("split").isNotNull().alias("whole")), "groups")
 
     inside = sets.withColumn("comp", F.col("node")).select("group", "node", "n", "comp", "tokens").groupBy("group").applyInArrow(lambda t: _inside(t, percent), _LINKS)
     comps = _joined(sets.select("node", F.col("node").alias("comp")), C.stored(inside, "links"))
 
     def matrix() -> DataFrame:
         """Prefix shingles that more than one component has."""
-        rows = sets.join(comps, "node").select("node", "group", "comp", F.explode("prefix").alias("token"))
+        rows = sets.join(comps, "node").select("node", "group", "whole", "comp", F.explode("prefix").alias("token"))
         hub = rows.groupBy("token").agg(F.min(F.struct("comp", "group")).alias("hub"), F.max("comp").alias("last")).where("hub.comp <> last").select("token", "hub")
         return rows.join(hub, "token")
 
     star = matrix().where("comp <> hub.comp").select("node", F.col("hub.group").alias("target")).distinct()
     comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), C.stored(star, "asks"), percent), "links"))
-    rest = C.stored(matrix().select("token", "node", "group", "comp"), "matrix")
-    cells = rest.select("token", F.col("group").alias("target"), F.col("comp").alias("other")).distinct()
-    asks = rest.join(cells, "token").where("comp <> other and group < target").select("node", "target").distinct()
+    rest = C.stored(matrix().select("token", "node", "group", "comp", "whole"), "matrix")
+    cells = rest.groupBy("token", F.col("group").alias("target")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    unit = F.when(~F.col("whole"), F.col("node"))
+    units = rest.groupBy("token", "group", unit.alias("unit")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    asks = units.join(cells.withColumnsRenamed({"low": "low2", "high": "high2"}), "token").where("group < target and (low <> low2 or high <> high2 or low <> high)").select("unit", "group", "target").distinct()
+    asks = C.stored(asks, "asks")
+    members = sets.where("whole").select("node", "group")
+    asks = asks.where("unit is not null").select(F.col("unit").alias("node"), "target").union(members.join(asks.where("unit is null"), "group").select("node", "target"))
     comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), C.stored(asks, "asks"), percent), "links"))
 
     per_text = described.select("same", "node", "n").join(comps, "node", "left").select("same", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprints, jaccard_join, mixing, substring_dedup
+from loomwork.llm import fingerprints, jaccard_join, mixing, pieces, substring_dedup, toxicity
 from loomwork.llm.common import read
 
 
@@ -24,5 +24,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op5_mixing)}
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op5_mixing, op7_pieces, op8_toxicity)}
 ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE}

@@ -152,8 +152,8 @@ def repeats(docs: DataFrame, use, schema: str, window: int = WINDOW) -> DataFram
     batches = X.batched(docs, n_bytes)
     k = window // 2
     hit = X.exchange(batches, parts, lambda t: _probes(t, k), _hits, "uint8", "bool", wide=False)
-    earlier = X.exchange(batches, parts, lambda t, h: _owners(t, h, window), _elsewhere, "int64", "bool", wide=True, given=hit)
-    return X.consume(batches, [hit, earlier], lambda t, h, e: use(t, _kept(t, h, e, window)), schema)
+    earlier = X.exchange(batches, parts, lambda t, h: _owners(t, h, window), _elsewhere, "int64", "bool", wide=True, given=(hit,))
+    return X.consume(batches, (hit, earlier), lambda t, h, e: use(t, _kept(t, h, e, window)), schema)
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
