@@ -63,13 +63,14 @@ class Answers:
         self.rows, self.kind = rows, kind
 
 
-def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, extra: str, answer: str, *, wide: bool, given: tuple[Answers, ...] = ()) -> Answers:
+def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, extra: str, answer: str, *, wide: bool, given: tuple[Answers, ...] = (), note: Callable | None = None) -> Answers:
     """Answers for the keys of each batch.
 
     emit(table, answers...) -> (sorted distinct uint64 keys, values of dtype `extra`).
     reduce(group index of each key, number of groups, values) -> one answer of dtype `answer` per key.
     wide=False sends 40 bits of a key beyond those that name its partition: for filters whose false hits do no harm.
     given: answers of earlier exchanges, handed to emit.
+    note(distinct keys, their answers) -> bytes: kept for each partition in a row with batch -1.
     """
     bits = parts.bit_length() - 1
     edges = [i << (64 - bits) for i in range(1, parts)] if bits else []
@@ -99,7 +100,11 @@ def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, e
         out = reduce(group, int(new.sum()), values).astype(answer)
         cut = np.cumsum([0, *map(len, cells)])
         packed = [np.packbits(out[a:b]).tobytes() if answer == "bool" else out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"batch": table.column("batch").combine_chunks(), "part": table.column("part").combine_chunks(), "answer": pa.array([len(x).to_bytes(4, "little") + y for x, y in zip(cells, packed, strict=True)], pa.binary())})
+        cells = [len(x).to_bytes(4, "little") + y for x, y in zip(cells, packed, strict=True)]
+        whose, part = table.column("batch").to_pylist(), table.column("part").to_pylist()
+        if note:
+            cells, whose, part = [*cells, note(ranked[new], out[order][new])], [*whose, -1], [*part, part[0]]
+        return pa.table({"batch": pa.array(whose, pa.int32()), "part": pa.array(part, pa.int32()), "answer": pa.array(cells, pa.binary())})
 
     sent = consume(batches, given, send, _ROW) if given else batches.groupBy("batch").applyInArrow(lambda t: send(t), _ROW)
     dealt = sent.repartition(min(parts, max(C.n_shuffle(batches.sparkSession), parts // 4)), "part")
@@ -132,7 +137,7 @@ def consume(batches: DataFrame, given: tuple[Answers, ...], use: Callable, schem
     """use(table, answers...) -> Arrow table, for each batch."""
     kinds, both = [g.kind for g in given], None
     for i, g in enumerate(given):
-        rows = g.rows.withColumn("part", F.col("part") * len(given) + i)
+        rows = g.rows.where("batch >= 0").withColumn("part", F.col("part") * len(given) + i)
         both = rows if both is None else both.union(rows)
 
     def call(table: pa.Table, got: pa.Table) -> pa.Table:

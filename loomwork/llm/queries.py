@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprints, jaccard_join, licenses, mixing, pieces, quality, substring_dedup, toxicity
+from loomwork.llm import fingerprints, jaccard_join, language_model, licenses, mixing, pieces, quality, substring_dedup, toxicity
 from loomwork.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.likelihoods(read(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op7_pieces, op8_toxicity, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op6_language_model, op7_pieces, op8_toxicity, op9_quality)}
 ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE}
