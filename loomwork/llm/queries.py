@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprints, jaccard_join, language_model, licenses, mixing, pieces, quality, substring_dedup, toxicity
+from loomwork.llm import fingerprints, jaccard_join, language_model, licenses, mixing, neighbours, pieces, quality, substring_dedup, toxicity
 from loomwork.llm.common import read
 
 
@@ -44,5 +44,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op6_language_model, op7_pieces, op8_toxicity, op9_quality)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op6_language_model, op7_pieces, op8_toxicity, op9_quality, op10_neighbours)}
 ORACLE: dict[str, str] = {"op5_mixing": mixing.ORACLE}
