@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from loomwork.functions import numeric as N
 
@@ -56,7 +56,7 @@ def with_runs(rows: DataFrame, counts: str = "counts") -> DataFrame:
             cells = [None if c is None else decode_runs(c) for c in b.column(counts).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], [*b.schema.names, "runs"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("runs", "array<long>"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("runs", ArrayType(LongType())))
 
 
 def area(runs) -> Column:

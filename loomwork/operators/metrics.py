@@ -21,27 +21,27 @@ def confusion(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _steps(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, score, p, n, tp, fp, P, N): counts at each distinct score, and of all rows at or above it.
+    """(key, score, hits, misses, tp, fp, all_pos, all_neg): counts at each distinct score, and of all rows at or above it.
 
     Rows are summed per score before any window, so a window's partition has
     distinct scores only.
     """
-    each = rows.groupBy(*key, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
+    each = rows.groupBy(*key, "score").agg(F.count_if(F.col("y") == 1).alias("hits"), F.count_if(F.col("y") != 1).alias("misses"))
     down = W.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*key)
-    return each.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("P", F.sum("p").over(whole)).withColumn("N", F.sum("n").over(whole))
+    return each.withColumn("tp", F.sum("hits").over(down)).withColumn("fp", F.sum("misses").over(down)).withColumn("all_pos", F.sum("hits").over(whole)).withColumn("all_neg", F.sum("misses").over(whole))
 
 
 def ranking(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_pos, n_neg, auroc, auprc, best_f1, best_thr) of rows (key, y, score); one class: NaN, NaN, 0, 0.5."""
     s = _steps(rows, key)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.nullif(F.max("P") * F.max("N"), F.lit(0))
+    area = F.sum(F.col("misses") * (F.col("tp") - F.col("hits") / 2)) / F.nullif(F.max("all_pos") * F.max("all_neg"), F.lit(0))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    average = F.sum(F.col("p") * precision) / F.nullif(F.max("P"), F.lit(0))
-    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))
+    average = F.sum(F.col("hits") * precision) / F.nullif(F.max("all_pos"), F.lit(0))
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_pos"))
     s = s.withColumn("f1", f1)
     best = F.min(F.struct((-F.col("f1")).alias("f1"), F.col("score").alias("thr")))
-    out = s.groupBy(*key).agg(F.max("P").alias("n_pos"), F.max("N").alias("n_neg"), area.alias("auroc"), average.alias("auprc"), best.alias("best"))
+    out = s.groupBy(*key).agg(F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"), area.alias("auroc"), average.alias("auprc"), best.alias("best"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return out.select(*key, "n_pos", "n_neg", F.when(both, F.col("auroc")).otherwise(NAN).alias("auroc"), F.when(both, F.col("auprc")).otherwise(NAN).alias("auprc"), F.when(both, -F.col("best.f1")).otherwise(0.0).alias("best_f1"), F.when(both, F.col("best.thr")).otherwise(0.5).alias("best_thr"))
 
@@ -54,18 +54,18 @@ def grid_thresholds(rows: DataFrame, key: list[str], n: int = 500) -> DataFrame:
     """
     near = F.floor(F.col("score") * n).cast("int")
     at = F.when((near + 1) / F.lit(float(n)) <= F.col("score"), near + 1).when(near / F.lit(float(n)) > F.col("score"), near - 1).otherwise(near)
-    bins = rows.withColumn("i", F.least(F.greatest(at, F.lit(-1)), F.lit(n))).groupBy(*key, "i").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q"))
-    keys = bins.groupBy(*key).agg(F.sum("p").alias("P"), F.sum("q").alias("N"))
+    bins = rows.withColumn("i", F.least(F.greatest(at, F.lit(-1)), F.lit(n))).groupBy(*key, "i").agg(F.count_if(F.col("y") == 1).alias("hits"), F.count_if(F.col("y") != 1).alias("misses"))
+    keys = bins.groupBy(*key).agg(F.sum("hits").alias("all_pos"), F.sum("misses").alias("all_neg"))
     full = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).join(bins, [*key, "i"], "left")
     up = W.partitionBy(*key).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
-    full = full.withColumn("tp", F.coalesce(F.sum("p").over(up), F.lit(0))).withColumn("fp", F.coalesce(F.sum("q").over(up), F.lit(0)))
-    tp, fp, P, N_ = (F.col(c) for c in ("tp", "fp", "P", "N"))
-    full = full.withColumn("f1", N.divided(2 * tp, tp + fp + P, 0.0)).withColumn("j", N.divided(tp, P, 0.0) + N.divided(N_ - fp, N_, 0.0) - 1)
+    full = full.withColumn("tp", F.coalesce(F.sum("hits").over(up), F.lit(0))).withColumn("fp", F.coalesce(F.sum("misses").over(up), F.lit(0)))
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "all_pos", "all_neg"))
+    full = full.withColumn("f1", N.divided(2 * tp, tp + fp + pos, 0.0)).withColumn("j", N.divided(tp, pos, 0.0) + N.divided(neg - fp, neg, 0.0) - 1)
     first = lambda c: F.min(F.struct((-F.col(c)).alias("v"), "i"))
-    out = full.groupBy(*key).agg(F.max("P").alias("P"), F.max("N").alias("N"), first("f1").alias("a"), first("j").alias("b"))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
+    out = full.groupBy(*key).agg(F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"), first("f1").alias("a"), first("j").alias("b"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     pick = lambda c: F.when(both, c).otherwise(NAN)
-    return out.select(*key, pick(F.col("a.i") / float(n)).alias("thr_f1"), pick(-F.col("a.v")).alias("f1"), pick(F.col("b.i") / float(n)).alias("thr_j"), pick(-F.col("b.v")).alias("j"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+    return out.select(*key, pick(F.col("a.i") / float(n)).alias("thr_f1"), pick(-F.col("a.v")).alias("f1"), pick(F.col("b.i") / float(n)).alias("thr_j"), pick(-F.col("b.v")).alias("j"), "n_pos", "n_neg")
 
 
 def class_scores(rows: DataFrame, mapping: DataFrame, sample: str = "sample_id") -> DataFrame:

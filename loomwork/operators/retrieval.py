@@ -77,9 +77,9 @@ def head_map(names: list[str], wanted: list[str]) -> list[int]:
 
 def hash_vectors(texts: DataFrame, text: str = "text", width: int = 64) -> DataFrame:
     """texts with a `vector` of length 1, drawn from a generator seeded by the text's sha1: a stand-in for an encoder."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import ArrayType, FloatType, StructType
 
-    schema = StructType([*texts.schema.fields]).add("vector", "array<float>")
+    schema = StructType([*texts.schema.fields]).add("vector", ArrayType(FloatType()))
 
     def run(batches):
         import hashlib

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 
 def requests(rows: DataFrame, system: str, template: str, key: str = "report_id", **columns: str) -> DataFrame:
@@ -71,4 +71,4 @@ def scored(rows: DataFrame, model: Callable[[], Callable], columns: list[str], i
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(predict(*(b.column(c) for c in columns)), pa.list_(pa.float32()))], [*b.schema.names, into])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(into, "array<float>"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(into, ArrayType(FloatType())))

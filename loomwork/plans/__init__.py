@@ -1,4 +1,5 @@
 """Named queries over the test tables, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomwork.plans.catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

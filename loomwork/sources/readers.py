@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from loomwork.functions import text as T
 
@@ -169,7 +169,7 @@ def shards(spark: SparkSession, path: str, kind: str = "embeddings") -> DataFram
 
 def decode_arrays(rows: DataFrame, content: str = "content") -> DataFrame:
     """binaryFile rows with `pixels`, height and width: .npy content scaled to [0, 1] by its integer type."""
-    schema = StructType([*rows.schema.fields]).add("pixels", "array<float>").add("height", "int").add("width", "int")
+    schema = StructType([*rows.schema.fields]).add("pixels", ArrayType(FloatType())).add("height", "int").add("width", "int")
 
     def run(batches):
         for b in batches:
