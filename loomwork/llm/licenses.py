@@ -136,7 +136,8 @@ def _scored(docs: DataFrame, model: LicenceModel | None) -> DataFrame:
     spark = docs.sparkSession
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.regexp_extract_all(F.lower(x), F.lit(WORDS), F.lit(0)).alias("words")))
     found = F.filter(lines, lambda x: F.exists(x["words"], lambda w: w.isin(model.vocabulary)))
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode_outer(found).alias("at")).select("row", "doc_id", "at.line", "at.words")
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    lines = numbered.select("row", "doc_id", F.explode_outer(found).alias("at")).select("row", "doc_id", "at.line", "at.words")
     grams = lines.select("row", "doc_id", "line", F.explode_outer(F.array_distinct(F.concat("words", _runs(F.col("words"), 2), _runs(F.col("words"), 3)))).alias("gram"))
     weights = spark.createDataFrame([(g, [float(v) for v in model.weights[i]]) for g, i in model.grams.items()], "gram string, weight array<double>")
     hits = grams.join(F.broadcast(weights), "gram", "left")
