@@ -59,7 +59,7 @@ def asked(rows: DataFrame, provider: Callable[[], Callable], valid: Callable[[st
             status, answer, error, n = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(status, pa.string()), pa.array(answer, pa.string()), pa.array(error, pa.string()), pa.array(n, pa.int32())], [key, "status", "answer", "error", "attempts"])
 
-    schema = StructType([rows.schema[key]]).add("status", "string").add("answer", "string").add("error", "string").add("attempts", "int")
+    schema = StructType([rows.schema[key]]).add("status", "string").add("answer", "string").add("error", "string").add("attempts", "integer")
     return rows.select(key, "messages").mapInArrow(run, schema)
 
 

@@ -169,7 +169,7 @@ def shards(spark: SparkSession, path: str, kind: str = "embeddings") -> DataFram
 
 def decode_arrays(rows: DataFrame, content: str = "content") -> DataFrame:
     """binaryFile rows with `pixels`, height and width: .npy content scaled to [0, 1] by its integer type."""
-    schema = StructType([*rows.schema.fields]).add("pixels", ArrayType(FloatType())).add("height", "int").add("width", "int")
+    schema = StructType([*rows.schema.fields]).add("pixels", ArrayType(FloatType())).add("height", "integer").add("width", "integer")
 
     def run(batches):
         for b in batches:
