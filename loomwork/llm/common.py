@@ -6,6 +6,7 @@ done per Arrow batch in numpy, straight on the UTF-8 buffers.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -27,6 +28,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: All ASCII but letters and digits.
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
 _U = np.uint64
 _LONG = 4096
 
@@ -159,6 +164,13 @@ class Words:
         return len(self.start)
 
 
+def trim() -> None:
+    """Freed memory goes back to the system: Python workers live on, and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(col, limit: int = 1 << 20):
     """(first row, last row, bytes, offsets) of runs of rows with about limit bytes: temporaries stay in cache."""
     data, off = buffers(col)
@@ -167,6 +179,7 @@ def chunks(col, limit: int = 1 << 20):
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import common as C
 
 BATCH_BYTES = 6 << 20
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 _ROW = "part int, batch int, keys binary, extra binary"
 _ANSWER = "batch int, part int, answer binary"
 
@@ -104,6 +104,8 @@ def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, e
         whose, part = table.column("batch").to_pylist(), table.column("part").to_pylist()
         if note:
             cells, whose, part = [*cells, note(ranked[new], out[order][new])], [*whose, -1], [*part, part[0]]
+        del order, ranked, group, keys, values, packed
+        C.trim()
         return pa.table({"batch": pa.array(whose, pa.int32()), "part": pa.array(part, pa.int32()), "answer": pa.array(cells, pa.binary())})
 
     sent = consume(batches, given, send, _ROW) if given else batches.groupBy("batch").applyInArrow(lambda t: send(t), _ROW)
