@@ -15,6 +15,7 @@ from loomwork.operators import metrics as M
 from loomwork.operators import retrieval as R
 from loomwork.operators import splits as P
 from loomwork.operators import stats as S
+from loomwork.operators import stores as O
 from loomwork.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -584,3 +585,54 @@ def rle_area(spark, d) -> DataFrame:
 
     coded = rows.mapInArrow(encode, "l_orderkey long, counts string")
     return G.with_runs(coded).select("l_orderkey", G.area(F.col("runs")).alias("area"))
+
+
+# ------------------------------------------------------------ stores, runs, the whole job
+
+
+@query("SELECT o_orderstatus AS shard, CAST(max(o_orderkey) AS BIGINT) AS last_key, count(*) AS n_rows FROM orders GROUP BY ALL")
+def last_in_shard(spark, d) -> DataFrame:
+    return O.last_in_shard(X.read(spark, d, "orders").withColumnRenamed("o_orderstatus", "shard"), "shard", "o_orderkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey AS accession, l_linenumber::BIGINT AS field, max_by(q, -r) AS first FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS r FROM lineitem WHERE l_linenumber <= 3) GROUP BY ALL")
+def embedding_store(spark, d) -> DataFrame:
+    rows = X.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").cast("long").alias("field"), "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.array("l_quantity").alias("vector"))
+    return O.embedding_store(rows, [1, 2, 3], order=("l_partkey", "l_suppkey", "q")).select("accession", "field", F.col("vector")[0].alias("first"))
+
+
+@query("SELECT doc_id FROM splits WHERE split = 'val' UNION ALL SELECT doc_id + 1000000 FROM splits", "splits")
+def split_or_all(spark, d) -> DataFrame:
+    rows = X.splits(spark, d)
+    return O.split_or_all(rows, "val").select("doc_id").unionAll(O.split_or_all(rows, "nothing").select(F.col("doc_id") + 1000000))
+
+
+@query("""WITH v AS (SELECT l.doc_id, sum(CASE WHEN valid OR e.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS n_valid, sum(CASE WHEN e.doc_id IS NOT NULL AND NOT valid THEN 1 ELSE 0 END) AS n_imputed FROM labelled l LEFT JOIN eligible e ON l.doc_id = e.doc_id AND l.name = e.name GROUP BY l.doc_id)
+  SELECT count(*) AS n_reports, count(*) AS n_with_json, 0::BIGINT AS n_errors, CAST(sum(n_valid) AS BIGINT) AS n_valid, count(CASE WHEN n_imputed > 0 THEN 1 END) AS n_reports_imputed, CAST(sum(n_imputed) AS BIGINT) AS n_imputed FROM v""", "labelled", "eligible")
+def run_summary(spark, d) -> DataFrame:
+    rows = _labelled(spark, d).select("doc_id", "idx", "name", F.col("y").alias("label"), "valid")
+    out = L.vectors(rows, L.eligible_labels(X.pathology(X.leaves(spark, d))))
+    return O.run_summary(out.withColumn("has_json", F.lit(True)).withColumn("error", F.lit(None).cast("string")))
+
+
+@query("SELECT c_custkey, s AS seed FROM customer, (VALUES (1), (2), (3)) t(s)")
+def seed_sweep(spark, d) -> DataFrame:
+    return O.seeds(X.read(spark, d, "customer").select("c_custkey"), [1, 2, 3])
+
+
+@query("""WITH base AS (SELECT split, name, count(*) AS n FROM path JOIN splits USING (doc_id) WHERE text <> '' GROUP BY ALL), quota AS (SELECT name, sum(n) AS quota FROM base GROUP BY name),
+  chosen AS (SELECT doc_id, name FROM (SELECT e.doc_id, e.name, quota, row_number() OVER (PARTITION BY e.name ORDER BY sha1('42|' || CAST(e.doc_id AS VARCHAR) || '|' || e.name), e.doc_id) AS turn FROM eligible e JOIN quota USING (name)) WHERE turn <= quota)
+  SELECT split, p.name, count(CASE WHEN y.valid OR c.doc_id IS NOT NULL THEN 1 END) AS n_valid, count(CASE WHEN c.doc_id IS NOT NULL AND NOT y.valid THEN 1 END) AS n_imputed, count(*) AS n_total
+  FROM path p JOIN splits USING (doc_id) JOIN labelled y ON y.doc_id = p.doc_id AND y.name = p.name LEFT JOIN chosen c ON c.doc_id = p.doc_id AND c.name = p.name GROUP BY ALL""", "path", "splits", "labelled", "eligible")
+def full_pipeline(spark, d) -> DataFrame:
+    """Base labels and text statistics, quotas from them, quota-capped imputation, final statistics: one lazy plan."""
+    leaves = X.pathology(X.leaves(spark, d))
+    split = X.splits(spark, d)
+    units = leaves.where("text <> ''").select(F.col("doc_id").alias("report_id"), "name")
+    quota = S.quotas(S.text_counts(units, X.concepts(spark), split.withColumnRenamed("doc_id", "report_id")))
+    chosen = L.within_quota(L.eligible_labels(leaves).select("doc_id", "name"), quota).withColumn("chosen", F.lit(True))
+    y, valid = L.label_and_mask(F.col("label"))
+    rows = leaves.select("doc_id", "name", y.alias("y"), valid.alias("was")).join(chosen, ["doc_id", "name"], "left")
+    made = F.coalesce("chosen", F.lit(False)) & ~F.col("was")
+    rows = rows.select("doc_id", "name", F.col("y").cast("double").alias("label"), (F.col("was") | made).alias("valid"), made.alias("imputed"))
+    return S.label_counts(rows, split).select("split", "name", "n_valid", "n_imputed", "n_total")
