@@ -12,8 +12,12 @@ with the count c(w) from all training texts, and the class's N_k tokens and V_k
 words, so unseen words have a probability too.  The end of a text is a class of
 its own.  The network is a GRU whose input is a table row per word or tail class.
 It is trained by truncated backpropagation (state carried over windows of `STEPS`
-tokens) with Adam, on the driver, on at most `SAMPLE` training texts taken by a
-hash of their id: a documented bound, as for its size.
+tokens) with Adam: first on the driver, on at most `SAMPLE` training texts taken by
+a hash of their id, which only gives the start; then on the executors, once over
+every token of all training texts.  For that, texts are dealt by a hash of their id
+into shards, and shards into rounds; the shards of a round start from the same
+weights, and the average of what they come to, by tokens, starts the next round.
+Shards a round and rounds both grow with the root of the number of shards.
 
 Scoring runs whole documents, batch by batch, all of a batch side by side; the
 state is carried from window to window up to the end of each text.
@@ -25,6 +29,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +49,9 @@ STEPS = 20
 LANES = 64
 SAMPLE = 3_000
 PASSES = 1_400
+WIDE = 256
+ROUNDS = 8
+RATE = 0.003
 _COUNT = np.uint64((1 << 40) - 1)
 
 
@@ -212,7 +222,7 @@ class GRU:
                 g["word"][c], g["word_b"][c] = flat[at].T @ d, d.sum(0)
                 dh_all[at] += d @ self.p["word"][c].T
         dh_all = dh_all.reshape(steps, lanes, n)
-        carry = np.zeros((lanes, n), np.float32)
+        carry, d_in = np.zeros((lanes, n), np.float32), []
         for t in range(steps - 1, -1, -1):
             xt, prev, z, reset, c, rc = saved[t]
             dh = dh_all[t] + carry
@@ -220,13 +230,17 @@ class GRU:
             dz = dh * (prev - c) * z * (1 - z)
             dr = dc * rc * reset * (1 - reset)
             drec = np.concatenate((dz, dr, dc * reset), 1)
-            np.add.at(g["inp"], xt, np.concatenate((dz, dr, dc), 1))
+            d_in.append(np.concatenate((dz, dr, dc), 1))
             g["rec"] += prev.T @ drec
             carry = (dh * z + drec @ self.p["rec"].T) * live[t, :, None]
+        which = x[::-1].ravel()
+        order = np.argsort(which, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], which[order][1:] != which[order][:-1])))
+        g["inp"][which[order][first]] = np.add.reduceat(np.concatenate(d_in)[order], first, axis=0)
         return g, h, loss / count
 
-    def train(self, texts: list[np.ndarray], passes: int = PASSES, rate: float = 0.01) -> list[float]:
-        """texts: input numbers of each, ended by vocab.stop.  Lanes read texts one after another, again and again."""
+    def train(self, texts: list[np.ndarray], passes: int | None = PASSES, rate: float = 0.01, lanes: int = LANES) -> list[float]:
+        """texts: input numbers of each, ended by vocab.stop.  Lanes read texts one after another, again and again; without passes, once."""
         if not texts:
             return []
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -236,8 +250,9 @@ class GRU:
         fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
         before = np.concatenate(([self.v.stop], total[:-1]))
         before[fresh] = self.v.stop
-        starts = (np.arange(LANES) * len(total)) // LANES
-        h, losses = np.zeros((LANES, HIDDEN), np.float32), []
+        starts = (np.arange(lanes) * len(total)) // lanes
+        passes = passes or math.ceil(math.ceil(len(total) / lanes) / STEPS)
+        h, losses = np.zeros((lanes, HIDDEN), np.float32), []
         for i in range(passes):
             at = (starts[None, :] + i * STEPS + np.arange(STEPS)[:, None]) % len(total)
             g, h, loss = self.gradients(before[at], total[at], (~fresh[at]).astype(np.float32), h)
@@ -281,6 +296,53 @@ class GRU:
         return back
 
 
+def _encoded(table: pa.Table, vocab: Vocabulary) -> pa.Table:
+    """The input numbers of a shard's texts, each ended by the end token, in an order that is the same in any layout."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    out = [np.append(ids[a:b], vocab.stop) for _, _, w in _words(table.column("text")) for ids in (vocab.ids(w),) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    C.trim()
+    return pa.table({"batch": table.column("batch")[:1], "tokens": pa.array([np.concatenate(out).astype(np.uint16).tobytes()], pa.binary())})
+
+
+def whole_pass(shards: DataFrame, n_shards: int, model: GRU, about: tuple) -> int:
+    """Trains model once over every token of shards (batch, text; training texts only); the number of tokens read."""
+    spark = shards.sparkSession
+    rounds = min(n_shards, max(ROUNDS, math.isqrt(n_shards)))
+    box = spark.sparkContext.broadcast(about)
+    tokens = shards.groupBy("batch").applyInArrow(lambda t: _encoded(t, Vocabulary(*box.value)), "batch int, tokens binary")
+    at = f"{C.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.withColumn("round", F.pmod("batch", F.lit(rounds))).write.partitionBy("round").parquet(at)
+    stored = spark.read.schema("batch int, tokens binary, round int").parquet(at)
+    names, read = GRU.NAMES, 0
+    for i in range(rounds):
+        start = spark.sparkContext.broadcast(model.p)
+        rate = RATE * (1 - 0.8 * i / rounds)
+
+        def learn(batches, start=start, rate=rate):
+            vocab, n, total = Vocabulary(*box.value), 0, None
+            for b in batches:
+                for cell in b.column("tokens"):
+                    ids = np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
+                    net = GRU(vocab, params={k: x.copy() for k, x in start.value.items()})
+                    net.train(np.split(ids, np.flatnonzero(ids == vocab.stop)[:-1] + 1), None, rate, max(1, min(WIDE, len(ids) // (128 * STEPS))))
+                    flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * len(ids)
+                    n, total = n + len(ids), flat if total is None else total + flat
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+
+        width = max(1, math.ceil(n_shards / rounds))
+        got = stored.where(F.col("round") == i).select("tokens").repartition(width).mapInArrow(learn, "n long, sums binary").collect()
+        n = sum(r["n"] for r in got)
+        if n:
+            mean, a = sum(np.frombuffer(r["sums"], np.float64) for r in got) / n, 0
+            for k in names:
+                size, shape = model.p[k].size, model.p[k].shape
+                model.p[k], a = mean[a : a + size].reshape(shape).astype(np.float32), a + size
+        read += n
+        start.unpersist()
+    return read
+
+
 def _scored(table: pa.Table, totals: np.ndarray, model: GRU) -> pa.Table:
     v = model.v
     keys, _ = _tokens(table)
@@ -356,7 +418,11 @@ def likelihoods(docs: DataFrame, *, head: int = HEAD, sample: int = SAMPLE, pass
     vocab = Vocabulary(keys, head_count, n_k, v_k, ends)
     model = GRU(vocab)
     model.train([np.append(vocab.ids(w)[a:b], vocab.stop) for _, _, w in _words(texts) for a, b in zip(w.first[:-1], w.first[1:], strict=True)], passes)
-    box = spark.sparkContext.broadcast((keys, head_count, n_k, v_k, ends, model.p))
+    about = (keys, head_count, n_k, v_k, ends)
+    read = whole_pass(batches.where("train").select("doc_id", "text", "batch"), max(1, n_bytes // X.BATCH_BYTES), model, about)
+    if read != train_tokens:
+        raise RuntimeError(f"trained on {read} tokens of {train_tokens}")
+    box = spark.sparkContext.broadcast((*about, model.p))
 
     def score(table: pa.Table, counts: np.ndarray) -> pa.Table:
         *about, params = box.value

@@ -299,6 +299,14 @@ def test_language_model(docs, none):
     assert language_model.likelihoods(none, passes=5).count() == 0
 
 
+def test_language_model_learns_from_texts_outside_the_sample(spark):
+    words = ["ka", "lo", "mi", "nu", "pe", "ri"]
+    rows = [(i, " ".join(words[(i + j) % 6] for j in range(1500))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in language_model.likelihoods(df, sample=1, passes=1).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
+
+
 def test_language_model_gradients_and_batched_scores():
     v = language_model.Vocabulary(np.arange(1, 60, dtype=np.uint64) * np.uint64(999), np.arange(1, 60)[::-1], np.ones(language_model.TAILS), np.ones(language_model.TAILS), 5)
     m = language_model.GRU(v)
