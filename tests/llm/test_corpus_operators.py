@@ -354,3 +354,13 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(q.rank, q.vec_id) for q in neighbours.nearest(few, "vec_id % 20 = 0").orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert neighbours.nearest(df.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def test_neighbours_search_goes_on_until_nothing_is_left(spark):
+    C.importable(spark)
+    n = 400
+    each = spark.createDataFrame([(i, [math.cos(i / n), math.sin(i / n)]) for i in range(n)], "vertex long, x array<double>")
+    links = spark.createDataFrame([(i, neighbours._pack(np.array([j for j in (i - 1, i + 1) if 0 <= j < n]), np.zeros(2 - (i in (0, n - 1))))) for i in range(n)], "vertex long, near binary")
+    found = neighbours.search(links, each, each.where("vertex = 200").select("vertex"), 2, beam=20)
+    assert set(np.frombuffer(found.first()["ids"], np.int64)[:19].tolist()) == set(range(191, 210))
+    assert neighbours.recall(found, each, 2, 19) == 1.0
