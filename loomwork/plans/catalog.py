@@ -425,7 +425,7 @@ _PAIRS = """WITH e AS (SELECT vec_id, vec_id // 50 AS batch, label, embedding::D
 
 
 def _contrast(spark, d) -> DataFrame:
-    e = X.read(spark, d, "embeddings").where("vec_id < 500")
+    e = X.read(spark, d, "embeddings")
     turned = F.concat(F.slice("embedding", 2, 64), F.slice("embedding", 1, 1))
     rows = e.select(F.floor(F.col("vec_id") / 50).alias("batch"), F.col("label").alias("name"), F.col("vec_id").alias("sample"), F.col("embedding").alias("v"), turned.alias("u"))
     return M.info_nce(rows, tau=0.1)

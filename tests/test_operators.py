@@ -226,3 +226,19 @@ def test_info_nce_against_numpy(spark):
     z = v @ u.T / 0.5
     want = (np.mean(np.log(np.exp(z).sum(1)) - np.diag(z)) + np.mean(np.log(np.exp(z).sum(0)) - np.diag(z))) / 2
     assert abs(got.macro - want) < 1e-9
+
+
+def test_contrast_reads_every_embedding(spark, tmp_path):
+    from loomwork.plans import catalog
+
+    x = np.random.default_rng(3).normal(size=(600, 3)).astype(np.float32)
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    losses = []
+    for at in (np.arange(b * 50 + y, b * 50 + 50, 2) for b in range(12) for y in range(2)):
+        v = x[at].astype(np.float64)
+        v /= np.sqrt((v * v).sum(1))[:, None] + 1e-6
+        z = v @ np.roll(v, -1, 1).T / 0.1
+        losses.append(np.mean([np.log(np.exp(m).sum(1)) - np.diag(m) for m in (z, z.T)]))
+    assert catalog.infonce_macro(spark, str(tmp_path)).first()["macro"] == pytest.approx(np.mean(losses), abs=1e-5)
+    assert catalog.infonce_pair(spark, str(tmp_path)).first()["weighted"] == pytest.approx(np.mean(losses), abs=1e-5)
