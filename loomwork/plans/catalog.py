@@ -541,7 +541,7 @@ def letterbox_geometry(spark, d) -> DataFrame:
 
 
 def _pixels(spark, d) -> DataFrame:
-    rows = X.read(spark, d, "lineitem").where("l_suppkey <= 40")
+    rows = X.read(spark, d, "lineitem")
     return rows.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), ((F.col("l_quantity") * 2) / F.lit(101.0)).alias("a"), (F.col("l_partkey") % 3 == 0).alias("gt"))
 
 

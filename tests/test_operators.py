@@ -242,3 +242,15 @@ def test_contrast_reads_every_embedding(spark, tmp_path):
         losses.append(np.mean([np.log(np.exp(m).sum(1)) - np.diag(m) for m in (z, z.T)]))
     assert catalog.infonce_macro(spark, str(tmp_path)).first()["macro"] == pytest.approx(np.mean(losses), abs=1e-5)
     assert catalog.infonce_pair(spark, str(tmp_path)).first()["weighted"] == pytest.approx(np.mean(losses), abs=1e-5)
+
+
+def test_pixels_of_every_supplier(spark, tmp_path):
+    from loomwork.plans import catalog
+
+    rows = [(k, i, (k + i) % 9, 1.0 + (i * k) % 50, k) for k in range(1, 61) for i in range(1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.l_suppkey for r in catalog.overlap_dice_iou(spark, str(tmp_path)).collect()} == set(range(1, 61))
+    assert {r.l_suppkey for r in catalog.case_metrics(spark, str(tmp_path)).collect()} == set(range(1, 61))
+    assert catalog.attention_normalised(spark, str(tmp_path)).count() == len(rows)
+    assert catalog._pixels(spark, str(tmp_path)).count() == len(rows)
+    assert catalog.threshold_sweep(spark, str(tmp_path)).count() == 1
