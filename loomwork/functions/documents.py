@@ -16,17 +16,21 @@ def nodes(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
     """Every node below the root: the columns of docs but `doc`, path, ord (document order), value (JSON text or plain).
 
     Objects give `a.b`, list items `a.[i]`.  One explode per level, up to `depth`
-    levels; null or malformed documents have no nodes.
+    levels; a document that goes on below them fails the query, so no leaf is lost
+    unseen; null or malformed documents have no nodes.
     """
     keep = [c for c in docs.columns if c != doc]
     level = docs.select(*keep, F.lit("").alias("path"), F.array().cast("array<int>").alias("ord"), F.col(doc).alias("value"))
     out = None
-    for _ in range(depth):
-        is_map, is_list = F.startswith(F.ltrim("value"), F.lit("{")), F.startswith(F.ltrim("value"), F.lit("["))
-        pairs = F.map_entries(F.from_json(F.when(is_map, F.col("value")), "map<string,string>"))
-        items = F.transform(F.from_json(F.when(is_list, F.col("value")), "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-        each = level.select(*keep, "path", "ord", F.posexplode(F.coalesce(pairs, items)).alias("at", "pair"))
+    is_map, is_list = F.startswith(F.ltrim("value"), F.lit("{")), F.startswith(F.ltrim("value"), F.lit("["))
+    pairs = F.map_entries(F.from_json(F.when(is_map, F.col("value")), "map<string,string>"))
+    items = F.transform(F.from_json(F.when(is_list, F.col("value")), "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+    below = F.coalesce(pairs, items)
+    for at in range(depth):
+        each = level.select(*keep, "path", "ord", F.posexplode(below).alias("at", "pair"))
         level = each.select(*keep, F.concat_ws(".", F.nullif("path", F.lit("")), "pair.key").alias("path"), F.concat("ord", F.array("at")).alias("ord"), F.col("pair.value").alias("value"))
+        if at == depth - 1:
+            level = level.withColumn("value", F.when(F.size(below) > 0, F.raise_error(F.concat(F.lit(f"a document goes on below {depth} levels at "), "path"))).otherwise(F.col("value")))
         out = level if out is None else out.unionByName(level)
     return out
 

@@ -97,7 +97,7 @@ def url_fields(spark, d) -> DataFrame:
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS text FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_leaves(spark, d) -> DataFrame:
     rows = X.read(spark, d, "events").select("event_id", F.col("props").alias("doc"))
-    return D.text_leaves(rows, "doc", depth=2).select("event_id", "path", "text")
+    return D.text_leaves(rows, "doc").select("event_id", "path", "text")
 
 
 def _document(spark, d) -> DataFrame:
@@ -109,7 +109,7 @@ def _document(spark, d) -> DataFrame:
 
 @query("SELECT doc_id, 'data.' || name AS path, text, label FROM leaves", "leaves")
 def struct_leaves(spark, d) -> DataFrame:
-    return D.labelled_leaves(_document(spark, d), "doc", depth=5).select("doc_id", "path", "text", "label")
+    return D.labelled_leaves(_document(spark, d), "doc").select("doc_id", "path", "text", "label")
 
 
 @query("SELECT doc_id, max(CASE WHEN name = 'thoracic_organs.heart' THEN label END) AS heart, max(CASE WHEN name = 'support_devices.airway' THEN label END) AS airway, CAST(NULL AS VARCHAR) AS nothing FROM leaves GROUP BY doc_id", "leaves")

@@ -254,3 +254,13 @@ def test_pixels_of_every_supplier(spark, tmp_path):
     assert catalog.attention_normalised(spark, str(tmp_path)).count() == len(rows)
     assert catalog._pixels(spark, str(tmp_path)).count() == len(rows)
     assert catalog.threshold_sweep(spark, str(tmp_path)).count() == 1
+
+
+def test_documents_deeper_than_the_limit_fail(spark):
+    def doc(levels):
+        return json.dumps({"a": {"text": "x"}}) if levels == 1 else '{"a": ' + doc(levels - 1) + "}"
+
+    for leaves in (D.labelled_leaves, D.text_leaves):
+        assert leaves(spark.createDataFrame([(1, doc(2))], "id int, doc string"), "doc", depth=3).count() == 1
+        with pytest.raises(Exception, match="goes on below 3 levels"):
+            leaves(spark.createDataFrame([(1, doc(9))], "id int, doc string"), "doc", depth=3).collect()
