@@ -2,26 +2,37 @@
 
 A batch's distinct units (a run of blanks and what follows it up to the next
 blank; a newline is a unit when no piece holds one) are laid end to end.  The
-suffixes of that text, cut at their unit's end, are sorted; every piece is found
-by binary search as one range of suffixes; the ranges become edges (position,
-length, piece), ordered by position.  Relaxation then walks the edges in the
-model's own order: in each round every unit joins the leftmost of its
-best-scored neighbouring symbols whose span is an edge, for all units at once.
-That is the order of merges of the library, so ids are equal to its own; a
+suffixes of that text, cut at their unit's end, are sorted by their first `_SPAN`
+bytes; every piece is found by binary search as one range of suffixes.  A longer
+piece's range is sorted by the next `_SPAN` bytes and searched again, until the
+whole piece is compared, so pieces and units of any length go this one way.  The
+ranges become edges (position, length, piece), ordered by position.  Relaxation
+then walks the edges in the model's own order: in each round every unit joins the
+best-scored of its neighbouring symbols whose span is an edge, for all units at
+once.  That is the order of merges of the library, so ids are equal to its own; a
 shortest path over the same edges would give other ids for a BPE model.
 Characters that are no piece become byte pieces.
 
-The model file is read on the driver (its path is a parameter) and sent to tasks;
-it has a fixed size.  Tasks hold one chunk of `CHUNK` bytes of text at a time (or
-one longer document).
-
-Edge cases: null text gives null ids; empty text gives none; U+2581 in a text is
-a blank to the model, and decodes as one.
+A round joins all places of a unit's best edge together, where that is the same as
+one after another from the left: if no span that arises on the way, between a
+joined symbol and a neighbour, is an edge as good or better.  Else it joins the
+leftmost place only.  So a unit of any length (a text without blanks) takes about
+as many rounds as it has different merges.
+
+The model file is read on the driver (its path is a parameter), has a fixed size
+and is parsed once per Python worker.  Tasks hold one chunk of `CHUNK` bytes of text
+at a time (or one longer document), and the ids of `_KNOWN` bytes of units already
+met.
+
+Edge cases: null text gives null ids; empty text gives none; a very long text is one
+chunk, encoded whole in blocks of units; rows with equal or null doc_ids are rows as
+any other; columns but doc_id and text are not read; U+2581 in a text is a blank to the model, and
+decodes as one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import re
 import struct
 
@@ -32,9 +43,10 @@ from pyspark.sql import DataFrame
 from loomwork.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 _SPAN = 16
-_BLOCK = 1 << 20
+_BLOCK = 192 << 10
+_KNOWN = 1 << 20
 _NONE = np.int64(1) << 40
 _MARK = "▁".encode()
 
@@ -93,85 +105,108 @@ class PieceModel:
         scores = np.array([s for _, s, _ in pieces])
         self.rank = np.full(len(pieces), _NONE, np.int64)
         self.rank[own] = np.unique(-scores[own], return_inverse=True)[1]
-        short = sorted((self.text[i], i) for i in own if len(self.text[i]) <= _SPAN)
+        ordered = sorted((self.text[i], i) for i in own)
+        short = [x for x in ordered if len(x[0]) <= _SPAN]
         self.short = np.array([i for _, i in short], np.int32)
         self.low = np.array([p for p, _ in short], f"S{_SPAN}")
         self.high = np.array([p + b"\xff" * (_SPAN - len(p)) for p, _ in short], f"S{_SPAN}")
         self.size = np.array([len(p) for p, _ in short], np.int64)
-        self.long = [self.text[i] for i in own if len(self.text[i]) > _SPAN]
+        self.long = [x for x in ordered if len(x[0]) > _SPAN]
+        self.longest = max(map(len, self.own), default=0)
+        self.known: dict[bytes, np.ndarray] = {}
+        self.known_bytes = 0
         lines = not any(b"\n" in self.text[i] for i in own)
         self.unit = re.compile(rb" +[^ \n]*|[^ \n]+|\n" if lines else rb" +[^ ]*")
 
     # ------------------------------------------------------------ encoding
 
-    def _edges(self, buf: np.ndarray, stop: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Dense edges: [position, length - 1] -> piece or -1, from the suffix array of buf."""
-        n = len(buf)
-        padded = np.concatenate((buf, np.zeros(_SPAN, np.uint8)))
-        windows = padded[starts[:, None] + np.arange(_SPAN)]
-        windows[starts[:, None] + np.arange(_SPAN) >= stop[starts][:, None]] = 0
-        keys = windows.view(">u8").astype(np.uint64)
+    @staticmethod
+    def _suffixes(buf: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Up to _SPAN bytes from each place in `at`, cut at the unit's end (stop), as fixed strings."""
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((buf, np.zeros(_SPAN, np.uint8))), _SPAN)[np.minimum(at, len(buf))]
+        left = np.clip(stop - at, 0, _SPAN).astype(np.uint8)
+        rows[np.arange(_SPAN, dtype=np.uint8)[None, :] >= left[:, None]] = 0
+        return rows
+
+    @staticmethod
+    def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of rows of _SPAN bytes, and the rows in it as strings."""
+        keys = rows.view(">u8")
         order = np.lexsort((keys[:, 1], keys[:, 0]))
-        suffixes = np.ascontiguousarray(windows[order]).view(f"S{_SPAN}")[:, 0]
+        return order, np.ascontiguousarray(rows[order]).view(f"S{_SPAN}")[:, 0]
+
+    def _deeper(self, buf: np.ndarray, stop: np.ndarray, at: np.ndarray, pieces: list, depth: int) -> list[tuple[np.ndarray, int]]:
+        """(places, piece) of pieces longer than depth, among suffixes `at` that agree with them up to depth."""
+        if not len(at):
+            return []
+        order, rows = self._sorted(self._suffixes(buf, stop[at], at + depth))
+        at, out, i = at[order], [], 0
+        while i < len(pieces):
+            part, j = pieces[i][0][depth : depth + _SPAN], i + 1
+            full = part + b"\xff" * (_SPAN - len(part))
+            a, b = np.searchsorted(rows, np.array([part], rows.dtype), "left")[0], np.searchsorted(rows, np.array([full], rows.dtype), "right")[0]
+            if len(pieces[i][0]) <= depth + _SPAN:
+                out.append((at[a:b], pieces[i][1]))
+            else:
+                while j < len(pieces) and pieces[j][0][depth : depth + _SPAN] == part and len(pieces[j][0]) > depth + _SPAN:
+                    j += 1
+                out += self._deeper(buf, stop, at[a:b], pieces[i:j], depth + _SPAN)
+            i = j
+        return out
+
+    def _edges(self, buf: np.ndarray, stop: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges up to _SPAN bytes, [position, length - 1] -> piece or -1; and of longer ones sorted keys (position * longest + length) and pieces."""
+        order, suffixes = self._sorted(self._suffixes(buf, stop[starts], starts))
         a, b = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
         many = b - a
         lead = np.cumsum(many) - many
         at = starts[order[np.repeat(a - lead, many) + np.arange(int(many.sum()))]]
-        edges = np.full(n * _SPAN, -1, np.int32)
+        edges = np.full(len(buf) * _SPAN, -1, np.int32)
         edges[at * _SPAN + np.repeat(self.size, many) - 1] = np.repeat(self.short, many)
-        return edges
-
-    def _slow(self, unit: bytes) -> list[int]:
-        """One unit, by a heap of merges."""
-        chars = [c.encode() for c in unit.decode()]
-        left, right, alive = list(range(-1, len(chars) - 1)), list(range(1, len(chars) + 1)), [True] * len(chars)
-        heap: list = []
-
-        def offer(i: int) -> None:
-            j = right[i] if i >= 0 else len(chars)
-            if j < len(chars) and (p := self.own.get(chars[i] + chars[j])) is not None:
-                heapq.heappush(heap, (int(self.rank[p]), i, chars[i], chars[j]))
-
-        for i in range(len(chars)):
-            offer(i)
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or chars[i] != x or j >= len(chars) or chars[j] != y:
-                continue
-            chars[i], alive[j], right[i] = x + y, False, right[j]
-            if right[j] < len(chars):
-                left[right[j]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
-        out: list[int] = []
-        for c, live in zip(chars, alive, strict=True):
-            if live:
-                p = self.own.get(c)
-                out += [p] if p is not None else self.byte[list(c)].tolist()
-        return out
+        keys, which, i = [], [], 0
+        while i < len(self.long):
+            head, j = self.long[i][0][:_SPAN], i
+            while j < len(self.long) and self.long[j][0][:_SPAN] == head:
+                j += 1
+            a, b = np.searchsorted(suffixes, np.array([head], suffixes.dtype), "left")[0], np.searchsorted(suffixes, np.array([head], suffixes.dtype), "right")[0]
+            for places, p in self._deeper(buf, stop, starts[order[a:b]], self.long[i:j], _SPAN) if b > a else ():
+                keys.append(places * (self.longest + 1) + len(self.text[p]))
+                which.append(np.full(len(places), p, np.int32))
+            i = j
+        if not keys:
+            return edges, np.empty(0, np.int64), np.empty(0, np.int32)
+        key, which = np.concatenate(keys), np.concatenate(which)
+        order = np.argsort(key, kind="stable")
+        return edges, key[order], which[order]
 
     def _block(self, units: list[bytes]) -> list[np.ndarray]:
         buf = np.frombuffer(b"".join(units), np.uint8)
         size = np.array([len(u) for u in units], np.int64)
         stop_of = np.cumsum(size)
-        stop = np.repeat(stop_of, size)
-        owner = np.repeat(np.arange(len(units)), size)
+        owner = np.repeat(np.arange(len(units), dtype=np.int32), size)
         start = np.flatnonzero((buf & 0xC0) != 0x80)
-        edges = self._edges(buf, stop, start)
+        edges, long_key, long_piece = self._edges(buf, stop_of[owner], start)
         rank_of = np.append(self.rank, _NONE)
 
-        def ranks(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        def pieces(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+            """The piece of each span, or -1."""
             span = e - a
-            fits = span <= _SPAN
-            out = np.full(len(a), _NONE, np.int64)
-            out[fits] = rank_of[edges[a[fits] * _SPAN + span[fits] - 1]]
+            out = edges[a * _SPAN + np.minimum(span, _SPAN) - 1]
+            far = np.flatnonzero(span > _SPAN)
+            if len(far):
+                out[far] = -1
+                far = far[span[far] <= self.longest]
+                if len(far) and len(long_key):
+                    key = a[far] * (self.longest + 1) + span[far]
+                    slot = np.minimum(np.searchsorted(long_key, key), len(long_key) - 1)
+                    out[far] = np.where(long_key[slot] == key, long_piece[slot], -1)
             return out
 
+        def ranks(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+            return rank_of[pieces(a, e)]
+
         def ends(s: np.ndarray, o: np.ndarray) -> np.ndarray:
-            nxt = np.append(s[1:], len(buf))
-            return np.minimum(nxt, stop_of[o])
+            return np.minimum(np.append(s[1:], len(buf)), stop_of[o])
 
         s, o = start, owner[start]
         e = ends(s, o)
@@ -191,9 +226,8 @@ class PieceModel:
                 if not len(s):
                     break
                 best, count = best[live], count[live]
-                head = np.cumsum(count) - count
             hit = np.flatnonzero(pair == np.repeat(best, count))
-            first = hit[np.concatenate(([True], o[hit[1:]] != o[hit[:-1]]))]
+            first = self._together(hit, s, o, e, pair, ranks)
             e[first] = e[first + 1]
             keep = np.ones(len(s), bool)
             keep[first + 1] = False
@@ -209,9 +243,7 @@ class PieceModel:
         o = owner[s]
         e = ends(s, o)
         span = e - s
-        piece = np.full(len(s), -1, np.int32)
-        fits = span <= _SPAN
-        piece[fits] = edges[s[fits] * _SPAN + span[fits] - 1]
+        piece = pieces(s, e)
         many = np.where(piece >= 0, 1, span)
         lead = np.cumsum(many) - many
         out = np.repeat(piece, many)
@@ -222,26 +254,52 @@ class PieceModel:
         cut = np.searchsorted(np.repeat(o, many), np.arange(len(units) + 1))
         return [out[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
+    @staticmethod
+    def _together(hit: np.ndarray, s, o, e, pair, ranks) -> np.ndarray:
+        """Of the places of the units' best edges those joined in this round: all that don't overlap, or the leftmost of a unit."""
+        lone = np.concatenate(([True], o[hit[1:]] != o[hit[:-1]]))
+        if lone.all():
+            return hit
+        run = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | lone[1:]))
+        turn = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+        some = turn % 2 == 0
+        first, many = hit[some], ~(lone[some] & np.append(lone[some][1:], True))
+        at = first[many]
+        bad = np.zeros(len(at), bool)
+        after = at + 2
+        fits = np.flatnonzero(np.append(o, -1)[np.minimum(after, len(o))] == o[at])
+        bad[fits] = ranks(s[at[fits]], e[after[fits]]) <= pair[at[fits]]
+        joined = np.zeros(len(s), bool)
+        joined[first + 1] = True
+        before = np.maximum(at - 1, 0)
+        left = np.where(joined[before], s[np.maximum(at - 2, 0)], s[before])
+        fits = np.flatnonzero((at > 0) & (o[before] == o[at]))
+        bad[fits] |= ranks(left[fits], e[at[fits] + 1]) <= pair[at[fits]]
+        if not bad.any():
+            return first
+        return first[~np.isin(o[first], o[at[bad]]) | lone[some]]
+
     def units(self, units: list[bytes]) -> list[np.ndarray]:
-        """Ids of each unit."""
-        out: list = [None] * len(units)
+        """Ids of each unit; those of _KNOWN bytes of units are remembered."""
+        out = list(map(self.known.get, units))
         block: list[int] = []
         size = 0
 
         def flush() -> None:
             for i, ids in zip(block, self._block([units[i] for i in block]) if block else (), strict=True):
-                out[i] = ids
+                out[i] = ids.copy()
+                if self.known_bytes < _KNOWN and len(units[i]) <= 64:
+                    self.known[units[i]] = out[i]
+                    self.known_bytes += len(units[i])
             block.clear()
 
-        for i, u in enumerate(units):
-            if len(u) > 256 or len(u) > _SPAN and any(p in u for p in self.long):
-                out[i] = np.array(self._slow(u), np.int32)
-                continue
-            block.append(i)
-            size += len(u)
-            if size > _BLOCK:
-                flush()
-                size = 0
+        for i, ids in enumerate(out):
+            if ids is None:
+                block.append(i)
+                size += len(units[i])
+                if size > _BLOCK:
+                    flush()
+                    size = 0
         flush()
         return out
 
@@ -271,13 +329,25 @@ def load(path: str = MODEL) -> bytes:
         return f.read()
 
 
+_PARSED: dict[bytes, PieceModel] = {}
+
+
+def parsed(data: bytes) -> PieceModel:
+    """The model of these bytes, parsed once in a Python process; the last one is kept."""
+    key = hashlib.sha1(data).digest()
+    if key not in _PARSED:
+        _PARSED.clear()
+        _PARSED[key] = PieceModel(data)
+    return _PARSED[key]
+
+
 def encoded(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, tokens, and whether decoding gives the text again (U+2581 counts as a blank)."""
-    data = load(model)
+    data = docs.sparkSession.sparkContext.broadcast(load(model))
     schema = "doc_id long, n_tokens long, tokens array<int>, round_trip boolean"
 
     def run(batches):
-        pieces = PieceModel(data)
+        pieces = parsed(data.value)
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
             for i, j, raw, off in C.chunks(text, CHUNK):
@@ -297,10 +367,10 @@ def encoded(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFram
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text of rows (doc_id, tokens)."""
-    data = load(model)
+    data = rows.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        pieces = PieceModel(data)
+        pieces = parsed(data.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if x is None else pieces.decode(x) for x in b.column("tokens").to_pylist()], pa.string())], ["doc_id", "text"])
 
