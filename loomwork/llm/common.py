@@ -9,8 +9,10 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +65,78 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers started from now on find this package where the driver found it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    """Python workers find this package: where the driver found it, or, on other machines, in an archive that Spark sends."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomwork_sent", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.environment.setdefault("PYTHONPATH", os.path.dirname(package))
+    made = os.path.join(tempfile.mkdtemp(), "loomwork.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(package)))
+    sc.addPyFile(made)
+    sc._loomwork_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a local one set here."""
+    """The folder all executors share: spark.checkpoint.dir.  Only a session in one process may do without; a cluster without it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = os.path.join(tempfile.gettempdir(), "loomwork-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df, written to the shared folder as Parquet and read back: later plans start from files."""
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """df, written to the shared folder as Parquet and read back: later plans start from files.
+
+    The shuffle files of the write go when it ends (no later plan reads them), the
+    table itself by `forget`, or when the session ends.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._loomwork_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes stored tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomwork_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that df has no column of (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator is about to add."""
+    return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))
 
 
 def n_shuffle(spark: SparkSession) -> int:
@@ -92,6 +147,12 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
 
 
+def extent(docs: DataFrame, col: str = "text") -> tuple[int, int]:
+    """Bytes of text, and rows."""
+    r = docs.agg(F.sum(F.octet_length(col)), F.count("*")).first()
+    return r[0] or 0, r[1]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

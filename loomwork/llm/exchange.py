@@ -7,6 +7,12 @@ binary cell per key partition.  A partition joins the cells, and returns one
 answer per key in the batch's own order.  Row overhead in the JVM is thus per
 cell, not per key, and every stage is a plain Spark shuffle that survives lost
 executors.
+
+A batch has about `UNIT` bytes of text, and a key partition as much, up to a GB of
+text; beyond, both grow with the root of the whole up to `LARGEST`, so that the
+number of cells grows in proportion to the text, and each cell keeps hundreds of
+keys up to some TB (tasks then need memory for `LARGEST`).  Small tables have at
+least two batches for each shuffle partition, so that short rows are spread too.
 """
 
 from __future__ import annotations
@@ -20,26 +26,35 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import common as C
 
-BATCH_BYTES = 6 << 20
-PART_BYTES = 6 << 20
+UNIT = 6 << 20
+LARGEST = 96 << 20
+LEAST_ROWS = 256
 _ROW = "part int, batch int, keys binary, extra binary"
 _ANSWER = "batch int, part int, answer binary"
 
 
-def batch_of(n_bytes: int, key: str = "doc_id"):
-    """The batch of an id."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1))), F.lit(max(1, n_bytes // BATCH_BYTES))).cast("int")
+class Layout:
+    """How a table of so many bytes and rows is dealt: number of batches, and of key partitions (a power of two)."""
 
+    def __init__(self, n_bytes: int, n_rows: int, n_shuffle: int):
+        self.n_bytes = n_bytes
+        unit = min(LARGEST, max(UNIT, int(UNIT * (n_bytes / (1 << 30)) ** 0.5)))
+        self.batches = max(1, n_bytes // unit, min(n_rows // LEAST_ROWS, 2 * n_shuffle))
+        self.parts = 1 << max(2, int(np.ceil(np.log2(max(1, n_bytes / unit)))))
+
+    def batch(self, key: str = "doc_id"):
+        """The batch of an id."""
+        return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1))), F.lit(self.batches)).cast("int")
 
-def batched(docs: DataFrame, n_bytes: int, key: str = "doc_id") -> DataFrame:
-    """docs with a column `batch`, dealt by it.  Uses of the result within one plan share the exchange."""
-    dealt = max(C.n_shuffle(docs.sparkSession), n_bytes // (64 << 20))
-    return docs.withColumn("batch", batch_of(n_bytes, key)).repartition(dealt, "batch")
 
+def layout(docs: DataFrame) -> Layout:
+    return Layout(*C.extent(docs), C.n_shuffle(docs.sparkSession))
 
-def n_parts(n_bytes: int) -> int:
-    """A power of two."""
-    return 1 << max(2, int(np.ceil(np.log2(max(1, n_bytes / PART_BYTES)))))
+
+def batched(docs: DataFrame, to: Layout, key: str = "doc_id") -> DataFrame:
+    """docs with a column `batch`, dealt by it.  Uses of the result within one plan share the exchange."""
+    dealt = max(C.n_shuffle(docs.sparkSession), to.n_bytes // (64 << 20))
+    return docs.withColumn("batch", to.batch(key)).repartition(dealt, "batch")
 
 
 def _packed(keys: np.ndarray, bits: int, wide: bool) -> bytes:
@@ -73,16 +88,15 @@ def exchange(batches: DataFrame, parts: int, emit: Callable, reduce: Callable, e
     note(distinct keys, their answers) -> bytes: kept for each partition in a row with batch -1.
     """
     bits = parts.bit_length() - 1
-    edges = [i << (64 - bits) for i in range(1, parts)] if bits else []
 
     def send(table: pa.Table, *got: np.ndarray) -> pa.Table:
         rows: dict[str, list] = {"part": [], "batch": [], "keys": [], "extra": []}
         if table.num_rows:
             keys, values = emit(table, *got)
-            cut = np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
-            for p in np.flatnonzero(np.diff(cut)):
-                a, b = cut[p], cut[p + 1]
-                rows["part"].append(int(p))
+            part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(keys)])) if len(keys) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                rows["part"].append(int(part[a]))
                 rows["batch"].append(table.column("batch")[0].as_py())
                 rows["keys"].append(_packed(keys[a:b], bits, wide))
                 rows["extra"].append(values[a:b].tobytes() if values is not None else b"")

@@ -15,8 +15,10 @@ Step 1 only filters: a false hit costs work, not words.  Step 2 decides by a
 64-bit hash of the whole window.
 
 Edge cases: null or empty text has no words; text with fewer words than
-`window` keeps all; a null doc_id comes after all others; rows with equal
-doc_id don't remove each other's words; repeats within one document stay.
+`window` keeps all; a very long text is part of one batch, whole; a null doc_id comes after all
+others; rows with equal doc_id (repeated rows too) don't remove each other's words;
+repeats within one document stay; other columns, whatever their names, come through
+`cleaned` as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -147,12 +149,11 @@ def _kept(table: pa.Table, hit: np.ndarray, earlier: np.ndarray, window: int) ->
 
 def repeats(docs: DataFrame, use, schema: str, window: int = WINDOW) -> DataFrame:
     """use(table, rows of _kept) -> Arrow table, over batches of docs."""
-    n_bytes = C.text_bytes(docs)
-    parts = X.n_parts(n_bytes)
-    batches = X.batched(docs, n_bytes)
+    to = X.layout(docs)
+    batches = X.batched(docs, to)
     k = window // 2
-    hit = X.exchange(batches, parts, lambda t: _probes(t, k), _hits, "uint8", "bool", wide=False)
-    earlier = X.exchange(batches, parts, lambda t, h: _owners(t, h, window), _elsewhere, "int64", "bool", wide=True, given=(hit,))
+    hit = X.exchange(batches, to.parts, lambda t: _probes(t, k), _hits, "uint8", "bool", wide=False)
+    earlier = X.exchange(batches, to.parts, lambda t, h: _owners(t, h, window), _elsewhere, "int64", "bool", wide=True, given=(hit,))
     return X.consume(batches, (hit, earlier), lambda t, h, e: use(t, _kept(t, h, e, window)), schema)
 
 
@@ -171,8 +172,9 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Text that loses nothing stays as it is, white space included; of other text
     the kept words are joined by one space.  No row is dropped.
     """
-    schema = docs.schema
-    batch = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text", "n_chars") else f"_{i}" for i, c in enumerate(names)]
+    plain = docs.select(*(F.col(f"`{c}`").cast("long").alias(n) if c == "doc_id" else F.col(f"`{c}`").alias(n) for c, n in zip(names, inner, strict=True)))
 
     def use(table: pa.Table, rows: list) -> pa.Table:
         table = table.drop_columns(["batch"])
@@ -184,4 +186,5 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             table = table.set_column(at, table.schema.field(at), pa.array([None if t is None else len(t) for t in text], table.schema.field(at).type))
         return table
 
-    return repeats(batch, use, batch.schema, window).select(*(F.col(f.name).cast(f.dataType) for f in schema))
+    out = repeats(plain, use, plain.schema, window)
+    return out.select(*(F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(inner, docs.schema, strict=True)))
