@@ -11,11 +11,14 @@ Texts equal byte for byte are one representative.  Then:
 2. Similar documents are dealt into groups by their smallest shingle hash; a
    set of more than `LARGE` is split by a hash of the id.  Within a group all links are
    found, and joined to cells.
-3. The matrix has a row (shingle, group) for each shingle in a prefix of the
-   group.  A document asks the groups that hold a shingle of its prefix.  A
-   group's task bounds |document & union of the group| first, and compares
-   members only if the bound reaches ceil(t * n).  Pairs already connected need
-   no look: first each document asks, per shingle, only the group of the
+3. Each group's token union is stored, one row a group.  The matrix has a row
+   (shingle, group) for each shingle in a prefix of the group.  A document asks the
+   groups that hold a shingle of its prefix and a set of a size that can link.  It
+   meets the group's union first, alone: only if their overlap reaches
+   ceil(t * n) does the pair (document, group) qualify.  Members are shuffled to
+   qualifying documents only.  Documents that ask one group are split into lots of
+   `ASKERS`, and the group's row or members go to each lot.  Pairs already connected
+   need no look: first each document asks, per shingle, only the group of the
    shingle's smallest component; after these links are joined, it asks every
    group that still holds another component (a large set's parts ask as a
    whole).  So all links between components are tried, and a group of thousands
@@ -24,8 +27,10 @@ Texts equal byte for byte are one representative.  Then:
 Result: per document the number of shingles and the smallest doc_id reachable.
 
 Edge cases: null or blank text has no shingles and links with nothing; fewer
-words than a shingle are one shingle; rows with one doc_id and several texts
-count as linked; a null doc_id is its own component (null).
+words than a shingle are one shingle; a very long text is one set (its size is the
+text's); equal rows are linked; rows with one doc_id and several texts count as
+linked; a null doc_id is its own component (null); columns but doc_id and text are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ from loomwork.llm.components import components
 
 GROUP = 192
 LARGE = 1024
+ASKERS = 2048
 _SETS = "node long, n long, tokens binary, prefix array<long>, low long, same string"
 
 
@@ -154,6 +160,24 @@ def _inside(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _union(table: pa.Table) -> pa.Table:
+    """A group's token union."""
+    tokens = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]))
+    return pa.table({"group": table.column("group")[:1], "tokens": pa.array([tokens.tobytes()], pa.binary())})
+
+
+def _qualified(union: pa.Table, asking: pa.Table, percent: int) -> pa.Table:
+    """The asking documents whose overlap with a group's union can reach a link."""
+    good = []
+    if union.num_rows and asking.num_rows:
+        tokens = np.frombuffer(union.column("tokens")[0].as_py(), np.uint64)
+        for i, (n, cell) in enumerate(zip(asking.column("q_n").to_pylist(), asking.column("q_tokens").to_pylist(), strict=True)):
+            s = np.frombuffer(cell, np.uint64)
+            if (tokens[np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)] == s).sum() >= _need(n, percent):
+                good.append(i)
+    return asking.select(["q_node", "target", "q_lot"]).take(pa.array(good, pa.int64()))
+
+
 def _opened(members: pa.Table, asking: pa.Table, percent: int) -> pa.Table:
     """Links of the asking documents with a group, one for each component linked."""
     a, b = [], []
@@ -169,12 +193,18 @@ def _opened(members: pa.Table, asking: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _open(sets: DataFrame, asks: DataFrame, percent: int) -> DataFrame:
-    """asks (node, target): cogrouped with the target's members."""
-    sets = sets.select("node", "n", "comp", "tokens", "group")
-    asking = asks.join(sets.drop("group"), "node").select(*(F.col(c).alias(f"q_{c}") for c in ("node", "n", "comp", "tokens")), "target")
-    members = sets.join(asks.select(F.col("target").alias("group")).distinct(), "group", "left_semi")
-    return members.groupBy("group").cogroup(asking.groupBy("target")).applyInArrow(lambda m, q: _opened(m, q, percent), _LINKS)
+def _open(sets: DataFrame, unions: DataFrame, asks: DataFrame, percent: int) -> DataFrame:
+    """asks (node, target): documents meet the target's stored union, and those that qualify its members."""
+    lots = asks.groupBy("target").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("lots"))
+    asks = asks.join(lots, "target").select("node", "target", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int").alias("lot"))
+    dealt = lots.select(F.col("target").alias("group"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    own = sets.select(*(F.col(c).alias(f"q_{c}") for c in ("node", "n", "comp", "tokens")))
+    asking = asks.select(F.col("node").alias("q_node"), "target", F.col("lot").alias("q_lot")).join(own.drop("q_comp"), "q_node")
+    bound = unions.join(dealt, "group").groupBy("group", "lot").cogroup(asking.groupBy("target", "q_lot"))
+    good = C.stored(bound.applyInArrow(lambda u, q: _qualified(u, q, percent), "q_node long, target long, q_lot int"), "qualified")
+    asking = good.join(own, "q_node")
+    members = sets.select("node", "n", "comp", "tokens", "group").join(good.select(F.col("target").alias("group"), F.col("q_lot").alias("lot")).distinct(), "group")
+    return members.groupBy("group", "lot").cogroup(asking.groupBy("target", "q_lot")).applyInArrow(lambda m, q: _opened(m, q, percent), _LINKS)
 
 
 def _joined(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,11 +221,10 @@ def classes(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame
     keyed = docs.select("doc_id", F.md5("text").alias("same"))
     first = keyed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"))
 
-    n_bytes = C.text_bytes(docs)
-    parts = X.n_parts(n_bytes)
-    batches = X.batched(docs.withColumnRenamed("doc_id", "node"), n_bytes, "node")
-    chosen = X.packed(first.select("node", X.batch_of(n_bytes, "node").alias("batch")), "node")
-    count = X.exchange(batches, parts, lambda t, f: _counted(_firsts(t, f), k), _total, "uint32", "uint8", wide=False, given=(chosen,))
+    to = X.layout(docs)
+    batches = X.batched(docs.withColumnRenamed("doc_id", "node"), to, "node")
+    chosen = X.packed(first.select("node", to.batch("node").alias("batch")), "node")
+    count = X.exchange(batches, to.parts, lambda t, f: _counted(_firsts(t, f), k), _total, "uint32", "uint8", wide=False, given=(chosen,))
     described = C.stored(X.consume(batches, (chosen, count), lambda t, f, c: _described(_firsts(t, f), c, k, percent), _SETS), "sets")
 
     live = described.where("tokens is not null and node is not null")
@@ -209,24 +238,27 @@ def classes(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame
 
     inside = sets.withColumn("comp", F.col("node")).select("group", "node", "n", "comp", "tokens").groupBy("group").applyInArrow(lambda t: _inside(t, percent), _LINKS)
     comps = _joined(sets.select("node", F.col("node").alias("comp")), C.stored(inside, "links"))
+    unions = C.stored(sets.select("group", "tokens").groupBy("group").applyInArrow(_union, "group long, tokens binary"), "unions")
 
     def matrix() -> DataFrame:
         """Prefix shingles that more than one component has."""
-        rows = sets.join(comps, "node").select("node", "group", "whole", "comp", F.explode("prefix").alias("token"))
+        rows = sets.join(comps, "node").select("node", "n", "group", "whole", "comp", F.explode("prefix").alias("token"))
         hub = rows.groupBy("token").agg(F.min(F.struct("comp", "group")).alias("hub"), F.max("comp").alias("last")).where("hub.comp <> last").select("token", "hub")
         return rows.join(hub, "token")
 
     star = matrix().where("comp <> hub.comp").select("node", F.col("hub.group").alias("target")).distinct()
-    comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), C.stored(star, "asks"), percent), "links"))
-    rest = C.stored(matrix().select("token", "node", "group", "comp", "whole"), "matrix")
-    cells = rest.groupBy("token", F.col("group").alias("target")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), unions, C.stored(star, "asks"), percent), "links"))
+    rest = C.stored(matrix().select("token", "node", "n", "group", "comp", "whole"), "matrix")
+    span = (F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cells = rest.groupBy("token", F.col("group").alias("target")).agg(*span)
     unit = F.when(~F.col("whole"), F.col("node"))
-    units = rest.groupBy("token", "group", unit.alias("unit")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    asks = units.join(cells.withColumnsRenamed({"low": "low2", "high": "high2"}), "token").where("group < target and (low <> low2 or high <> high2 or low <> high)").select("unit", "group", "target").distinct()
+    units = rest.groupBy("token", "group", unit.alias("unit")).agg(*span)
+    sizes = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
+    asks = units.join(cells.withColumnsRenamed({c: f"{c}2" for c in ("low", "high", "least", "most")}), "token").where("group < target and (low <> low2 or high <> high2 or low <> high)").where(sizes).select("unit", "group", "target").distinct()
     asks = C.stored(asks, "asks")
     members = sets.where("whole").select("node", "group")
     asks = asks.where("unit is not null").select(F.col("unit").alias("node"), "target").union(members.join(asks.where("unit is null"), "group").select("node", "target"))
-    comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), C.stored(asks, "asks"), percent), "links"))
+    comps = _joined(comps, C.stored(_open(sets.join(comps, "node"), unions, C.stored(asks, "asks"), percent), "links"))
 
     per_text = described.select("same", "node", "n").join(comps, "node", "left").select("same", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component"))
     per_text = per_text.groupBy("same").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"))
@@ -235,7 +267,12 @@ def classes(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame
 
 
 def kept(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame:
-    """docs without those whose class has a smaller doc_id; of equal rows one stays."""
+    """docs without those whose class has a smaller doc_id.
+
+    Of rows equal in doc_id and text one stays; different texts under one doc_id all
+    stay if that is their class's smallest; rows with a null doc_id all stay.
+    """
     reach = classes(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    none = docs.where("doc_id is null")
-    return docs.dropDuplicates(["doc_id"]).join(reach, "doc_id", "left_semi").unionByName(none)
+    own = C.unused(docs, "same")
+    once = docs.where("doc_id is not null").withColumn(own, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", own]).drop(own)
+    return once.join(reach, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
