@@ -26,6 +26,8 @@ from loomwork.llm import common as C
 BINS = 512
 BITS = 4
 _TRIES = 64
+LOTS = 1 << 16
+PER_LOT = 32
 
 
 def _attempts(bins: int, first: int) -> np.ndarray:
@@ -98,7 +100,8 @@ class Fingerprinter:
 
 
 def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = C.SHINGLE) -> DataFrame:
-    """docs (doc_id, text) with a column `fingerprint`: hex."""
+    """docs (doc_id, text) with a column `fingerprint`: hex; a column that has this name already is replaced."""
+    docs = C.without(docs, "fingerprint")
     schema = C.with_field(docs, "fingerprint", "string")
 
     def run(batches):
@@ -124,19 +127,23 @@ def _pairs(rows, maker: Fingerprinter):
             held = None if a else (g, i, t, f)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (lot, ahead, key, doc_id, text): lots are runs of doc_id, each ended by the first rows of the next one.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(rows, partitions to deal them to).  Rows (lot, ahead, key, doc_id, text): lots are runs of doc_id, each ended by the first rows of the next one.
 
-    The last lot ends with the first document.  Cut points are doc_ids from one
-    pass over the id column, as many as partitions (their number is the one
-    thing sent to tasks); the texts are shuffled once.
+    The last lot ends with the first document.  Cut points are quantiles of a sample
+    of doc_ids by hash, about `PER_LOT` a lot; they decide only where lots end.  There
+    are at most `LOTS` lots, so the sample is bounded; a lot is read in a stream,
+    whatever its size.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.id_key().alias("key"), "text")
-    n = int(max(4 * C.n_shuffle(spark), C.text_bytes(docs) // (16 << 20)))
-    found = docs.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))
+    n_bytes, n_rows = C.extent(docs)
+    n = int(min(LOTS, max(4 * C.n_shuffle(spark), n_bytes // (16 << 20))))
+    some = docs.where(F.pmod(F.xxhash64("key", F.lit("lot")), F.lit(max(1, n_rows // (PER_LOT * n)))) == 0).select("key").toArrow()
+    ids = np.sort(some.column("key").to_numpy())
     least = docs.agg(F.min("key")).first()[0]
-    cuts = np.array(sorted({int(c) for c in found if c < 1 << 53 and least < c}), np.int64)
+    cuts = np.unique(ids[(np.arange(1, n) * len(ids)) // n]) if len(ids) else np.empty(0, np.int64)
+    cuts = cuts[cuts > least] if len(cuts) else cuts
 
     def place(batches):
         for b in batches:
@@ -150,15 +157,16 @@ def with_next(docs: DataFrame) -> DataFrame:
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(lots.astype(np.int32)), pa.array(ahead), *(b.column(c).take(take) for c in ("key", "doc_id", "text"))], ["lot", "ahead", "key", "doc_id", "text"])
 
-    return docs.mapInArrow(place, "lot int, ahead boolean, key long, doc_id long, text string")
+    return docs.mapInArrow(place, "lot int, ahead boolean, key long, doc_id long, text string"), max(C.n_shuffle(spark), n_bytes // (64 << 20))
 
 
 def edited_report(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = C.SHINGLE) -> DataFrame:
     """Fingerprints of each document and of its edited text (see op1), and their likeness.
 
-    Edge cases: null text is empty; equal doc_ids are ordered by text; null
-    doc_ids come last; the only document is its own next one; an empty table
-    gives no rows.
+    Edge cases: null text is empty; equal doc_ids (repeated rows too) are ordered by
+    text; null doc_ids come last; the only document is its own next one; very long
+    texts are taken whole, rows in runs of some MB; columns but doc_id and text are
+    not read; an empty table gives no rows.
     """
 
     def run(batches):
@@ -193,6 +201,5 @@ def edited_report(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int =
         if out:
             yield flush()
 
-    rows = with_next(docs)
-    n = max(C.n_shuffle(docs.sparkSession), 1)
+    rows, n = with_next(docs)
     return rows.repartition(n, "lot").sortWithinPartitions("lot", "ahead", "key", "text").mapInArrow(run, _OUT)
