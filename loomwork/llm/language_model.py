@@ -11,26 +11,26 @@ words fall into tail classes by their last bytes; within one, a word w has
 with the count c(w) from all training texts, and the class's N_k tokens and V_k
 words, so unseen words have a probability too.  The end of a text is a class of
 its own.  The network is a GRU whose input is a table row per word or tail class.
-It is trained by truncated backpropagation (state carried over windows of `STEPS`
-tokens) with Adam: first on the driver, on at most `SAMPLE` training texts taken by
-a hash of their id, which only gives the start; then on the executors, once over
-every token of all training texts.  For that, texts are dealt by a hash of their id
-into shards, and shards into rounds; the shards of a round start from the same
-weights, and the average of what they come to, by tokens, starts the next round.
-Shards a round and rounds both grow with the root of the number of shards.
+It starts from the unigram counts, and is trained by truncated backpropagation
+(state carried over windows of `STEPS` tokens) with Adam, on the executors, once over
+every token of all training texts.  For that, texts become input numbers where they
+are read, are dealt by a hash of their id into shards, and shards into rounds; the
+shards of a round start from the same weights, and the average of what they come to,
+by tokens, starts the next round.  Shards a round and rounds both grow with the root
+of the number of shards.  The driver holds weights only.
 
 Scoring runs whole documents, batch by batch, all of a batch side by side; the
 state is carried from window to window up to the end of each text.
 
 Edge cases: null or blank text is the end token alone; a null doc_id is training
-text; without training text every count is 0 and the network stays untrained; an
-empty table gives no rows.
+text; repeated rows are learnt from and scored each; a very long text is one lane's, to
+its end; columns but doc_id and text are not read; without training text every count
+is 0 and the network stays untrained; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +41,14 @@ from loomwork.llm import common as C
 from loomwork.llm import exchange as X
 from loomwork.llm.toxicity import fold
 
-HEAD = 504
-PER_CLASS = 21
+HEAD = 1008
+PER_CLASS = 32
 TAILS = 24
-HIDDEN = 16
+HIDDEN = 32
 STEPS = 20
-LANES = 64
-SAMPLE = 3_000
-PASSES = 1_400
 WIDE = 256
 ROUNDS = 8
-RATE = 0.003
+RATE = 0.01
 _COUNT = np.uint64((1 << 40) - 1)
 
 
@@ -172,98 +169,111 @@ class GRU:
         c = np.tanh(g[:, 2 * n :] + reset * r[:, 2 * n :])
         return z * h + (1 - z) * c, (x, h, z, reset, c, r[:, 2 * n :])
 
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of y, their order, and where each head class begins in it."""
+        cls = self.v.classes(y)
+        order = np.argsort(cls, kind="stable")
+        return cls, order, np.searchsorted(cls[order], np.arange(self.v.n_head + 1))
+
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P of the class, and of head words within theirs; tail words' own share is not in it."""
-        cls = self.v.classes(y)
+        cls, order, cut = self._by_class(y)
         logit = h @ self.p["out"] + self.p["out_b"]
         top = logit.max(1)
         out = logit[np.arange(len(y)), cls] - top - np.log(np.exp(logit - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.v.n_head + 1))
+        h, slot, more = h[order[: cut[-1]]], self.v.slot[y[order[: cut[-1]]]], np.empty(cut[-1], h.dtype)
         for c in range(self.v.n_head):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at):
-                word = h[at] @ self.p["word"][c] + self.p["word_b"][c]
+            a, b = cut[c], cut[c + 1]
+            if b > a:
+                word = h[a:b] @ self.p["word"][c] + self.p["word_b"][c]
                 peak = word.max(1)
-                out[at] += word[np.arange(len(at)), self.v.slot[y[at]]] - peak - np.log(np.exp(word - peak[:, None]).sum(1))
+                more[a:b] = word[np.arange(b - a), slot[a:b]] - peak - np.log(np.exp(word - peak[:, None]).sum(1))
+        out[order[: cut[-1]]] += more
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
         """One window (steps x lanes) of truncated backpropagation: gradients, last state, loss."""
         n, (steps, lanes) = HIDDEN, x.shape
-        saved, states = [], []
+        saved, states = [], np.empty((steps, lanes, n), h.dtype)
         for t in range(steps):
             h = h * live[t, :, None]
             h, keep = self.step(x[t], h)
             saved.append(keep)
-            states.append(h)
-        flat, goal = np.concatenate(states), y.ravel()
+            states[t] = h
+        flat, goal = states.reshape(-1, n), y.ravel()
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         count = len(goal)
-        cls = self.v.classes(goal)
-        logit = flat @ self.p["out"] + self.p["out_b"]
-        e = np.exp(logit - logit.max(1, keepdims=True))
-        d = e / e.sum(1, keepdims=True)
+        cls, order, cut = self._by_class(goal)
+        d = flat @ self.p["out"]
+        d += self.p["out_b"]
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
         loss = -np.log(d[np.arange(count), cls] + 1e-12).sum()
         d[np.arange(count), cls] -= 1
         d /= count
         g["out"], g["out_b"] = flat.T @ d, d.sum(0)
         dh_all = d @ self.p["out"].T
+        order = order[: cut[-1]]
+        heads, slot, dh_heads = flat[order], self.v.slot[goal[order]], np.empty((len(order), n), flat.dtype)
         for c in range(self.v.n_head):
-            at = np.flatnonzero(cls == c)
-            if len(at):
-                word = flat[at] @ self.p["word"][c] + self.p["word_b"][c]
-                e = np.exp(word - word.max(1, keepdims=True))
-                d = e / e.sum(1, keepdims=True)
-                slot = self.v.slot[goal[at]]
-                loss -= np.log(d[np.arange(len(at)), slot] + 1e-12).sum()
-                d[np.arange(len(at)), slot] -= 1
+            a, b = cut[c], cut[c + 1]
+            if b > a:
+                d = heads[a:b] @ self.p["word"][c] + self.p["word_b"][c]
+                d -= d.max(1, keepdims=True)
+                np.exp(d, out=d)
+                d /= d.sum(1, keepdims=True)
+                at = np.arange(b - a), slot[a:b]
+                loss -= np.log(d[at] + 1e-12).sum()
+                d[at] -= 1
                 d /= count
-                g["word"][c], g["word_b"][c] = flat[at].T @ d, d.sum(0)
-                dh_all[at] += d @ self.p["word"][c].T
+                g["word"][c], g["word_b"][c] = heads[a:b].T @ d, d.sum(0)
+                dh_heads[a:b] = d @ self.p["word"][c].T
+        dh_all[order] += dh_heads
         dh_all = dh_all.reshape(steps, lanes, n)
-        carry, d_in = np.zeros((lanes, n), np.float32), []
+        carry, d_in = np.zeros((lanes, n), flat.dtype), np.empty((steps, lanes, 3 * n), flat.dtype)
+        d_rec, before = np.empty_like(d_in), np.empty_like(states)
         for t in range(steps - 1, -1, -1):
-            xt, prev, z, reset, c, rc = saved[t]
+            _, prev, z, reset, c, rc = saved[t]
             dh = dh_all[t] + carry
             dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (prev - c) * z * (1 - z)
-            dr = dc * rc * reset * (1 - reset)
-            drec = np.concatenate((dz, dr, dc * reset), 1)
-            d_in.append(np.concatenate((dz, dr, dc), 1))
-            g["rec"] += prev.T @ drec
-            carry = (dh * z + drec @ self.p["rec"].T) * live[t, :, None]
-        which = x[::-1].ravel()
+            d_in[t, :, :n] = dh * (prev - c) * z * (1 - z)
+            d_in[t, :, n : 2 * n] = dc * rc * reset * (1 - reset)
+            d_in[t, :, 2 * n :] = dc
+            d_rec[t] = d_in[t]
+            d_rec[t, :, 2 * n :] *= reset
+            before[t] = prev
+            carry = (dh * z + d_rec[t] @ self.p["rec"].T) * live[t, :, None]
+        g["rec"] = before.reshape(-1, n).T @ d_rec.reshape(-1, 3 * n)
+        which = x.ravel()
         order = np.argsort(which, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], which[order][1:] != which[order][:-1])))
-        g["inp"][which[order][first]] = np.add.reduceat(np.concatenate(d_in)[order], first, axis=0)
+        g["inp"][which[order][first]] = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], first, axis=0)
         return g, h, loss / count
 
-    def train(self, texts: list[np.ndarray], passes: int | None = PASSES, rate: float = 0.01, lanes: int = LANES) -> list[float]:
-        """texts: input numbers of each, ended by vocab.stop.  Lanes read texts one after another, again and again; without passes, once."""
-        if not texts:
-            return []
+    def train(self, total: np.ndarray, rate: float, lanes: int) -> list[float]:
+        """total: input numbers of texts, each ended by vocab.stop.  Lanes read it side by side, once."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total = np.concatenate(texts)
-        fresh = np.zeros(len(total), bool)
-        fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
         before = np.concatenate(([self.v.stop], total[:-1]))
-        before[fresh] = self.v.stop
         starts = (np.arange(lanes) * len(total)) // lanes
-        passes = passes or math.ceil(math.ceil(len(total) / lanes) / STEPS)
+        windows = math.ceil(math.ceil(len(total) / lanes) / STEPS)
         h, losses = np.zeros((lanes, HIDDEN), np.float32), []
-        for i in range(passes):
+        for i in range(windows):
             at = (starts[None, :] + i * STEPS + np.arange(STEPS)[:, None]) % len(total)
-            g, h, loss = self.gradients(before[at], total[at], (~fresh[at]).astype(np.float32), h)
+            x = before[at]
+            g, h, loss = self.gradients(x, total[at], (x != self.v.stop).astype(np.float32), h)
             losses.append(float(loss))
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            slow = rate * min(1.0, 0.2 + 2 * (1 - i / passes))
+            size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+            step, fix = rate / (1 - 0.9 ** (i + 1)), 1 / (1 - 0.99 ** (i + 1))
             for k in self.NAMES:
-                x = g[k] * min(1.0, 1.0 / (size + 1e-9))
-                m[k] += 0.1 * (x - m[k])
-                s[k] += 0.01 * (x * x - s[k])
-                self.p[k] -= slow * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (i + 1))) + 1e-6)
+                x = g[k]
+                if size > 1:
+                    x *= np.float32(1 / size)
+                m[k] += np.float32(0.1) * (x - m[k])
+                np.square(x, out=x)
+                s[k] += np.float32(0.01) * (x - s[k])
+                self.p[k] -= np.float32(step) * m[k] / (np.sqrt(s[k] * np.float32(fix)) + np.float32(1e-6))
         return losses
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -296,27 +306,47 @@ class GRU:
         return back
 
 
-def _encoded(table: pa.Table, vocab: Vocabulary) -> pa.Table:
-    """The input numbers of a shard's texts, each ended by the end token, in an order that is the same in any layout."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    out = [np.append(ids[a:b], vocab.stop) for _, _, w in _words(table.column("text")) for ids in (vocab.ids(w),) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    C.trim()
-    return pa.table({"batch": table.column("batch")[:1], "tokens": pa.array([np.concatenate(out).astype(np.uint16).tobytes()], pa.binary())})
+_SUMS = "n long, sums binary"
 
 
-def whole_pass(shards: DataFrame, n_shards: int, model: GRU, about: tuple) -> int:
-    """Trains model once over every token of shards (batch, text; training texts only); the number of tokens read."""
-    spark = shards.sparkSession
-    rounds = min(n_shards, max(ROUNDS, math.isqrt(n_shards)))
+def _added(batches):
+    """Sums of sums, so that the driver gets few."""
+    n, total = 0, 0.0
+    for b in batches:
+        n += sum(b.column("n").to_pylist())
+        total = total + sum(np.frombuffer(x, np.float64) for x in b.column("sums").to_pylist())
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+
+
+def learn_all(docs: DataFrame, to: X.Layout, model: GRU, about: tuple) -> int:
+    """Trains model once over every token of docs (doc_id, text; training texts only); the number of tokens read."""
+    spark = docs.sparkSession
     box = spark.sparkContext.broadcast(about)
-    tokens = shards.groupBy("batch").applyInArrow(lambda t: _encoded(t, Vocabulary(*box.value)), "batch int, tokens binary")
-    at = f"{C.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    tokens.withColumn("round", F.pmod("batch", F.lit(rounds))).write.partitionBy("round").parquet(at)
-    stored = spark.read.schema("batch int, tokens binary, round int").parquet(at)
+    n_shards = to.batches
+    rounds = min(n_shards, max(ROUNDS, math.isqrt(n_shards)))
+
+    def encode(batches):
+        vocab = Vocabulary(*box.value)
+        for b in batches:
+            for i, j, w in _words(b.column("text")):
+                n = np.diff(w.first)
+                ids = np.insert(vocab.ids(w), w.first[1:], vocab.stop).astype(np.uint16)
+                ends = np.concatenate(([0], np.cumsum(2 * (n + 1)))).astype(np.int32)
+                cells = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("shard").slice(i, j - i), cells], ["doc_id", "shard", "tokens"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
+        return pa.table({"shard": table.column("shard")[:1], "tokens": pa.array([b"".join(table.column("tokens").to_pylist())], pa.binary())})
+
+    tokens = docs.select("doc_id", "text", to.batch().alias("shard")).mapInArrow(encode, "doc_id long, shard int, tokens binary")
+    tokens = tokens.groupBy("shard").applyInArrow(packed, "shard int, tokens binary").withColumn("round", F.pmod("shard", F.lit(rounds)))
+    shards = C.stored(tokens, "tokens", by="round")
     names, read = GRU.NAMES, 0
     for i in range(rounds):
         start = spark.sparkContext.broadcast(model.p)
-        rate = RATE * (1 - 0.8 * i / rounds)
+        rate = RATE * (1 - 0.85 * i / rounds)
 
         def learn(batches, start=start, rate=rate):
             vocab, n, total = Vocabulary(*box.value), 0, None
@@ -324,22 +354,27 @@ def whole_pass(shards: DataFrame, n_shards: int, model: GRU, about: tuple) -> in
                 for cell in b.column("tokens"):
                     ids = np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
                     net = GRU(vocab, params={k: x.copy() for k, x in start.value.items()})
-                    net.train(np.split(ids, np.flatnonzero(ids == vocab.stop)[:-1] + 1), None, rate, max(1, min(WIDE, len(ids) // (128 * STEPS))))
+                    net.train(ids, rate, max(1, min(WIDE, len(ids) // (128 * STEPS))))
                     flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * len(ids)
                     n, total = n + len(ids), flat if total is None else total + flat
+            C.trim()
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
 
         width = max(1, math.ceil(n_shards / rounds))
-        got = stored.where(F.col("round") == i).select("tokens").repartition(width).mapInArrow(learn, "n long, sums binary").collect()
-        n = sum(r["n"] for r in got)
+        sums = shards.where(F.col("round") == i).select("tokens").repartition(width).mapInArrow(learn, _SUMS)
+        if width > 64:
+            sums = sums.repartition(math.isqrt(width)).mapInArrow(_added, _SUMS)
+        got = sums.collect()
+        n, whole = sum(r["n"] for r in got), sum(np.frombuffer(r["sums"], np.float64) for r in got)
         if n:
-            mean, a = sum(np.frombuffer(r["sums"], np.float64) for r in got) / n, 0
+            mean, a = whole / n, 0
             for k in names:
                 size, shape = model.p[k].size, model.p[k].shape
                 model.p[k], a = mean[a : a + size].reshape(shape).astype(np.float32), a + size
         read += n
         start.unpersist()
+    C.forget(shards)
     return read
 
 
@@ -391,14 +426,13 @@ def _noted(batches):
             yield pa.RecordBatch.from_arrays([word, pa.array(np.concatenate((sums[0], rest[1]))), pa.array(np.concatenate((sums[1], np.ones(rest.shape[1], np.int64)))), pa.array(np.concatenate((np.arange(TAILS), rest[2])))], ["word", "n", "v", "tail"])
 
 
-def likelihoods(docs: DataFrame, *, head: int = HEAD, sample: int = SAMPLE, passes: int = PASSES) -> DataFrame:
+def likelihoods(docs: DataFrame, *, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~F.coalesce(fold() == 1, F.lit(False))).alias("train"))
-    n_bytes = C.text_bytes(docs)
-    parts = X.n_parts(n_bytes)
-    batches = X.batched(docs, n_bytes)
-    totals = X.exchange(batches, parts, _tokens, _sums, "uint64", "uint64", wide=True, note=_note(head))
+    to = X.layout(docs)
+    batches = X.batched(docs, to)
+    totals = X.exchange(batches, to.parts, _tokens, _sums, "uint64", "uint64", wide=True, note=_note(head))
     totals = X.Answers(C.stored(totals.rows, "counts"), totals.kind)
 
     noted = totals.rows.where("batch = -1").select("answer").mapInArrow(_noted, "word long, n long, v long, tail long")
@@ -412,14 +446,10 @@ def likelihoods(docs: DataFrame, *, head: int = HEAD, sample: int = SAMPLE, pass
     for r in top:
         n_k[r["tail"]] -= r["n"]
         v_k[r["tail"]] -= 1
-    ids = docs.where("train and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(C.stored(ids, "sample").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toArrow().column("text")
-
     vocab = Vocabulary(keys, head_count, n_k, v_k, ends)
     model = GRU(vocab)
-    model.train([np.append(vocab.ids(w)[a:b], vocab.stop) for _, _, w in _words(texts) for a, b in zip(w.first[:-1], w.first[1:], strict=True)], passes)
     about = (keys, head_count, n_k, v_k, ends)
-    read = whole_pass(batches.where("train").select("doc_id", "text", "batch"), max(1, n_bytes // X.BATCH_BYTES), model, about)
+    read = learn_all(docs.where("train").select("doc_id", "text"), to, model, about)
     if read != train_tokens:
         raise RuntimeError(f"trained on {read} tokens of {train_tokens}")
     box = spark.sparkContext.broadcast((*about, model.p))
