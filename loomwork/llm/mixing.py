@@ -10,13 +10,15 @@ floor(rate) times, and once more if a hash of seed and doc_id, as a number in
 [0, 1), lies under the rate's fraction.
 
 Documents are not shuffled while the source table (one row per source) has at
-most `BROADCAST_ROWS` rows, which is counted; beyond that the join is left to
+most `BROADCAST_BYTES` of names, which are counted; beyond that the join is left to
 Spark, which splits skewed sources.  Sums are partial before their shuffle, so a source with a third of all
-rows is no hot spot.
+rows is no hot spot.  The level is one order over the sources: their table goes
+through one task, 100 bytes a source.
 
-Edge cases: null or blank text has size 0 and is taken for 0 words; a source
-without words has target 0; null is a source of its own, last; rows with equal
-doc_id share the draw; an empty table gives no rows.
+Edge cases: null or blank text has size 0 and is taken for 0 words; a very long text
+is taken or left whole; a source without words has target 0; null is a source of its
+own, last; rows with equal (or null) doc_id share the draw; columns of any name come
+through `mixed` as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2.0
 SEED = "mix-1"
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
 def n_words(text) -> Column:
@@ -69,7 +71,7 @@ def copies(docs: DataFrame, *, budget: float = BUDGET, most: float = MOST, weigh
     sums = sized.groupBy("source").agg(F.sum("size").alias("tokens"))
     table = rates(weighted(sums, weights), budget, most).select(F.col("source").alias("s"), F.col("tokens").alias("source_size"), "target", "rate")
     table = C.stored(table, "rates")
-    if table.count() <= BROADCAST_ROWS:
+    if (table.agg(F.sum(F.coalesce(F.octet_length("s"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     joined = sized.join(table, sized["source"].eqNullSafe(F.col("s"))).drop("s")
     whole = F.floor("rate")

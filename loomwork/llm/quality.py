@@ -15,9 +15,11 @@ Training uses at most `most` rated documents, taken by a hash of their id (a
 documented bound), in numpy on the driver, on features built by Spark.  Every
 document's whole text is scored, without a shuffle of it.
 
-Edge cases: null or wordless text has only zeros as features; ratings that are
-null are left out; with one grade all documents have that grade; with none,
-grade and tail are null; repeated rows count as often as they come.
+Edge cases: null or wordless text has only zeros as features; a very long text is
+scored whole; ratings that are null, or of a null doc_id, are left out; with one grade
+all documents have that grade; with none, grade and tail are null; repeated rows count
+as often as they come, and get the same score; columns of any name come through (but
+expected_grade and tail are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,8 +61,11 @@ def _word_features(w: C.Words, bits: int) -> list[np.ndarray]:
     last = data[w.end - 1]
     form = C.mix(form * np.uint64(256) + np.where(_CLASS[last] == 3, last, 0).astype(np.uint64))
     mask = np.uint64((1 << bits) - 1)
+    starts = w.first[:-1][w.first[:-1] < len(w)]
     before = np.concatenate((form[:1], form[:-1]))
+    before[starts] = form[starts]
     same = np.concatenate(([False], w.hash[1:] == w.hash[:-1]))
+    same[starts] = False
     return [(x & mask).astype(np.int64) for x in (form, C.mix(form * np.uint64(31) + before), C.mix(w.hash + np.uint64(5)), C.mix(same.astype(np.uint64) + np.uint64(77)))]
 
 
@@ -154,6 +159,7 @@ def fit(docs: DataFrame, ratings: DataFrame, *, most: int = MOST, bits: int = BI
 
 def rated(docs: DataFrame, ratings: DataFrame, at_least: int = 1, **options) -> DataFrame:
     """docs with expected_grade and tail = P(grade >= at_least)."""
+    docs = C.without(docs, "expected_grade", "tail")
     model = fit(docs, ratings, **options)
     if model is None:
         return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail", F.lit(None).cast("double"))

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from loomwork.llm import common as C
@@ -207,13 +209,18 @@ def test_licences(spark, docs, none):
     lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
     assert all(model.predict(f"This file is {t}.")[3] for t in lines)
     assert not any(model.predict(t)[3] for t in licenses.NEGATIVE)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    apache = "Licensed under the\nApache License,\nVersion 2.0 (the \"License\")"
+    wrapped = [(10, "x\n\n" + gpl.format(3)), (11, gpl.format(2) + "\n\ny"), (12, apache), (13, "Licensed under the\n\nApache"), (14, " ".join(["word"] * 20_000) + " released under the MIT license"), (None, apache)]
+    got = sorted(((r.doc_id or 0), r.n_lines, tuple(r.families)) for r in licenses.scan(spark.createDataFrame(wrapped, "doc_id long, text string"), model).collect())
+    assert got == [(0, 1, ("apache-2.0",)), (10, 1, ("gpl-3.0",)), (11, 1, ("gpl-2.0",)), (12, 1, ("apache-2.0",)), (13, 0, ()), (14, 1, ("mit",))]
     rows = [(1, "a b\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (2, None), (3, "the license plate"), (4, ""), (4, "Licensed under CC BY-NC 4.0.\n" * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_lines, tuple(r.families)) for r in licenses.scan(df, model).collect())
     assert got == [(1, 2, ("apache-2.0", "mit")), (2, 0, ()), (3, 0, ()), (4, 0, ()), (4, 3, ("cc-by-nc-4.0",))]
     for r in licenses.paragraphs(df, model).collect():
         text = next(t for i, t in rows if i == r.doc_id and t)
-        want = model.predict(text.split("\n")[r.line])
+        want = model.predict(" ".join(text.split("\n")[r.line : r.line + r.lines]))
         assert r.family == want[0] and abs(r.probability - want[1]) < 1e-6 and abs(r.coverage - want[2]) < 1e-9 and r.confirmed == want[3]
     assert licenses.scan(none, model).count() == 0
 
@@ -264,6 +271,59 @@ def test_toxicity(spark):
     assert toxicity.kept(df, lab).columns == df.columns
 
 
+def test_toxicity_probabilities_equal_a_plain_model():
+    """The counts by dictionaries, P_c along the prefixes in plain Python; mass of known and unknown continuations is 1."""
+    rows, labels = sample(60, 4)
+    train = [(t, y) for (_, t), (_, _, y) in zip(rows, labels, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in train]), pa.array([y for _, y in train], pa.int32())], ["text", "toxic"])
+    found = pa.Table.from_batches(list(toxicity._nodes([batch]))).group_by(["node", "up", "word"]).aggregate([("n0", "sum"), ("n1", "sum")])
+    top = found.filter(pa.compute.equal(found["up"], int(toxicity._ROOT.view(np.int64))))
+    root = (sum(top["n0_sum"].to_pylist()), sum(top["n1_sum"].to_pylist()), top.num_rows)
+    per = found.group_by(["node", "up"]).aggregate([("n0_sum", "sum"), ("n1_sum", "sum"), ("word", "count")])
+    per = per.filter(pa.compute.greater_equal(pa.compute.add(per["n0_sum_sum"], per["n1_sum_sum"]), 3))
+    col = lambda c: per[c].to_numpy()
+    model = toxicity.KneserNey(col("node").view(np.uint64), col("up").view(np.uint64), col("n0_sum_sum"), col("n1_sum_sum"), col("word_count"), root)
+
+    word_re = re.compile("[a-z0-9\x80-\xff]+")
+    chain = lambda w: [*(w[:n] for n in toxicity.LENGTHS if len(w) >= n), w + "$"]
+    n, below = collections.Counter(), collections.defaultdict(set)
+    for t, y in train:
+        for w in word_re.findall(t.lower()):
+            for x in ["", *chain(w)]:
+                n[x, y] += 1
+                below[x].add(w)
+    kept = {x for x in below if n[x, 0] + n[x, 1] >= 3}
+    children = collections.defaultdict(set)
+    for t, _ in train:
+        for w in word_re.findall(t.lower()):
+            for h, x in zip(["", *chain(w)], chain(w)):
+                children[h].add(x)
+
+    def rest(h, c):
+        return 1 - sum(max(n[x, c] - toxicity.D, 0) for x in children[h] & kept) / n[h, c] if n[h, c] else 1.0
+
+    def prob(x, h, c):
+        shared = len(below[x]) / len(below[h])
+        return max(n[x, c] - toxicity.D, 0) / n[h, c] + rest(h, c) * shared if n[h, c] else shared
+
+    for h in [h for h in kept if h[-1:] != "$"][:80]:
+        for c in (0, 1):
+            known = children[h] & kept
+            unknown = rest(h, c) * (1 - sum(len(below[x]) for x in known) / len(below[h]))
+            assert abs(sum(prob(x, h, c) for x in known) + unknown - 1) < 1e-9
+    for w in [*sorted({w for t, _ in train for w in word_re.findall(t.lower())})[:60], "zzz", "idi", "scumlike", "b"]:
+        want, h = 0.0, ""
+        for x in chain(w):
+            if x not in kept:
+                want += math.log(rest(h, 1) / rest(h, 0))
+                break
+            want, h = want + math.log(prob(x, h, 1) / prob(x, h, 0)), x
+        words = next(toxicity._words(pa.array([w])))[2]
+        assert abs(model.of_words(words, np.array([0]))[0] - want) < 1e-4
+        e = 0.01
+        assert abs(model.differences(words, (e,))[0, 0] - math.log(1 - e + e * math.exp(want))) < 1e-4
+
+
 def test_quality(spark):
     C.importable(spark)
     rows, labels = sample(600, 2)
@@ -286,7 +346,7 @@ def test_ordinal_fit_recovers_weights_and_ordered_cuts():
 
 
 def test_language_model(docs, none):
-    got = {r.doc_id: r for r in language_model.likelihoods(docs, passes=60).collect()}
+    got = {r.doc_id: r for r in language_model.likelihoods(docs).collect()}
     tokens = {i: [*lower(t).split(), None] for i, t in texts()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     count = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
@@ -296,14 +356,14 @@ def test_language_model(docs, none):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
         assert abs(r.base_score - base) < 1e-6 and r.score < 0
-    assert language_model.likelihoods(none, passes=5).count() == 0
+    assert language_model.likelihoods(none).count() == 0
 
 
-def test_language_model_learns_from_texts_outside_the_sample(spark):
+def test_language_model_learns_from_all_texts(spark):
     words = ["ka", "lo", "mi", "nu", "pe", "ri"]
     rows = [(i, " ".join(words[(i + j) % 6] for j in range(1500))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r for r in language_model.likelihoods(df, sample=1, passes=1).collect() if r.held_out]
+    got = [r for r in language_model.likelihoods(df).collect() if r.held_out]
     assert got and sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
 
 
@@ -364,3 +424,133 @@ def test_neighbours_search_goes_on_until_nothing_is_left(spark):
     found = neighbours.search(links, each, each.where("vertex = 200").select("vertex"), 2, beam=20)
     assert set(np.frombuffer(found.first()["ids"], np.int64)[:19].tolist()) == set(range(191, 210))
     assert neighbours.recall(found, each, 2, 19) == 1.0
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, batch int, part int, size long, node long, toxicity double, _toxicity int, tail int, expected_grade int, fingerprint int, tokens int, same int, lot int, target int, grade int, rate int"
+
+
+def edge_rows():
+    """Null and repeated ids, repeated rows, one id with two texts, null, empty, blank and very long texts, ties; every column clashes with some inner name."""
+    long_ = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [(None, "no id here", None), (None, None, "s"), (None, "no id here", None), (7, "alpha beta gamma delta epsilon zeta", "s"), (7, "alpha beta gamma delta epsilon zeta", "s"), (7, "one two three four five six", "s"), (8, None, "s"), (9, "", None), (10, " \n\t ", "s"), (11, long_, "t"), (12, long_ + " end", "t"), (13, "x" * 200_000, "t"), (14, "alpha beta gamma delta epsilon zeta", None), (1 << 60, "far", "s")]
+    return [(i, t, "en", s, len(t or ""), *[1] * 4, 0.5, *[1] * 10) for i, t, s in rows]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    C.importable(spark)
+    return spark.createDataFrame(edge_rows(), EDGE).repartition(2)
+
+
+def test_edge_cases_of_digests(spark, edge):
+    n, ids = len(edge_rows()), collections.Counter(r[0] for r in edge_rows())
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0), "x") for i in (7, 8, 9, 10, 11, 12, 13, 14)] + [(None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    jobs = {
+        "op1": lambda d: fingerprints.edited_report(d), "op2": lambda d: substring_dedup.digest(d), "op3": lambda d: jaccard_join.classes(d), "op4": lambda d: licenses.scan(d), "op5": lambda d: mixing.digest(d),
+        "op6": lambda d: language_model.likelihoods(d), "op7": lambda d: pieces.encoded(d), "op8": lambda d: toxicity.digest(d, labels), "op9": lambda d: quality.digest(d, labels),
+    }
+    got = {k: f(edge).collect() for k, f in jobs.items()}
+    for k, rows in got.items():
+        assert collections.Counter(r.doc_id for r in rows) == ids and len(rows) == n, k
+    removed = {r.doc_id: r.n_removed for r in got["op2"] if r.doc_id in (11, 12)}
+    assert removed == {11: 0, 12: 30_000}
+    links = {r.doc_id: r.component_id for r in got["op3"]}
+    assert links[14] == 7 and links[12] == 11 and links[None] is None and links[9] == 9
+    assert sorted(r.n_tokens for r in got["op6"] if r.doc_id in (8, 9, 10)) == [1, 1, 1]
+    assert {r.tokens is None for r in got["op7"] if r.doc_id == 8} == {True} and {len(r.tokens) for r in got["op7"] if r.doc_id == 9} == {0}
+    assert len({r.score for r in got["op8"] if r.doc_id in (8, 9, 10)}) == 1
+    for k, f in jobs.items():
+        assert f(edge.limit(0)).count() == 0, k
+
+
+def test_edge_cases_of_tables_with_clashing_columns(spark, edge):
+    """Operators that return the table itself keep its columns and rows."""
+    rows = edge_rows()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 15)], "doc_id long, toxic int")
+    clean = substring_dedup.cleaned(edge)
+    assert clean.columns == edge.columns and clean.count() == len(rows) and clean.schema == edge.schema
+    fine = toxicity.kept(edge, labels)
+    assert fine.columns == edge.columns and fine.count() <= len(rows)
+    kept = jaccard_join.kept(edge)
+    assert kept.columns == edge.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == sorted([(0, "no id"), (0, ""), (0, "no id"), (7, "alpha"), (7, "one t"), (8, ""), (9, ""), (10, " \n\t "), (11, "w0 w1"), (13, "xxxxx"), (1 << 60, "far")])
+    mixed = mixing.mixed(edge)
+    assert mixed.columns == edge.columns
+    assert set(fingerprints.fingerprints(edge).columns) == set(edge.columns)
+    grades = quality.rated(edge, spark.createDataFrame([(i, i % 3) for i in range(7, 15)], "doc_id long, grade int"), at_least=2)
+    assert set(grades.columns) == set(edge.columns) and grades.where("tail between 0 and 1 and expected_grade between 0 and 2").count() == len(rows)
+    assert toxicity.scored(edge, labels, "tail").columns.count("tail") == 1
+
+
+def test_fingerprint_lots_of_large_ids(spark):
+    C.importable(spark)
+    for far in (0, 1 << 60):
+        rows, parts = fingerprints.with_next(spark.createDataFrame([(far + i * 1001, f"t {i}") for i in range(400)], "doc_id long, text string"))
+        assert rows.select("lot").distinct().count() >= 4 * C.n_shuffle(spark) and parts >= 1
+
+
+def test_exchange_layout_grows_with_the_root():
+    from loomwork.llm import exchange as X
+
+    gb = 1 << 30
+    cells = lambda n: X.Layout(n, n // 2000, 64).batches * X.Layout(n, n // 2000, 64).parts
+    assert cells(256 * gb) <= 512 * cells(gb) and X.Layout(50 << 20, 50_000, 211).batches == 50_000 // X.LEAST_ROWS
+    assert X.Layout(0, 0, 8).batches == 1
+
+
+def test_quality_grades_against_a_plain_model(spark):
+    """Three grades through `rated`: tails and expected grades equal a plain sum over the words' features."""
+    C.importable(spark)
+    r = random.Random(6)
+    texts_ = [(i, " ".join(r.choice(["good", "fine", "bad"][g : g + 1] + ["ka", "lo", "mi"]) for _ in range(30))) for i in range(400) for g in [i % 3]]
+    df, marks = spark.createDataFrame(texts_, "doc_id long, text string"), spark.createDataFrame([(i, 2 - i % 3) for i, _ in texts_], "doc_id long, grade int")
+    model = quality.fit(df, marks)
+    got = {x.doc_id: x for x in quality.rated(df, marks, at_least=2).collect()}
+    bits = (len(model.weights) - quality._DENSE).bit_length() - 1
+    assert len(model.cuts) == 2 and model.cuts[0] < model.cuts[1]
+    for i, t in texts_[:40]:
+        w, kinds, dense = next(quality._texts(pa.array([t]), bits))
+        z = sum(model.weights[int(k[j])] for k in kinds for j in range(len(w))) / len(w) + float(dense[0] @ model.weights[-quality._DENSE :])
+        tails = [1 / (1 + math.exp(c - z)) for c in model.cuts]
+        assert abs(got[i].tail - tails[1]) < 1e-6 and abs(got[i].expected_grade - sum(tails)) < 1e-6
+    held = [i for i, _ in texts_ if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([round(got[i].expected_grade) == 2 - i % 3 for i in held]) > 0.95
+
+
+def test_language_model_score_equals_a_plain_loop():
+    """ln P of a text, token by token, with the recurrent step, class and word softmax written out."""
+    L = language_model
+    v = L.Vocabulary(np.arange(1, 90, dtype=np.uint64) * np.uint64(77), np.arange(1, 90)[::-1], np.arange(1, L.TAILS + 1), np.ones(L.TAILS), 9)
+    m = L.GRU(v)
+    r = np.random.default_rng(3)
+    m.p = {k: (x + r.normal(0, 0.1, x.shape) * (x > -1e8)).astype(np.float64) for k, x in m.p.items()}
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    for text in ([], [3], r.integers(0, v.stop, 40).tolist()):
+        h, x, total, n = np.zeros(L.HIDDEN), v.stop, 0.0, L.HIDDEN
+        for y in [*text, v.stop]:
+            g, q = m.p["inp"][x], h @ m.p["rec"]
+            z, reset = sig(g[:n] + q[:n]), sig(g[n : 2 * n] + q[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + reset * q[2 * n :])
+            logit, c = h @ m.p["out"] + m.p["out_b"], int(v.classes(np.array([y]))[0])
+            total += logit[c] - math.log(sum(math.exp(a) for a in logit))
+            if c < v.n_head:
+                word = h @ m.p["word"][c] + m.p["word_b"][c]
+                total += word[v.slot[y]] - math.log(sum(math.exp(a) for a in word))
+            x = y
+        assert abs(m.score([np.array(text, np.int64)])[0] - total) < 1e-4
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    C.importable(spark)
+    r = random.Random(8)
+    follow = {w: [r.choice(range(60)) for _ in range(3)] for w in range(60)}
+    rows = []
+    for i in range(300):
+        w, out = r.randrange(60), []
+        for _ in range(300):
+            w = r.choice(follow[w])
+            out.append(f"w{w}")
+        rows.append((i, " ".join(out)))
+    got = [x for x in language_model.likelihoods(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
+    n = sum(x.n_tokens for x in got)
+    assert sum(x.score for x in got) / n > sum(x.base_score for x in got) / n + 0.3
