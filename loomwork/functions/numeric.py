@@ -46,6 +46,25 @@ def clamp(x, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), _c(x)))
 
 
+def is_finite(x) -> Column:
+    """Neither null, NaN nor infinite."""
+    return F.coalesce(~F.isnan(_c(x)) & (F.abs(_c(x)) < float("inf")), F.lit(False))
+
+
+def log_temperature(tau, least: float | None = None, most: float | None = None) -> Column:
+    """ln(tau) held to the logarithms of the bounds; bounds must be positive and in order."""
+    if any(b is not None and b <= 0 for b in (least, most)) or least is not None and most is not None and least >= most:
+        raise ValueError("0 < least < most")
+    out = F.ln(_c(tau))
+    if least is not None:
+        out = F.greatest(out, F.ln(F.lit(float(least))))
+    return F.least(out, F.ln(F.lit(float(most)))) if most is not None else out
+
+
+def temperature(log_tau) -> Column:
+    return F.exp(_c(log_tau))
+
+
 def dot(a, b) -> Column:
     """In double precision, component by component in order."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -99,6 +118,12 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.sha1(joined.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def hash52(*parts) -> Column:
+    """The first 13 hex digits: exact as a double."""
+    joined = F.concat_ws("|", *parts)
+    return F.conv(F.substring(F.sha1(joined.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def pick(pool, seed: int, report, path) -> Column:
     """One sentence of a pool, by hash of seed, report and path."""
     return F.when(F.size(pool) > 0, F.element_at(pool, (F.pmod(hash32(F.lit(str(seed)), report, path), F.greatest(F.size(pool), F.lit(1))) + 1).cast("int")))

@@ -48,15 +48,21 @@ def safe_name(c) -> Column:
 
 
 def image_id(path) -> Column:
-    """patient/study/view id with underscores; an error for any other path."""
-    found = F.regexp_extract(path, r"(?i)(patient\d+/study\d+/view\d+_[^/]+)\.(jpg|jpeg|png)$", 1)
+    """patient/study/view id with underscores, backslashes taken for slashes; an error for any other path."""
+    plain = F.translate(path, "\\", "/")
+    found = F.regexp_extract(plain, r"(?i)(patient\d+/study\d+/view\d+_[^/]+)\.(jpg|jpeg|png)$", 1)
     return F.when(found == "", F.raise_error(F.concat(F.lit("no image id in "), path)).cast("string")).otherwise(F.replace(found, F.lit("/"), F.lit("_")))
 
 
 def view(path, cell) -> Column:
-    """frontal or lateral: from the cell, else from the path, else null."""
-    where = F.lower(F.coalesce(F.when(F.trim(cell) != "", cell), path))
-    return F.when(where.contains("lateral"), "lateral").when(where.contains("frontal"), "frontal")
+    """frontal or lateral: what the cell says (frontal first), else lateral if the path says so, else frontal."""
+    said = F.lower(F.coalesce(cell, F.lit("")))
+    return F.when(said.contains("frontal") | ~(said.contains("lateral") | F.lower(F.coalesce(path, F.lit(""))).contains("lateral")), "frontal").otherwise("lateral")
+
+
+def run_stamp(at) -> Column:
+    """A run's name by its time."""
+    return F.date_format(at, "yyyyMMdd-HHmmss")
 
 
 def is_absent(label) -> Column:

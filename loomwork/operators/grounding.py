@@ -87,53 +87,93 @@ def normalised(pixels: DataFrame, key: list[str], how: str = "minmax") -> DataFr
     return pixels.withColumn("a", F.when(F.col("inside"), a).otherwise(F.lit(0.0)))
 
 
-def case_metrics(pixels: DataFrame, key: list[str], threshold: float = 0.5) -> DataFrame:
-    """(key, energy, pointing, topk_dice, topk_iou, dice, iou) of pixels (key, pos, a, gt).
+def case_metrics(pixels: DataFrame, key: list[str], threshold: float = 0.5, *, method: str = "fixed", percentile: float = 98.0, thresholds: DataFrame | None = None) -> DataFrame:
+    """(key, energy, pointing, topk_dice, topk_iou, dice, iou, threshold, auroc, auprc) of pixels (key, pos, a, gt; maybe inside).
 
+    Only pixels inside count, but the ground truth's own size is that of all.
     pointing: the ground truth at the largest a, lowest position first; top-k takes
-    as many pixels as the ground truth has, at least one.
+    as many pixels as the ground truth has, at least one.  dice and iou are those of a
+    mask: a >= `threshold` (fixed), a >= the case's percentile (percentile), the
+    top-k itself (topk), or, with thresholds (key of them, thr_dice, thr_iou), a >=
+    the one best for each.  auroc and auprc rank the pixels inside, NaN for one class.
     """
+    from loomwork.operators import metrics as M
+
+    if method not in ("fixed", "percentile", "topk"):
+        raise ValueError(method)
     per = W.partitionBy(*key)
-    turn = F.row_number().over(per.orderBy(F.desc("a"), "pos"))
-    k = F.greatest(F.lit(1), F.sum(F.col("gt").cast("int")).over(per))
-    rows = pixels.withColumn("turn", turn).withColumn("top", F.col("turn") <= k).withColumn("hit", F.col("a") >= threshold)
-    g, n = F.count_if("gt"), lambda c: F.count_if(F.col(c))
-    inter = lambda c: F.count_if(F.col(c) & F.col("gt"))
+    if "inside" not in pixels.columns:
+        pixels = pixels.withColumn("inside", F.lit(True))
+    gt = F.col("gt").cast("int")
+    rows = pixels.withColumn("g", F.sum(gt).over(per)).where("inside")
+    k = F.greatest(F.lit(1), F.col("g"))
+    rows = rows.withColumn("turn", F.row_number().over(per.orderBy(F.desc("a"), "pos"))).withColumn("top", F.col("turn") <= k)
+    if thresholds is not None:
+        rows = rows.join(F.broadcast(thresholds), [c for c in thresholds.columns if not c.startswith("thr_")])
+        cut, cut_dice = F.col("thr_iou"), F.col("thr_dice")
+    elif method == "percentile":
+        cuts = rows.groupBy(*key).agg(F.percentile("a", percentile / 100).alias("_cut"))
+        rows = rows.join(cuts, key)
+        cut = cut_dice = F.col("_cut")
+    else:
+        cut = cut_dice = F.lit(float("nan") if method == "topk" else float(threshold))
+    hit = F.col("top") if method == "topk" and thresholds is None else F.col("a") >= cut
+    hit_dice = F.col("top") if method == "topk" and thresholds is None else F.col("a") >= cut_dice
+    rows = rows.withColumn("hit", hit).withColumn("hit_dice", hit_dice).withColumn("cut", cut)
+    n, inter = lambda c: F.count_if(F.col(c)), lambda c: F.count_if(F.col(c) & F.col("gt"))
     out = rows.groupBy(*key).agg(
-        (F.sum(F.when(F.col("gt"), F.col("a")).otherwise(0.0)) / (F.sum("a") + 1e-8)).alias("energy"), F.max(F.when(F.col("turn") == 1, F.col("gt").cast("int"))).alias("pointing"),
-        g.alias("g"), n("top").alias("nt"), n("hit").alias("nh"), inter("top").alias("it"), inter("hit").alias("ih"),
+        (F.sum(F.when(F.col("gt"), F.col("a")).otherwise(0.0)) / (F.sum("a") + 1e-8)).alias("energy"), F.max(F.when(F.col("turn") == 1, gt)).alias("pointing"), F.max("g").alias("g"), F.max("cut").alias("threshold"),
+        *(f(c).alias(f"{w}_{c}") for c in ("top", "hit", "hit_dice") for w, f in (("n", n), ("i", inter))),
     )
-    d = lambda i, p: 2 * F.col(i) / (F.col(p) + F.col("g") + 1e-8)
-    u = lambda i, p: F.col(i) / (F.col(p) + F.col("g") - F.col(i) + 1e-8)
-    return out.select(*key, "energy", "pointing", d("it", "nt").alias("topk_dice"), u("it", "nt").alias("topk_iou"), d("ih", "nh").alias("dice"), u("ih", "nh").alias("iou"))
+    d = lambda c: 2 * F.col(f"i_{c}") / (F.col(f"n_{c}") + F.col("g") + 1e-8)
+    u = lambda c: F.col(f"i_{c}") / (F.col(f"n_{c}") + F.col("g") - F.col(f"i_{c}") + 1e-8)
+    out = out.select(*key, "energy", "pointing", d("top").alias("topk_dice"), u("top").alias("topk_iou"), d("hit_dice").alias("dice"), u("hit").alias("iou"), "threshold")
+    ranked = M.ranking(rows.select(*key, gt.alias("y"), F.col("a").alias("score")), key).select(*key, "auroc", "auprc")
+    return out.join(ranked, key)
+
+
+def localisation(pixels: DataFrame, chosen: DataFrame, *, how: str = "minmax", optimise: str | None = None, grid: int = 100, **options) -> DataFrame:
+    """Per (class, split): n_cases and means of the case metrics, without NaN; the driver of the localisation stage.
+
+    pixels (class, split, sample_id, pos, a, gt, inside): attention already of the
+    mask's size; chosen (class, split, sample_id): cases by `metrics.targets`.  Cases
+    without ground truth go.  optimise: a split on which each class's thresholds are
+    swept; the others are then measured with them.
+    """
+    key = ["class", "split", "sample_id"]
+    rows = pixels.join(chosen.select(*key).distinct(), key)
+    some = rows.groupBy(*key).agg(F.count_if("gt").alias("_g")).where("_g > 0").select(*key)
+    rows = normalised(rows.join(some, key), key, how)
+    thresholds = None
+    if optimise is not None:
+        thresholds = sweep_by(rows.where(F.col("inside") & (F.col("split") == optimise)), ["sample_id"], ["class"], grid).select("class", "thr_dice", "thr_iou")
+        rows = rows.where(F.col("split") != optimise)
+    cases = case_metrics(rows, key, thresholds=thresholds, **options)
+    mean = lambda c: F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"mean_{c}")
+    return cases.groupBy("class", "split").agg(F.count("*").alias("n_cases"), *map(mean, ("energy", "pointing", "topk_dice", "topk_iou", "dice", "iou", "auprc")))
 
 
 def sweep(pixels: DataFrame, key: list[str], n: int = 100) -> DataFrame:
-    """(thr_dice, dice, thr_iou, iou): the grid points i / n with the largest sums over cases with ground truth; 0.5 without a case.
+    """(thr_dice, dice, thr_iou, iou): the grid points i / n with the largest sums over cases with ground truth; 0.5 without a case."""
+    out = sweep_by(pixels, key, [], n)
+    return out.select("thr_dice", "dice", "thr_iou", "iou")
+
+
+def sweep_by(pixels: DataFrame, key: list[str], by: list[str], n: int = 100) -> DataFrame:
+    """The same for each value of `by`; a class without cases is no row.
 
-    A histogram per case and suffix sums, not a pass per threshold.
+    A histogram per case and suffix sums, not a pass per threshold.  A pixel counts at
+    grid points i / n <= a; its largest one is found against the grid's own values.
     """
-    at = F.floor(F.col("a") * n + 1e-9).cast("int")
-    bins = pixels.withColumn("i", F.least(F.greatest(at, F.lit(-1)), F.lit(n))).groupBy(*key, "i").agg(F.count("*").alias("m"), F.count_if("gt").alias("t"))
-    cases = bins.groupBy(*key).agg(F.sum("t").alias("g")).where("g > 0")
-    full = cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).join(bins, [*key, "i"], "left")
-    up = W.partitionBy(*key).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
+    near = F.floor(F.col("a") * n).cast("int")
+    at = F.when((near + 1) / F.lit(float(n)) <= F.col("a"), near + 1).when(near / F.lit(float(n)) > F.col("a"), near - 1).otherwise(near)
+    both = [*by, *key]
+    bins = pixels.withColumn("i", F.least(F.greatest(at, F.lit(-1)), F.lit(n))).groupBy(*both, "i").agg(F.count("*").alias("m"), F.count_if("gt").alias("t"))
+    cases = bins.groupBy(*both).agg(F.sum("t").alias("g")).where("g > 0")
+    full = cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).join(bins, [*both, "i"], "left")
+    up = W.partitionBy(*both).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
     full = full.withColumn("p", F.coalesce(F.sum("m").over(up), F.lit(0))).withColumn("x", F.coalesce(F.sum("t").over(up), F.lit(0)))
-    per = full.groupBy("i").agg(F.sum(2 * F.col("x") / (F.col("p") + F.col("g") + 1e-8)).alias("dice"), F.sum(F.col("x") / (F.col("p") + F.col("g") - F.col("x") + 1e-8)).alias("iou"))
+    per = full.groupBy(*by, "i").agg(F.sum(2 * F.col("x") / (F.col("p") + F.col("g") + 1e-8)).alias("dice"), F.sum(F.col("x") / (F.col("p") + F.col("g") - F.col("x") + 1e-8)).alias("iou"))
     first = lambda c: F.min(F.struct((-F.round(c, 9)).alias("v"), "i"))
-    out = per.agg(first("dice").alias("d"), first("iou").alias("u"))
-    return out.select(F.coalesce(F.col("d.i") / float(n), F.lit(0.5)).alias("thr_dice"), (-F.col("d.v")).alias("dice"), F.coalesce(F.col("u.i") / float(n), F.lit(0.5)).alias("thr_iou"), (-F.col("u.v")).alias("iou"))
-
-
-def contrast(image: np.ndarray, mode: str = "none", lo: float = 1.0, hi: float = 99.0, bins: int = 2048) -> np.ndarray:
-    """none, equalize (by cumulative histogram) or percentile stretch, of values in [0, 1]."""
-    if mode == "none":
-        return image
-    if mode == "equalize":
-        n, edges = np.histogram(image, bins, (0.0, 1.0))
-        share = np.cumsum(n) / max(1, n.sum())
-        return np.interp(image, (edges[:-1] + edges[1:]) / 2, share)
-    if mode == "percentile":
-        a, b = np.percentile(image, [lo, hi])
-        return np.clip((image - a) / max(b - a, 1e-6), 0, 1)
-    raise ValueError(mode)
+    out = (per.groupBy(*by) if by else per).agg(first("dice").alias("d"), first("iou").alias("u"))
+    return out.select(*by, F.coalesce(F.col("d.i") / float(n), F.lit(0.5)).alias("thr_dice"), (-F.col("d.v")).alias("dice"), F.coalesce(F.col("u.i") / float(n), F.lit(0.5)).alias("thr_iou"), (-F.col("u.v")).alias("iou"))

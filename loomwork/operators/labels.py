@@ -134,3 +134,19 @@ def units(reports: DataFrame, leaves: DataFrame, imputed: DataFrame | None = Non
     out = out.where((F.col("text") != "") & ~T.excluded(F.col("field"), skip, skip_prefixes))
     turn = F.row_number().over(W.partitionBy(report, "field", F.sha1(F.col("text").cast("binary"))).orderBy("ord"))
     return out.withColumn("turn", turn).where("turn = 1").drop("turn")
+
+
+def inspection(leaves: DataFrame, *, least_other: int = 1, threshold: float = 70.0, report: str = "doc_id") -> DataFrame:
+    """Per report and concept: raw label, label, base_valid, and the imputation decision with its numbers.
+
+    leaves (report, name, label, sev); a decision is made for pathologies only, others
+    have null there.
+    """
+    y, valid = label_and_mask(F.col("label"))
+    rows = leaves.select(report, "name", F.col("label").alias("raw"), y.alias("label"), valid.alias("base_valid"))
+    path = with_context(leaves.where(F.startswith("name", F.lit("pathologies."))), F.col("sev") != 0, report)
+    ok = (F.col("sev") == 0) & (F.col("n_other") >= least_other) & (F.col("ratio") >= threshold)
+    decided = path.select(report, "name", F.col("sev").alias("target_label"), "n_other", "ratio", ok.alias("eligible"))
+    out = rows.join(decided, [report, "name"], "left")
+    made = F.coalesce("eligible", F.lit(False)) & ~F.col("base_valid")
+    return out.withColumn("imputed", made).withColumn("mask", F.col("base_valid") | made)

@@ -118,3 +118,44 @@ def total_loss(cls, align, w_cls: float = 1.0, w_align: float = 1.0):
 def best_epoch(log: DataFrame, metric: str, split: str = "val") -> DataFrame:
     """The row of a metric log with the largest value, the earliest epoch on ties."""
     return log.where((F.col("metric") == metric) & (F.col("split") == split)).orderBy(F.desc("value"), "epoch").limit(1)
+
+
+def finite(rows: DataFrame, score: str = "score") -> DataFrame:
+    """Rows whose score is a finite number."""
+    return rows.where(N.is_finite(score))
+
+
+def targets(predictions: DataFrame, *, positive: bool = True, predicted: bool = False, most: int | None = None, seed: int = 42, key: str = "sample_id") -> DataFrame:
+    """Rows (class, key, gt, pred, ..) with a valid ground truth; positive ones, predicted ones; at most so many of each class, by hash."""
+    rows = predictions.where(F.col("gt").isin(0, 1))
+    if positive:
+        rows = rows.where("gt = 1")
+    if predicted:
+        rows = rows.where("pred = 1")
+    if most is None:
+        return rows
+    turn = F.row_number().over(W.partitionBy("class", "split").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key))
+    return rows.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
+
+
+def classification(scores: DataFrame, truth: DataFrame, mapping: DataFrame, thresholds: DataFrame, *, default: float = 0.5) -> DataFrame:
+    """Per split and class: confusion counts and shares, AUROC and AUPRC over finite scores, of mapped concept scores.
+
+    scores (split, sample_id, name, prob), truth (split, sample_id, class, gt; null for
+    none), mapping (name, class), thresholds (name, thr).  The model's forward pass is
+    the table of scores.
+    """
+    rows = scores.join(F.broadcast(thresholds.select("name", "thr")), "name", "left").withColumn("pred", (F.col("prob") >= F.coalesce("thr", F.lit(default))).cast("int"))
+    keyed = rows.withColumn("sample_id", F.struct("split", "sample_id"))
+    mapped = class_scores(keyed, mapping).select("sample_id.split", "sample_id.sample_id", "class", "pred", "prob")
+    both = mapped.join(truth.where(F.col("gt").isin(0, 1)), ["split", "sample_id", "class"]).withColumn("y", F.col("gt"))
+    counts = confusion(both, ["split", "class"])
+    ranked = ranking(finite(both.withColumn("score", F.col("prob"))), ["split", "class"]).select("split", "class", "auroc", "auprc")
+    all_ = truth.select("split").distinct().crossJoin(F.broadcast(mapping.select("class").distinct()))
+    out = all_.join(counts, ["split", "class"], "left").join(ranked, ["split", "class"], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def macro(per_class: DataFrame, columns: tuple[str, ...] = ("auroc", "auprc"), key: str = "split") -> DataFrame:
+    """Means over classes, without null and NaN."""
+    return per_class.groupBy(key).agg(*(F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(f"macro_{c}") for c in columns))

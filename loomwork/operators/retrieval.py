@@ -11,26 +11,42 @@ from pyspark.sql import functions as F
 from loomwork.functions import documents as D
 from loomwork.functions import numeric as N
 
-BANK_ROWS = 200_000
-
-
-def bank_side(bank: DataFrame) -> DataFrame:
-    """The bank, broadcast only while its counted rows stay under BANK_ROWS."""
-    return F.broadcast(bank) if bank.count() <= BANK_ROWS else bank
+def _nearest(queries: pa.Table, bank: pa.Table, k: int) -> pa.Table:
+    """Of a block of a concept's bank: each query's k most similar different texts."""
+    rows: dict[str, list] = {"query_id": [], "concept": [], "text": [], "text_idx": [], "sim": []}
+    if queries.num_rows and bank.num_rows:
+        matrix = lambda t, c: np.array(t.column(c).to_pylist(), np.float64)
+        u, texts, at = matrix(bank, "u"), bank.column("text").to_pylist(), bank.column("text_idx").to_numpy()
+        names, group = np.unique(np.array(texts, object).astype(str), return_inverse=True)
+        for a in range(0, queries.num_rows, 256):
+            part = queries.slice(a, 256)
+            sims = matrix(part, "v") @ u.T
+            for q, s in zip(part.column("q_id").to_pylist(), sims, strict=True):
+                order = np.lexsort((at, -s))
+                _, first = np.unique(group[order], return_index=True)
+                for i in order[np.sort(first)[:k]]:
+                    for c, x in zip(rows, (q, bank.column("concept")[0].as_py(), texts[i], int(at[i]), float(s[i])), strict=True):
+                        rows[c].append(x)
+    kinds = [("query_id", pa.int64()), ("concept", bank.schema.field("concept").type), ("text", pa.string()), ("text_idx", pa.int64()), ("sim", pa.float64())]
+    return pa.table(rows, pa.schema(kinds))
 
 
 def top_texts(queries: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, concept, rank, sim, text): the k most similar different texts of the query's concept.
 
     queries (query_id, concept, v), bank (concept, text_idx, text, raw): both are
-    normalised; of equal texts the most similar counts.
+    normalised; of equal texts the most similar counts.  A concept's bank is dealt into
+    blocks by text, each block multiplied with the concept's queries in Arrow, and only
+    k rows a block and query are merged; no side is broadcast.
     """
-    q = queries.select("query_id", "concept", N.unit("v").alias("v"))
-    b = bank.select("concept", "text_idx", F.trim("text").alias("text"), N.unit("raw").alias("u"))
-    sims = q.join(bank_side(b), "concept").select("query_id", "concept", "text_idx", "text", N.dot("v", "u").alias("sim"))
-    best = sims.groupBy("query_id", "concept", "text").agg(F.min(F.struct((-F.col("sim")).alias("s"), "text_idx")).alias("at"))
-    rank = F.row_number().over(W.partitionBy("query_id", "concept").orderBy("at.s", "at.text_idx"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "concept", "rank", (-F.col("at.s")).alias("sim"), "text")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = bank.select("concept", F.col("text_idx").cast("long").alias("text_idx"), F.trim("text").alias("text"), N.unit("raw").alias("u"))
+    b = b.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))
+    q = queries.select(F.col("query_id").cast("long").alias("q_id"), F.col("concept").alias("q_concept"), N.unit("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q_part"))
+    kind = bank.schema["concept"].dataType.simpleString()
+    best = q.groupBy("q_concept", "q_part").cogroup(b.groupBy("concept", "part")).applyInArrow(lambda x, y: _nearest(x, y, k), f"query_id long, concept {kind}, text string, text_idx long, sim double")
+    rank = F.row_number().over(W.partitionBy("query_id", "concept").orderBy(F.desc("sim"), "text_idx"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "concept", "rank", "sim", "text")
 
 
 def pooled(rows: DataFrame, key: list[str], vector: str, how: str = "mean", normalise: bool = True) -> DataFrame:
@@ -47,7 +63,7 @@ def zero_shot(queries: DataFrame, prompts: DataFrame, *, temperature: float = 0.
     banks = pooled(prompts.withColumn("raw", N.unit("raw")), ["concept", "positive"], "raw", how)
     both = banks.groupBy("concept").agg(F.max_by("pooled", F.when(F.col("positive"), 1)).alias("pos"), F.max_by("pooled", F.when(~F.col("positive"), 1)).alias("neg"))
     q = queries.withColumn("v", N.unit("v"))
-    return q.join(bank_side(both), "concept").select("query_id", "concept", N.sigmoid(N.dot("v", "pos") - N.dot("v", "neg"), temperature).alias("prob"))
+    return q.join(both, "concept").select("query_id", "concept", N.sigmoid(N.dot("v", "pos") - N.dot("v", "neg"), temperature).alias("prob"))
 
 
 def projected(rows: DataFrame, vector: str, weights: list[list[float]], bias: list[float] | None = None) -> DataFrame:
@@ -107,7 +123,7 @@ def device_word(concept, positive) -> Column:
 
 
 def evidence(predictions: DataFrame, thresholds: DataFrame, matches: DataFrame, *, key: str = "thr_f1", fallback: tuple[str, ...] = ("thr_j",), default: float = 0.5) -> DataFrame:
-    """(case_id, concept, probability, threshold, threshold_source, predicted, label, text, sim), by concept.
+    """(case_id, concept, probability, threshold, threshold_source, predicted, label, text, sim).
 
     The threshold is the first of key and fallbacks that the concept has, else the
     default.
@@ -117,7 +133,7 @@ def evidence(predictions: DataFrame, thresholds: DataFrame, matches: DataFrame,
     rows = predictions.join(t, "concept", "left").join(best_match(matches).select("case_id", "concept", "text", "sim"), ["case_id", "concept"], "left")
     thr = F.coalesce("thr", F.lit(default))
     yes = F.col("probability") >= thr
-    return rows.select("case_id", "concept", "probability", thr.alias("threshold"), F.coalesce("src", F.lit("default")).alias("threshold_source"), yes.cast("int").alias("predicted"), device_word(F.col("concept"), yes).alias("label"), F.coalesce("text", F.lit("")).alias("text"), "sim").orderBy("case_id", "concept")
+    return rows.select("case_id", "concept", "probability", thr.alias("threshold"), F.coalesce("src", F.lit("default")).alias("threshold_source"), yes.cast("int").alias("predicted"), device_word(F.col("concept"), yes).alias("label"), F.coalesce("text", F.lit("")).alias("text"), "sim")
 
 
 def payload(rows: DataFrame, paths: list[str]) -> DataFrame:

@@ -20,21 +20,25 @@ def requests(rows: DataFrame, system: str, template: str, key: str = "report_id"
     return rows.select(key, F.array(message("system", F.lit(system)), message("user", user)).alias("messages"))
 
 
-def asked(rows: DataFrame, provider: Callable[[], Callable], valid: Callable[[str], str | None] = lambda _: None, *, key: str = "report_id", at_once: int = 15, tries: int = 3, pause: float = 1.0) -> DataFrame:
+def asked(rows: DataFrame, provider: Callable[[], Callable], valid: Callable[[str], str | None] = lambda _: None, *, key: str = "report_id", at_once: int = 15, tries: int = 3, pause: float = 1.0, features: dict | None = None) -> DataFrame:
     """(key, status, answer, error, attempts): an async chat callable asked for each row, `at_once` at a time per task.
 
     provider() makes the callable on the executor; it gets messages and returns
     text.  An exception, or a text that valid() objects to, is tried again after a
-    doubled pause, with the objection as one more message.  Tasks may be retried,
-    so the service should be idempotent; skip ids already written beforehand.
+    doubled pause, with the objection as one more message; the last answer of a failed
+    row is kept.  features: options passed to the callable by name; a service that
+    refuses a request (an error with status 400) gets it again at once without the
+    next of them, in their order, as long as there are any.  Tasks may be retried, so
+    the service should be idempotent; skip ids already written beforehand.
     """
 
     async def one(chat, gate, messages):
-        error, wait = "", pause
-        for n in range(1, tries + 1):
+        error, wait, last, given, n = "", pause, None, dict(features or {}), 0
+        while n < tries:
+            n += 1
             async with gate:
                 try:
-                    text = await chat(messages)
+                    last = text = await chat(messages, **given)
                     problem = valid(text)
                     if problem is None:
                         return "success", text, None, n
@@ -42,10 +46,14 @@ def asked(rows: DataFrame, provider: Callable[[], Callable], valid: Callable[[st
                     messages = [*messages, {"role": "user", "content": problem}]
                 except Exception as e:  # noqa: BLE001 - the service's error is data here
                     error = f"{type(e).__name__}: {e}"
+                    if given and getattr(e, "status", getattr(e, "status_code", None)) == 400:
+                        given.pop(next(iter(given)))
+                        n -= 1
+                        continue
             if n < tries:
                 await asyncio.sleep(wait)
                 wait *= 2
-        return "failed", None, error, tries
+        return "failed", last, error, n
 
     def run(batches):
         chat = provider()

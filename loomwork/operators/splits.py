@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import numeric as N
+from loomwork.session import shared_dir
 
 
 def _turn(key: str, seed: int):
@@ -42,6 +43,21 @@ def ranked_by(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return local.join(F.broadcast(shift), "_bucket").withColumn(name, F.col("_at") + F.col("_before")).drop("_bucket", "_at", "_before")
 
 
+def positions(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """rows with their global rank from 0 in any order: range partitions, ranked apart, shifted by the counts before.
+
+    The sorted rows are laid down once as partitions (a checkpoint), so both uses see the
+    same; only one count for each partition goes through one task.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).checkpoint()
+    counts = laid.groupBy("_part").agg(F.count("*").alias("_size"))
+    shift = counts.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    return laid.join(F.broadcast(shift), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+
+
 def apply_split(rows: DataFrame, splits: DataFrame, group: str, split: str) -> DataFrame:
     """Rows whose group is in the split; groups without one go."""
     return rows.join(splits.where(F.col("split") == split).select(group), group, "left_semi")
@@ -78,12 +94,12 @@ def weighted_draw(rows: DataFrame, key: str, weight: str, n: int, seed: int = 42
     total = rows.agg(F.sum(weight)).first()[0] or 0.0
     if total <= 0:
         return rows.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
-    bucket = F.pmod(F.xxhash64(key), F.lit(512))
+    bucket = F.substring(F.sha1(F.col(key).cast("string").cast("binary")), 1, 2)
     keyed = rows.select(key, F.col(weight).cast("double").alias("_w"), bucket.alias("_b"))
     sums = keyed.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_from", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).select("_b", "_from")
     per = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     spans = keyed.withColumn("_hi", F.sum("_w").over(per)).join(F.broadcast(sums), "_b").withColumn("_hi", F.col("_hi") + F.col("_from")).withColumn("_lo", F.col("_hi") - F.col("_w"))
     lot = lambda c: F.least(F.floor(F.col(c) / F.lit(total) * lots), F.lit(lots - 1)).cast("int")
     spans = spans.withColumn("_lot", F.explode(F.sequence(lot("_lo"), lot("_hi"))))
-    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", N.hash32(F.lit(str(seed)), F.col("draw").cast("string")) / F.lit(float(1 << 32)) * F.lit(total)).withColumn("_lot", lot("_u"))
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", N.hash52(F.lit(str(seed)), F.col("draw").cast("string")) / F.lit(float(1 << 52)) * F.lit(total)).withColumn("_lot", lot("_u"))
     return draws.join(spans, "_lot").where("_u >= _lo and _u < _hi").select("draw", key)

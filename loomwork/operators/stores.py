@@ -98,3 +98,42 @@ def run_summary(rows: DataFrame) -> DataFrame:
 def seeds(rows: DataFrame, values: list[int]) -> DataFrame:
     """rows once for each seed."""
     return rows.withColumn("seed", F.explode(F.array(*map(F.lit, values))))
+
+
+#: What a sharded store of a kind holds beside its meta files.
+_PARTS = {"images": ("images",), "embeddings": ("embeddings",), "labels": ("labels", "masks")}
+
+
+def layout(listing: DataFrame, kind: str, mode: str = "auto") -> str:
+    """sharded (meta_*.parquet and the kind's *.npy) or pt, of a listing (path); images in neither are an error, others count as pt."""
+    if mode != "auto":
+        return mode
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    seen = listing.agg(*(F.coalesce(F.max(name.rlike(p)), F.lit(False)).alias(f"c{i}") for i, p in enumerate([r"^meta_.*\.parquet$", r"\.pt$", *(rf"^{k}_.*\.npy$" for k in _PARTS[kind])]))).first()
+    if seen[0] and all(seen[2:]):
+        return "sharded"
+    if kind == "images" and not seen[1]:
+        raise FileNotFoundError("neither image shards nor .pt files")
+    return "pt"
+
+
+def attention_of(maps: DataFrame, concept: str) -> DataFrame:
+    """(split, sample_id, height, width, grid) of saved maps (split, sample_id, names, height, width, values): one concept's; an error where it is not named."""
+    at = F.array_position("names", F.lit(concept))
+    size = F.col("height") * F.col("width")
+    lost = F.raise_error(F.concat(F.lit(f"no map of {concept} for "), F.col("sample_id").cast("string"))).cast("array<float>")
+    grid = F.when(at > 0, F.slice("values", ((at - 1) * size + 1).cast("int"), size)).otherwise(lost)
+    return maps.select("split", "sample_id", "height", "width", grid.alias("grid"))
+
+
+def resumed_after(rows: DataFrame, written: DataFrame, shard_rows: int, key: str, order: list) -> tuple[DataFrame, int]:
+    """(rows still to write, number of the next shard): written (shard, key) up to its last whole shard counts, the rest is written again.
+
+    A shard is whole with `shard_rows` rows, if all before it are.
+    """
+    counts = {r["shard"]: r["n"] for r in written.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    n = 0
+    while counts.get(n) == shard_rows:
+        n += 1
+    done = written.where(F.col("shard") < n).select(key).distinct()
+    return rows.join(done, key, "left_anti").orderBy(*order), n

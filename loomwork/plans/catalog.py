@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import documents as D
@@ -316,8 +315,7 @@ def first_occurrence_index(spark, d) -> DataFrame:
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
 def key_index(spark, d) -> DataFrame:
-    rows = X.read(spark, d, "customer").select("c_custkey")
-    return rows.select("c_custkey", (F.row_number().over(W.orderBy("c_custkey")) - 1).cast("long").alias("position"))
+    return P.positions(X.read(spark, d, "customer").select("c_custkey"), ["c_custkey"], "position")
 
 
 _SPLIT = "WITH g AS (SELECT c_custkey, row_number() OVER (ORDER BY sha1('42|' || CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer), s AS (SELECT c_custkey, CASE WHEN r < round_even(n * 0.1, 0) THEN 'test' WHEN r < round_even(n * 0.1, 0) + round_even(n * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM g)"
@@ -352,7 +350,8 @@ def share_sample(spark, d) -> DataFrame:
     return P.share_sample(X.read(spark, d, "documents").select("doc_id"), "doc_id", 0.25, 7)
 
 
-@query()
+@query("""WITH o AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY substr(sha1(CAST(doc_id AS VARCHAR)), 1, 2), doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(n_chars) OVER () AS total FROM documents),
+  u AS (SELECT i AS draw, CAST('0x' || substr(sha1('42|' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(0, 1000) t(i)) SELECT draw, doc_id FROM u JOIN o ON u * total >= hi - n_chars AND u * total < hi""")
 def weighted_draw(spark, d) -> DataFrame:
     rows = X.read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("w"))
     return P.weighted_draw(rows, "doc_id", "w", 1000)
@@ -418,7 +417,7 @@ def masked_bce(spark, d) -> DataFrame:
     return M.masked_bce(rows, smoothing=0.1).select(_r(F.col("plain"), "plain"), _r(F.col("balanced"), "balanced"))
 
 
-_PAIRS = """WITH e AS (SELECT vec_id, vec_id // 50 AS batch, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500), u AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6)) AS a FROM e),
+_PAIRS = """WITH e AS (SELECT vec_id, vec_id // 50 AS batch, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-6)) AS a FROM e),
   z AS (SELECT x.batch, x.label, x.vec_id AS i, y.vec_id AS k, list_dot_product(x.a, list_concat(y.a[2:], y.a[1:1])) / 0.1 AS z FROM u x JOIN u y ON x.batch = y.batch AND x.label = y.label),
   r AS (SELECT batch, label, i, ln(sum(exp(z))) - max(CASE WHEN i = k THEN z END) AS loss FROM z GROUP BY ALL), c AS (SELECT batch, label, k, ln(sum(exp(z))) - max(CASE WHEN i = k THEN z END) AS loss FROM z GROUP BY ALL),
   b AS (SELECT batch, label, n, (a + back) / 2 AS loss FROM (SELECT batch, label, avg(loss) AS a, count(*) AS n FROM r GROUP BY ALL) JOIN (SELECT batch, label, avg(loss) AS back FROM c GROUP BY ALL) USING (batch, label) WHERE n > 1)"""
@@ -445,7 +444,7 @@ def infonce_pair(spark, d) -> DataFrame:
 
 
 _SIMS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT *, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS a FROM e),
-  s AS (SELECT q.vec_id AS query_id, q.label AS concept, b.vec_id AS text_idx, 'text ' || CAST(b.vec_id % 150 AS VARCHAR) AS text, list_dot_product(q.a, b.a) AS sim FROM u q JOIN u b ON q.label = b.label AND q.vec_id >= 200 AND b.vec_id < 200),
+  s AS (SELECT q.vec_id AS query_id, q.label AS concept, b.vec_id AS text_idx, 'text ' || CAST(b.vec_id % 150 AS VARCHAR) AS text, list_dot_product(q.a, b.a) AS sim FROM u q JOIN u b ON q.label = b.label AND q.vec_id % 20 = 0),
   t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, concept, text ORDER BY sim DESC, text_idx) = 1)"""
 
 
@@ -454,7 +453,7 @@ def retrieval_topk(spark, d) -> DataFrame:
     return R.top_texts(X.queries(spark, d), X.bank(spark, d), 3).select("query_id", "concept", F.col("rank").cast("long").alias("rank"), _r(F.col("sim"), "sim"), "text")
 
 
-_POOL = """WITH p AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id < 200) GROUP BY ALL)"""
+_POOL = """WITH p AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL)"""
 
 
 @query(_POOL + " SELECT label AS concept, pos::BIGINT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p")
@@ -464,9 +463,9 @@ def prompt_pool_mean(spark, d) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS a FROM e),
-  m AS (SELECT label, vec_id % 2 = 0 AS side, pos, avg(x) AS x FROM (SELECT label, vec_id, unnest(a) AS x, generate_subscripts(a, 1) AS pos FROM u WHERE vec_id < 200) GROUP BY ALL),
+  m AS (SELECT label, vec_id % 2 = 0 AS side, pos, avg(x) AS x FROM (SELECT label, vec_id, unnest(a) AS x, generate_subscripts(a, 1) AS pos FROM u) GROUP BY ALL),
   n AS (SELECT label, side, list(x / len ORDER BY pos) AS b FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label, side)) AS len FROM m) GROUP BY ALL)
-  SELECT q.vec_id AS query_id, q.label AS concept, round(1 / (1 + exp(-(list_dot_product(q.a, p.b) - list_dot_product(q.a, g.b)) / 0.07)), 6) AS prob FROM u q JOIN n p ON p.label = q.label AND p.side JOIN n g ON g.label = q.label AND NOT g.side WHERE q.vec_id >= 200""")
+  SELECT q.vec_id AS query_id, q.label AS concept, round(1 / (1 + exp(-(list_dot_product(q.a, p.b) - list_dot_product(q.a, g.b)) / 0.07)), 6) AS prob FROM u q JOIN n p ON p.label = q.label AND p.side JOIN n g ON g.label = q.label AND NOT g.side WHERE q.vec_id % 20 = 0""")
 def zero_shot_prob(spark, d) -> DataFrame:
     prompts = X.bank(spark, d).select("concept", (F.col("text_idx") % 2 == 0).alias("positive"), "raw")
     return R.zero_shot(X.queries(spark, d), prompts).select("query_id", "concept", _r(F.col("prob"), "prob"))
@@ -478,16 +477,17 @@ def mrl_truncate(spark, d) -> DataFrame:
     return X.read(spark, d, "embeddings").select("vec_id", _r(N.dot(short, short), "energy"), F.size(short).cast("long").alias("width"))
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS last, round(list_sum(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS total FROM embeddings")
 def l2_normalise(spark, d) -> DataFrame:
-    return X.read(spark, d, "embeddings").select("vec_id", _r(N.unit("embedding", 1e-12)[0], "first"))
+    return X.read(spark, d, "embeddings").withColumn("u", N.unit("embedding", 1e-12)).select("vec_id", _r(F.col("u")[0], "first"), _r(F.col("u")[63], "last"), _r(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), "total"))
 
 
-@query("SELECT doc_id AS report_id, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_present, 19::BIGINT AS k FROM leaves GROUP BY doc_id HAVING n_present > 0", "leaves")
+@query("""SELECT doc_id AS report_id, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_present, string_agg(CASE WHEN text <> '' THEN '1' ELSE '0' END, '' ORDER BY idx) AS present, string_agg(CASE WHEN text <> '' THEN CAST(length(text) AS VARCHAR) ELSE '0' END, ',' ORDER BY idx) AS second
+  FROM leaves GROUP BY doc_id HAVING n_present > 0""", "leaves")
 def dense_matrix(spark, d) -> DataFrame:
     rows = X.units(spark, d).select("report_id", "name", F.array(F.lit(1.0), F.length("text").cast("double")).alias("vector"))
     out = R.dense(rows, X.concepts(spark), 2)
-    return out.select("report_id", F.size(F.filter("mask", lambda m: m)).cast("long").alias("n_present"), F.size("matrix").cast("long").alias("k"))
+    return out.select("report_id", F.size(F.filter("mask", lambda m: m)).cast("long").alias("n_present"), F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "").alias("present"), F.array_join(F.transform("matrix", lambda v: v[1].cast("int").cast("string")), ",").alias("second"))
 
 
 def _evidence(spark, d) -> DataFrame:
@@ -525,10 +525,10 @@ def overall_feedback(spark, d) -> DataFrame:
     return R.feedback(rows)
 
 
-@query("SELECT conv_id, 1 + count(*) AS n, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, 1 + count(*) AS n, string_agg(role, '>' ORDER BY turn) AS roles, sha1(string_agg(text, '|' ORDER BY turn)) AS said FROM conversations GROUP BY conv_id")
 def chat_messages(spark, d) -> DataFrame:
     out = R.conversation(X.read(spark, d, "conversations"), "You are careful.")
-    return out.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform(F.slice("messages", 2, 1_000_000), lambda m: m["role"]), ">").alias("roles"))
+    return out.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform(F.slice("messages", 2, 1_000_000), lambda m: m["role"]), ">").alias("roles"), F.sha1(F.array_join(F.transform(F.slice("messages", 2, 1_000_000), lambda m: m["content"]), "|").cast("binary")).alias("said"))
 
 
 # ------------------------------------------------------------ grounding
@@ -545,7 +545,7 @@ def _pixels(spark, d) -> DataFrame:
     return rows.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), ((F.col("l_quantity") * 2) / F.lit(101.0)).alias("a"), (F.col("l_partkey") % 3 == 0).alias("gt"))
 
 
-_PIX = "WITH px AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS pos, (l_quantity * 2) / 101.0::DOUBLE AS a, l_partkey % 3 = 0 AS gt FROM lineitem WHERE l_suppkey <= 40)"
+_PIX = "WITH px AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS pos, (l_quantity * 2) / 101.0::DOUBLE AS a, l_partkey % 3 = 0 AS gt FROM lineitem)"
 
 
 @query(_PIX + ", c AS (SELECT l_suppkey, count(CASE WHEN a >= 0.5 THEN 1 END) AS p, count(CASE WHEN gt THEN 1 END) AS g, count(CASE WHEN a >= 0.5 AND gt THEN 1 END) AS i FROM px GROUP BY l_suppkey) SELECT l_suppkey, i AS inter, round(2 * i / (p + g + 1e-8), 6) AS dice, round(i / (p + g - i + 1e-8), 6) AS iou FROM c")
@@ -554,17 +554,42 @@ def overlap_dice_iou(spark, d) -> DataFrame:
     return out.select("l_suppkey", "inter", _r(F.col("dice"), "dice"), _r(F.col("iou"), "iou"))
 
 
-@query(_PIX + """, t AS (SELECT i, i / 100.0::DOUBLE AS t FROM range(0, 101) r(i)), c AS (SELECT i, l_suppkey, count(CASE WHEN floor(a * 100 + 1e-9) >= i THEN 1 END) AS p, count(CASE WHEN gt THEN 1 END) AS g, count(CASE WHEN floor(a * 100 + 1e-9) >= i AND gt THEN 1 END) AS x FROM px, t GROUP BY ALL),
+@query(_PIX + """, t AS (SELECT i, i / 100.0::DOUBLE AS t FROM range(0, 101) r(i)), c AS (SELECT i, l_suppkey, count(CASE WHEN a >= t THEN 1 END) AS p, count(CASE WHEN gt THEN 1 END) AS g, count(CASE WHEN a >= t AND gt THEN 1 END) AS x FROM px, t GROUP BY ALL),
   s AS (SELECT i, sum(2 * x / (p + g + 1e-8)) AS dice, sum(x / (p + g - x + 1e-8)) AS iou FROM c WHERE g > 0 GROUP BY i) SELECT (SELECT i / 100.0::DOUBLE FROM s ORDER BY round(dice, 9) DESC, i LIMIT 1) AS thr_dice, round((SELECT max(dice) FROM s), 6) AS dice, (SELECT i / 100.0::DOUBLE FROM s ORDER BY round(iou, 9) DESC, i LIMIT 1) AS thr_iou, round((SELECT max(iou) FROM s), 6) AS iou""")
 def threshold_sweep(spark, d) -> DataFrame:
     return G.sweep(_pixels(spark, d), ["l_suppkey"]).select("thr_dice", _r(F.col("dice"), "dice"), "thr_iou", _r(F.col("iou"), "iou"))
 
 
-@query(_PIX + """, r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY a DESC, pos) AS t, greatest(1, sum(CASE WHEN gt THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey)) AS k FROM px)
-  SELECT l_suppkey, round(sum(CASE WHEN gt THEN a ELSE 0 END) / (sum(a) + 1e-8), 6) AS energy, max(CASE WHEN t = 1 THEN gt::INT END)::BIGINT AS pointing, round(2 * count(CASE WHEN t <= k AND gt THEN 1 END) / (count(CASE WHEN t <= k THEN 1 END) + count(CASE WHEN gt THEN 1 END) + 1e-8), 6) AS topk_dice FROM r GROUP BY l_suppkey""")
+_CASE = _PIX + """, r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY a DESC, pos) AS t, sum(CASE WHEN gt THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey) AS g, quantile_cont(a, 0.9) OVER (PARTITION BY l_suppkey) AS q FROM px),
+  m AS (SELECT *, t <= greatest(1, g) AS top FROM r), k AS (SELECT l_suppkey, a, count(CASE WHEN gt THEN 1 END) AS hits, count(CASE WHEN NOT gt THEN 1 END) AS misses FROM px GROUP BY ALL),
+  s AS (SELECT *, sum(hits) OVER w AS tp, sum(misses) OVER w AS fp, sum(hits) OVER (PARTITION BY l_suppkey) AS pos, sum(misses) OVER (PARTITION BY l_suppkey) AS neg FROM k WINDOW w AS (PARTITION BY l_suppkey ORDER BY a DESC)),
+  rank AS (SELECT l_suppkey, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN round(sum(misses * (tp - hits / 2)) / (max(pos) * max(neg)), 6) ELSE 'NaN'::DOUBLE END AS auroc, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN round(sum(hits * tp / (tp + fp)) / max(pos), 6) ELSE 'NaN'::DOUBLE END AS auprc FROM s GROUP BY l_suppkey)"""
+
+
+def _measures(mask: str, cut: str) -> str:
+    return f""" SELECT l_suppkey, round(sum(CASE WHEN gt THEN a ELSE 0 END) / (sum(a) + 1e-8), 6) AS energy, max(CASE WHEN t = 1 THEN gt::INT END)::BIGINT AS pointing, round(2 * count(CASE WHEN top AND gt THEN 1 END) / (count(CASE WHEN top THEN 1 END) + max(g) + 1e-8), 6) AS topk_dice,
+  round(count(CASE WHEN top AND gt THEN 1 END) / (count(CASE WHEN top THEN 1 END) + max(g) - count(CASE WHEN top AND gt THEN 1 END) + 1e-8), 6) AS topk_iou,
+  round(2 * count(CASE WHEN {mask} AND gt THEN 1 END) / (count(CASE WHEN {mask} THEN 1 END) + max(g) + 1e-8), 6) AS dice, round(count(CASE WHEN {mask} AND gt THEN 1 END) / (count(CASE WHEN {mask} THEN 1 END) + max(g) - count(CASE WHEN {mask} AND gt THEN 1 END) + 1e-8), 6) AS iou,
+  round(max({cut}), 6) AS threshold, any_value(auroc) AS auroc, any_value(auprc) AS auprc FROM m JOIN rank USING (l_suppkey) GROUP BY l_suppkey"""
+
+
+def _measured(out: DataFrame) -> DataFrame:
+    return out.select("l_suppkey", F.col("pointing").cast("long").alias("pointing"), *(_r(F.col(c), c) for c in ("energy", "topk_dice", "topk_iou", "dice", "iou", "threshold", "auroc", "auprc")))
+
+
+@query(_CASE + _measures("a >= 0.5", "0.5::DOUBLE"))
 def case_metrics(spark, d) -> DataFrame:
-    out = G.case_metrics(_pixels(spark, d), ["l_suppkey"])
-    return out.select("l_suppkey", _r(F.col("energy"), "energy"), F.col("pointing").cast("long").alias("pointing"), _r(F.col("topk_dice"), "topk_dice"))
+    return _measured(G.case_metrics(_pixels(spark, d), ["l_suppkey"]))
+
+
+@query(_CASE + _measures("a >= q", "q"))
+def case_metrics_percentile(spark, d) -> DataFrame:
+    return _measured(G.case_metrics(_pixels(spark, d), ["l_suppkey"], method="percentile", percentile=90.0))
+
+
+@query(_CASE + _measures("top", "'NaN'::DOUBLE"))
+def case_metrics_topk(spark, d) -> DataFrame:
+    return _measured(G.case_metrics(_pixels(spark, d), ["l_suppkey"], method="topk"))
 
 
 @query(_PIX + " SELECT l_suppkey, pos, round(CASE WHEN hi > lo THEN (a - lo) / (hi - lo) ELSE 0 END, 6) AS a FROM (SELECT *, min(a) OVER w AS lo, max(a) OVER w AS hi FROM px WINDOW w AS (PARTITION BY l_suppkey))")

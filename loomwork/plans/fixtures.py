@@ -70,12 +70,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").where("vec_id >= 200")
+    """The stated query set: ids divisible by 20."""
+    rows = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
     return rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("concept"), F.col("embedding").alias("v"))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").where("vec_id < 200")
+    """Every vector, with a text of its own or shared."""
+    rows = read(spark, sf_dir, "embeddings")
     return rows.select(F.col("label").alias("concept"), F.col("vec_id").alias("text_idx"), F.concat(F.lit("text "), (F.col("vec_id") % 150).cast("string")).alias("text"), F.col("embedding").alias("raw"))
 
 
