@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def grid(n: int = 500) -> Column:
 
 def steps(lo: float, hi: float, step: float) -> Column:
     """lo, lo + step, .. below hi, rounded to 6 places."""
-    n = max(0, int(-(-(hi - lo) // step)))
+    n = max(0, math.ceil((hi - lo) / step))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(F.lit(lo) + i * F.lit(step), 6)) if n else F.array().cast("array<double>")
 
 

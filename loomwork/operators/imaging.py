@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 #: Channel means and deviations of two public encoders.
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
@@ -101,8 +101,9 @@ def normalised(image: np.ndarray, mode: str, *, mean: float | None = None, std:
 
 
 def mapped(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], pixels: str = "pixels", height: str = "height", width: str = "width") -> DataFrame:
-    """rows with step applied to each picture; null pictures stay null, pixels of several channels are laid one after another."""
-    fixed = {pixels: ArrayType(FloatType()), height: IntegerType(), width: IntegerType()}
+    """rows with step applied to each picture, in the pixels' own type (float or double); null pictures stay null, channels are laid one after another."""
+    double = isinstance(rows.schema[pixels].dataType.elementType, DoubleType)
+    fixed = {pixels: ArrayType(DoubleType() if double else FloatType()), height: IntegerType(), width: IntegerType()}
     schema = StructType([StructField(f.name, fixed.get(f.name, f.dataType)) for f in rows.schema.fields])
 
     def run(batches):
@@ -110,10 +111,10 @@ def mapped(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], pixels: st
             out: dict[str, list] = {pixels: [], height: [], width: []}
             for cell, h, w in zip(*(b.column(c).to_pylist() for c in (pixels, height, width)), strict=True):
                 image = None if cell is None else step(np.asarray(cell, np.float64).reshape(h, w))
-                out[pixels].append(None if image is None else image.ravel().astype(np.float32))
+                out[pixels].append(None if image is None else image.ravel().astype(np.float64 if double else np.float32))
                 out[height].append(h if image is None else image.shape[-2])
                 out[width].append(w if image is None else image.shape[-1])
-            kinds = {pixels: pa.list_(pa.float32()), height: pa.int32(), width: pa.int32()}
+            kinds = {pixels: pa.list_(pa.float64() if double else pa.float32()), height: pa.int32(), width: pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[n]) if n in out else b.column(n) for n in b.schema.names], b.schema.names)
 
     return rows.mapInArrow(run, schema)
