@@ -41,10 +41,10 @@ from loomwork.llm import common as C
 from loomwork.llm import exchange as X
 from loomwork.llm.toxicity import fold
 
-HEAD = 1008
-PER_CLASS = 32
+HEAD = 768
+PER_CLASS = 28
 TAILS = 24
-HIDDEN = 32
+HIDDEN = 24
 STEPS = 20
 WIDE = 256
 ROUNDS = 8
@@ -194,9 +194,10 @@ class GRU:
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
         """One window (steps x lanes) of truncated backpropagation: gradients, last state, loss."""
         n, (steps, lanes) = HIDDEN, x.shape
-        saved, states = [], np.empty((steps, lanes, n), h.dtype)
+        saved, states, whole = [], np.empty((steps, lanes, n), h.dtype), live.all(1)
         for t in range(steps):
-            h = h * live[t, :, None]
+            if not whole[t]:
+                h = h * live[t, :, None]
             h, keep = self.step(x[t], h)
             saved.append(keep)
             states[t] = h
@@ -243,7 +244,9 @@ class GRU:
             d_rec[t] = d_in[t]
             d_rec[t, :, 2 * n :] *= reset
             before[t] = prev
-            carry = (dh * z + d_rec[t] @ self.p["rec"].T) * live[t, :, None]
+            carry = dh * z + d_rec[t] @ self.p["rec"].T
+            if not whole[t]:
+                carry *= live[t, :, None]
         g["rec"] = before.reshape(-1, n).T @ d_rec.reshape(-1, 3 * n)
         which = x.ravel()
         order = np.argsort(which, kind="stable")
@@ -280,7 +283,7 @@ class GRU:
         """ln P of each text (input numbers without the end), but for the tail words' own shares."""
         size = np.array([len(t) + 1 for t in texts])
         order = np.argsort(-size, kind="stable")
-        flat = np.concatenate([np.append(texts[i], self.v.stop) for i in order])
+        flat = np.concatenate([x for i in order for x in (texts[i], [self.v.stop])]).astype(np.int64)
         lead = np.cumsum(size[order]) - size[order]
         out = np.zeros(len(texts))
         ends = size[order]
@@ -379,25 +382,32 @@ def learn_all(docs: DataFrame, to: X.Layout, model: GRU, about: tuple) -> int:
 
 
 def _scored(table: pa.Table, totals: np.ndarray, model: GRU) -> pa.Table:
+    """Each text's tokens, known ones, base and score.  Everything a word adds is looked up once for each distinct word."""
     v = model.v
-    keys, _ = _tokens(table)
-    count = (totals & _COUNT).astype(np.float64)
-    rows: dict[str, list] = {"n": [], "known": [], "base": [], "tail": []}
-    texts = []
-    for _, _, w in _words(table.column("text")):
-        c = count[np.searchsorted(keys, w.hash)] if len(w) else np.empty(0)
-        ids = v.ids(w)
-        k = ids - len(v.head)
-        own = np.where(k >= 0, np.log((c + 0.5) / (v.n_k + 0.5 * (v.v_k + 1))[np.maximum(k, 0)]), 0.0)
-        sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (np.ones(len(w)), c > 0, np.log10(c + 0.5), own)]
-        for name, s in zip(rows, sums, strict=True):
-            rows[name].append(s[w.first[1:]] - s[w.first[:-1]])
-        texts += [ids[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    got = {k: np.concatenate(x) for k, x in rows.items()}
-    ln = model.score(texts) + got["tail"]
+    spans = [(w.hash, w.first) for _, _, w in _words(table.column("text"))]
+    hashes = np.concatenate([h for h, _ in spans]) if spans else np.empty(0, np.uint64)
+    words, number = np.unique(hashes, return_inverse=True)
+    count, tail = (totals & _COUNT).astype(np.float64), ((totals >> np.uint64(40)) & np.uint64(127)).astype(np.int64)
+    ids = len(v.head) + tail
+    own = np.log((count + 0.5) / (v.n_k + 0.5 * (v.v_k + 1))[tail])
+    if len(v.head) and len(words):
+        at = np.minimum(np.searchsorted(v.head, words), len(v.head) - 1)
+        hit = v.head[at] == words
+        ids[hit], own[hit] = at[hit], 0.0
+    firsts, lead = [], 0
+    for h, f in spans:
+        firsts.append(f[:-1] + lead)
+        lead += len(h)
+    first = np.concatenate([*firsts, [lead]]).astype(np.int64)
+    ids, got = ids.astype(np.uint16)[number], {}
+    for name, x in (("known", (count > 0).astype(np.float64)), ("base", np.log10(count + 0.5)), ("tail", own)):
+        total = np.concatenate(([0.0], np.cumsum(x[number])))
+        got[name] = total[first[1:]] - total[first[:-1]]
+    ln = model.score([ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]) + got["tail"]
+    C.trim()
     return pa.table(
         {
-            "doc_id": table.column("doc_id"), "train": table.column("train"), "n_tokens": pa.array(got["n"].astype(np.int64) + 1), "n_known": pa.array(got["known"].astype(np.int64) + int(v.ends > 0)),
+            "doc_id": table.column("doc_id"), "train": table.column("train"), "n_tokens": pa.array(np.diff(first) + 1), "n_known": pa.array(np.rint(got["known"]).astype(np.int64) + int(v.ends > 0)),
             "base": pa.array(got["base"] + np.log10(v.ends + 0.5)), "score": pa.array(ln / np.log(10)),
         }
     )
