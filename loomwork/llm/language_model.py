@@ -161,13 +161,26 @@ class GRU:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         """x: input rows, h: state -> new state and what backpropagation needs."""
+        new, kept = self.cell(self.p["inp"][x], h)
+        return new, (x, h, *kept)
+
+    def cell(self, g: np.ndarray, h: np.ndarray):
+        """The same from the inputs' rows g, which are used up."""
         n = HIDDEN
-        g = self.p["inp"][x]
         r = h @ self.p["rec"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + r[:, : 2 * n])))
-        z, reset = zr[:, :n], zr[:, n:]
-        c = np.tanh(g[:, 2 * n :] + reset * r[:, 2 * n :])
-        return z * h + (1 - z) * c, (x, h, z, reset, c, r[:, 2 * n :])
+        zr = g[:, : 2 * n]
+        zr += r[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, reset, c, rc = zr[:, :n], zr[:, n:], g[:, 2 * n :], r[:, 2 * n :]
+        c += reset * rc
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, (z, reset, c, rc)
 
     def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of y, their order, and where each head class begins in it."""
@@ -178,17 +191,22 @@ class GRU:
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P of the class, and of head words within theirs; tail words' own share is not in it."""
         cls, order, cut = self._by_class(y)
-        logit = h @ self.p["out"] + self.p["out_b"]
-        top = logit.max(1)
-        out = logit[np.arange(len(y)), cls] - top - np.log(np.exp(logit - top[:, None]).sum(1))
-        h, slot, more = h[order[: cut[-1]]], self.v.slot[y[order[: cut[-1]]]], np.empty(cut[-1], h.dtype)
+        logit = h @ self.p["out"]
+        logit += self.p["out_b"]
+        logit -= logit.max(1, keepdims=True)
+        out = logit[np.arange(len(y)), cls]
+        out -= np.log(np.exp(logit, out=logit).sum(1))
+        order = order[: cut[-1]]
+        h, slot, more = h[order], self.v.slot[y[order]], np.empty(cut[-1], h.dtype)
         for c in range(self.v.n_head):
             a, b = cut[c], cut[c + 1]
             if b > a:
-                word = h[a:b] @ self.p["word"][c] + self.p["word_b"][c]
-                peak = word.max(1)
-                more[a:b] = word[np.arange(b - a), slot[a:b]] - peak - np.log(np.exp(word - peak[:, None]).sum(1))
-        out[order[: cut[-1]]] += more
+                word = h[a:b] @ self.p["word"][c]
+                word += self.p["word_b"][c]
+                word -= word.max(1, keepdims=True)
+                more[a:b] = word[np.arange(b - a), slot[a:b]]
+                more[a:b] -= np.log(np.exp(word, out=word).sum(1))
+        out[order] += more
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
@@ -220,7 +238,8 @@ class GRU:
         for c in range(self.v.n_head):
             a, b = cut[c], cut[c + 1]
             if b > a:
-                d = heads[a:b] @ self.p["word"][c] + self.p["word_b"][c]
+                d = heads[a:b] @ self.p["word"][c]
+                d += self.p["word_b"][c]
                 d -= d.max(1, keepdims=True)
                 np.exp(d, out=d)
                 d /= d.sum(1, keepdims=True)
@@ -236,10 +255,17 @@ class GRU:
         d_rec, before = np.empty_like(d_in), np.empty_like(states)
         for t in range(steps - 1, -1, -1):
             _, prev, z, reset, c, rc = saved[t]
-            dh = dh_all[t] + carry
-            dc = dh * (1 - z) * (1 - c * c)
-            d_in[t, :, :n] = dh * (prev - c) * z * (1 - z)
-            d_in[t, :, n : 2 * n] = dc * rc * reset * (1 - reset)
+            dh = dh_all[t]
+            dh += carry
+            keep = 1 - z
+            dc = dh * keep
+            dc *= 1 - c * c
+            keep *= z
+            keep *= prev - c
+            np.multiply(dh, keep, out=d_in[t, :, :n])
+            gate = reset * (1 - reset)
+            gate *= rc
+            np.multiply(dc, gate, out=d_in[t, :, n : 2 * n])
             d_in[t, :, 2 * n :] = dc
             d_rec[t] = d_in[t]
             d_rec[t, :, 2 * n :] *= reset
@@ -285,25 +311,22 @@ class GRU:
         order = np.argsort(-size, kind="stable")
         flat = np.concatenate([x for i in order for x in (texts[i], [self.v.stop])]).astype(np.int64)
         lead = np.cumsum(size[order]) - size[order]
-        out = np.zeros(len(texts))
-        ends = size[order]
-        h = np.zeros((len(texts), HIDDEN), np.float32)
-        x = np.full(len(texts), self.v.stop)
-        states, goals, lanes, held = [], [], [], 0
-        n, last = len(texts), int(ends[0])
-        alive = np.searchsorted(-ends, -np.arange(last), "left")
-        for t in range(last):
-            n = alive[t]
-            h, _ = self.step(x[:n], h[:n])
-            x = flat[lead[:n] + t]
-            states.append(h)
-            goals.append(x)
-            lanes.append(n)
-            held += n
-            if held > 40_000 or t == last - 1:
-                got = self.log_probs(np.concatenate(states), np.concatenate(goals))
-                out += np.bincount(np.concatenate([np.arange(k) for k in lanes]), got, len(texts))
-                states, goals, lanes, held = [], [], [], 0
+        out, ends, t = np.zeros(len(texts)), size[order], 0
+        h, last = np.zeros((len(texts), HIDDEN), np.float32), int(ends[0])
+        while t < last:
+            n = int(np.searchsorted(-ends, -t, "left"))
+            steps = min(last - t, max(1, min(512, 20_000 // n)))
+            at = np.arange(t, t + steps)[:, None]
+            live = at < ends[None, :n]
+            goals = flat[lead[None, :n] + np.minimum(at, ends[None, :n] - 1)]
+            before = np.concatenate((flat[lead[None, :n] + t - 1] if t else np.full((1, n), self.v.stop), goals[:-1]))
+            rows, states, h = self.p["inp"][before], np.empty((steps, n, HIDDEN), np.float32), h[:n]
+            for k in range(steps):
+                h, _ = self.cell(rows[k], h)
+                states[k] = h
+            got = self.log_probs(states[live], goals[live])
+            out[:n] += np.bincount(np.nonzero(live)[1], got, n)
+            t += steps
         back = np.empty(len(texts))
         back[order] = out
         return back
