@@ -111,6 +111,7 @@ class Vocabulary:
         self.n_classes = self.n_head + TAILS + 1
         self.end = self.n_classes - 1
         self.n_inputs = len(head) + TAILS + 1
+        self.class_of = np.concatenate((self.of_head, self.n_head + np.arange(TAILS), [self.end])).astype(np.uint16)
 
     def ids(self, w: C.Words) -> np.ndarray:
         """Input numbers of words: head words, then tail classes."""
@@ -128,19 +129,33 @@ class Vocabulary:
         return len(self.head) + TAILS
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
-        table = np.concatenate((self.of_head, self.n_head + np.arange(TAILS), [self.end]))
-        return table[ids]
+        return self.class_of[ids]
 
     def first_weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """Class and word biases of the unigram model."""
+        """Class and word biases of the unigram model, 0 at the likeliest of each softmax."""
         mass = np.zeros(self.n_classes)
         np.add.at(mass, self.of_head, self.count)
         mass[self.n_head : self.end] = self.n_k
         mass[self.end] = self.ends
         word = np.full((self.n_head, PER_CLASS), -1e9)
         for c, m in enumerate(self.members):
-            word[c, : len(m)] = np.log(self.count[m] + 0.5)
-        return np.log(mass + 0.5), word
+            if len(m):
+                word[c, : len(m)] = np.log((self.count[m] + 0.5) / (self.count[m].max() + 0.5))
+        return np.log((mass + 0.5) / (mass.max() + 0.5)), word
+
+
+def _tame(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether exp(h @ w + b) neither overflows nor vanishes whatever the state (its entries are within -1 and 1)."""
+    reach = np.abs(w).sum(-2)
+    return bool((b + reach).max() < 60 and (b - reach).max(-1).min() > -60)
+
+
+def _exp(logit: np.ndarray, tame: bool) -> np.ndarray:
+    """Row sums of exp(logit), which takes logit's place; where it might overflow, logits are first shifted."""
+    if not tame:
+        logit -= logit.max(1, keepdims=True)
+    np.exp(logit, out=logit)
+    return logit @ np.ones(logit.shape[1], logit.dtype)
 
 
 class GRU:
@@ -159,22 +174,20 @@ class GRU:
             params["inp"][:, :h] += 1.0
         self.p = {k: x.astype(np.float32) for k, x in params.items()}
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """x: input rows, h: state -> new state and what backpropagation needs."""
-        new, kept = self.cell(self.p["inp"][x], h)
-        return new, (x, h, *kept)
-
-    def cell(self, g: np.ndarray, h: np.ndarray):
-        """The same from the inputs' rows g, which are used up."""
-        n = HIDDEN
-        r = h @ self.p["rec"]
-        zr = g[:, : 2 * n]
-        zr += r[:, : 2 * n]
+    def gates(self, name: str) -> np.ndarray:
+        """A weight's three gates one after the other, so that each one's rows lie together."""
+        return np.stack(np.split(self.p[name], 3, axis=1))
+
+    def cell(self, g: np.ndarray, h: np.ndarray, rec: np.ndarray):
+        """Inputs' rows g (gate x lane x unit; used up), state and rec's gates -> new state and what backpropagation needs."""
+        r = np.matmul(h, rec)
+        zr, c, rc = g[:2], g[2], r[2]
+        zr += r[:2]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, reset, c, rc = zr[:, :n], zr[:, n:], g[:, 2 * n :], r[:, 2 * n :]
+        z, reset = zr
         c += reset * rc
         np.tanh(c, out=c)
         new = h - c
@@ -191,33 +204,39 @@ class GRU:
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P of the class, and of head words within theirs; tail words' own share is not in it."""
         cls, order, cut = self._by_class(y)
+        tame = _tame(self.p["out"], self.p["out_b"])
         logit = h @ self.p["out"]
         logit += self.p["out_b"]
-        logit -= logit.max(1, keepdims=True)
+        if not tame:
+            logit -= logit.max(1, keepdims=True)
         out = logit[np.arange(len(y)), cls]
-        out -= np.log(np.exp(logit, out=logit).sum(1))
+        out -= np.log(_exp(logit, True))
         order = order[: cut[-1]]
         h, slot, more = h[order], self.v.slot[y[order]], np.empty(cut[-1], h.dtype)
+        tame = _tame(self.p["word"], self.p["word_b"])
         for c in range(self.v.n_head):
             a, b = cut[c], cut[c + 1]
             if b > a:
                 word = h[a:b] @ self.p["word"][c]
                 word += self.p["word_b"][c]
-                word -= word.max(1, keepdims=True)
+                if not tame:
+                    word -= word.max(1, keepdims=True)
                 more[a:b] = word[np.arange(b - a), slot[a:b]]
-                more[a:b] -= np.log(np.exp(word, out=word).sum(1))
+                more[a:b] -= np.log(_exp(word, True))
         out[order] += more
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
         """One window (steps x lanes) of truncated backpropagation: gradients, last state, loss."""
         n, (steps, lanes) = HIDDEN, x.shape
-        saved, states, whole = [], np.empty((steps, lanes, n), h.dtype), live.all(1)
+        saved, states, whole, rows = [], np.empty((steps, lanes, n), h.dtype), live.all(1), np.take(self.gates("inp"), x, axis=1)
+        rec = self.gates("rec")
         for t in range(steps):
             if not whole[t]:
                 h = h * live[t, :, None]
-            h, keep = self.step(x[t], h)
-            saved.append(keep)
+            new, keep = self.cell(rows[:, t], h, rec)
+            saved.append((h, *keep))
+            h = new
             states[t] = h
         flat, goal = states.reshape(-1, n), y.ravel()
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -225,9 +244,8 @@ class GRU:
         cls, order, cut = self._by_class(goal)
         d = flat @ self.p["out"]
         d += self.p["out_b"]
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
+        total = _exp(d, _tame(self.p["out"], self.p["out_b"]))
+        d *= (1 / total)[:, None]
         loss = -np.log(d[np.arange(count), cls] + 1e-12).sum()
         d[np.arange(count), cls] -= 1
         d /= count
@@ -235,14 +253,14 @@ class GRU:
         dh_all = d @ self.p["out"].T
         order = order[: cut[-1]]
         heads, slot, dh_heads = flat[order], self.v.slot[goal[order]], np.empty((len(order), n), flat.dtype)
+        tame = _tame(self.p["word"], self.p["word_b"])
         for c in range(self.v.n_head):
             a, b = cut[c], cut[c + 1]
             if b > a:
                 d = heads[a:b] @ self.p["word"][c]
                 d += self.p["word_b"][c]
-                d -= d.max(1, keepdims=True)
-                np.exp(d, out=d)
-                d /= d.sum(1, keepdims=True)
+                total = _exp(d, tame)
+                d *= (1 / total)[:, None]
                 at = np.arange(b - a), slot[a:b]
                 loss -= np.log(d[at] + 1e-12).sum()
                 d[at] -= 1
@@ -251,33 +269,41 @@ class GRU:
                 dh_heads[a:b] = d @ self.p["word"][c].T
         dh_all[order] += dh_heads
         dh_all = dh_all.reshape(steps, lanes, n)
-        carry, d_in = np.zeros((lanes, n), flat.dtype), np.empty((steps, lanes, 3 * n), flat.dtype)
+        carry, d_in = np.zeros((lanes, n), flat.dtype), np.empty((3, steps, lanes, n), flat.dtype)
         d_rec, before = np.empty_like(d_in), np.empty_like(states)
+        back = np.ascontiguousarray(rec.transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
-            _, prev, z, reset, c, rc = saved[t]
+            prev, z, reset, c, rc = saved[t]
             dh = dh_all[t]
             dh += carry
             keep = 1 - z
-            dc = dh * keep
-            dc *= 1 - c * c
+            dc = d_in[2, t]
+            np.multiply(dh, keep, out=dc)
             keep *= z
             keep *= prev - c
-            np.multiply(dh, keep, out=d_in[t, :, :n])
-            gate = reset * (1 - reset)
-            gate *= rc
-            np.multiply(dc, gate, out=d_in[t, :, n : 2 * n])
-            d_in[t, :, 2 * n :] = dc
-            d_rec[t] = d_in[t]
-            d_rec[t, :, 2 * n :] *= reset
+            np.multiply(dh, keep, out=d_in[0, t])
+            np.multiply(c, c, out=c)
+            np.subtract(1, c, out=c)
+            dc *= c
+            rc *= dc
+            rc *= reset
+            np.multiply(dc, reset, out=d_rec[2, t])
+            np.subtract(1, reset, out=reset)
+            np.multiply(rc, reset, out=d_in[1, t])
+            d_rec[:2, t] = d_in[:2, t]
             before[t] = prev
-            carry = dh * z + d_rec[t] @ self.p["rec"].T
+            parts = np.matmul(d_rec[:, t], back)
+            carry = dh * z
+            for part in parts:
+                carry += part
             if not whole[t]:
                 carry *= live[t, :, None]
-        g["rec"] = before.reshape(-1, n).T @ d_rec.reshape(-1, 3 * n)
-        which = x.ravel()
+        g["rec"] = np.concatenate(np.matmul(before.reshape(-1, n).T, d_rec.reshape(3, -1, n)), axis=1)
+        which = x.ravel().astype(np.uint16)
         order = np.argsort(which, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], which[order][1:] != which[order][:-1])))
-        g["inp"][which[order][first]] = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], first, axis=0)
+        which = which[order]
+        first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        g["inp"][which[first]] = np.concatenate(np.add.reduceat(np.take(d_in.reshape(3, -1, n), order, axis=1), first, axis=1), axis=1)
         return g, h, loss / count
 
     def train(self, total: np.ndarray, rate: float, lanes: int) -> list[float]:
@@ -312,6 +338,7 @@ class GRU:
         flat = np.concatenate([x for i in order for x in (texts[i], [self.v.stop])]).astype(np.int64)
         lead = np.cumsum(size[order]) - size[order]
         out, ends, t = np.zeros(len(texts)), size[order], 0
+        inp, rec = self.gates("inp"), self.gates("rec")
         h, last = np.zeros((len(texts), HIDDEN), np.float32), int(ends[0])
         while t < last:
             n = int(np.searchsorted(-ends, -t, "left"))
@@ -320,9 +347,9 @@ class GRU:
             live = at < ends[None, :n]
             goals = flat[lead[None, :n] + np.minimum(at, ends[None, :n] - 1)]
             before = np.concatenate((flat[lead[None, :n] + t - 1] if t else np.full((1, n), self.v.stop), goals[:-1]))
-            rows, states, h = self.p["inp"][before], np.empty((steps, n, HIDDEN), np.float32), h[:n]
+            rows, states, h = np.take(inp, before, axis=1), np.empty((steps, n, HIDDEN), np.float32), h[:n]
             for k in range(steps):
-                h, _ = self.cell(rows[k], h)
+                h, _ = self.cell(rows[:, k], h, rec)
                 states[k] = h
             got = self.log_probs(states[live], goals[live])
             out[:n] += np.bincount(np.nonzero(live)[1], got, n)
