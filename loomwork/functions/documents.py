@@ -15,24 +15,33 @@ DEPTH = 8
 def nodes(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
     """Every node below the root: the columns of docs but `doc`, path, ord (document order), value (JSON text or plain).
 
-    Objects give `a.b`, list items `a.[i]`.  One explode per level, up to `depth`
-    levels; a document that goes on below them fails the query, so no leaf is lost
-    unseen; null or malformed documents have no nodes.
+    Objects give `a.b`, list items `a.[i]`.  The documents are read once: each of `depth`
+    levels is an array made from the level above, and all are exploded together; a
+    document that goes on below them fails the query, so no leaf is lost unseen; null or
+    malformed documents have no nodes.
     """
     keep = [c for c in docs.columns if c != doc]
-    level = docs.select(*keep, F.lit("").alias("path"), F.array().cast("array<int>").alias("ord"), F.col(doc).alias("value"))
-    out = None
-    is_map, is_list = F.startswith(F.ltrim("value"), F.lit("{")), F.startswith(F.ltrim("value"), F.lit("["))
-    pairs = F.map_entries(F.from_json(F.when(is_map, F.col("value")), "map<string,string>"))
-    items = F.transform(F.from_json(F.when(is_list, F.col("value")), "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-    below = F.coalesce(pairs, items)
-    for at in range(depth):
-        each = level.select(*keep, "path", "ord", F.posexplode(below).alias("at", "pair"))
-        level = each.select(*keep, F.concat_ws(".", F.nullif("path", F.lit("")), "pair.key").alias("path"), F.concat("ord", F.array("at")).alias("ord"), F.col("pair.value").alias("value"))
-        if at == depth - 1:
-            level = level.withColumn("value", F.when(F.size(below) > 0, F.raise_error(F.concat(F.lit(f"a document goes on below {depth} levels at "), "path"))).otherwise(F.col("value")))
-        out = level if out is None else out.unionByName(level)
-    return out
+
+    def entries(value):
+        is_map, is_list = F.startswith(F.ltrim(value), F.lit("{")), F.startswith(F.ltrim(value), F.lit("["))
+        pairs = F.map_entries(F.from_json(F.when(is_map, value), "map<string,string>"))
+        items = F.transform(F.from_json(F.when(is_list, value), "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        return F.coalesce(pairs, items)
+
+    def node(path, ord, value):
+        return F.struct(path.alias("path"), ord.alias("ord"), value.alias("value"))
+
+    def children(n):
+        each = F.transform(entries(n["value"]), lambda x, i: node(F.concat_ws(".", F.nullif(n["path"], F.lit("")), x["key"]), F.concat(n["ord"], F.array(i)), x["value"]))
+        return F.coalesce(each, F.array())
+
+    levels = [f"_level{i}" for i in range(depth + 1)]
+    found = docs.select(*keep, F.array(node(F.lit(""), F.array().cast("array<int>"), F.col(doc).cast("string"))).alias(levels[0]))
+    for above, level in zip(levels, levels[1:], strict=False):
+        found = found.withColumn(level, F.flatten(F.transform(above, children)))
+    found = found.select(*keep, F.explode(F.concat(*levels[1:])).alias("_node")).select(*keep, "_node.path", "_node.ord", "_node.value")
+    deeper = (F.size("ord") == depth) & (F.size(entries(F.col("value"))) > 0)
+    return found.withColumn("value", F.when(deeper, F.raise_error(F.concat(F.lit(f"a document goes on below {depth} levels at "), "path"))).otherwise(F.col("value")))
 
 
 def labelled_leaves(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
