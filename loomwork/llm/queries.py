@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import fingerprints, jaccard_join, language_model, licenses, mixing, neighbours, pieces, quality, substring_dedup, toxicity
+from loomwork.llm import conversation_trie, fingerprints, jaccard_join, language_model, licenses, line_dedup, mixing, neighbours, pieces, quality, substring_dedup, toxicity, whitening
 from loomwork.llm.common import read
 
 
@@ -48,7 +48,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op6_language_model, op7_pieces, op8_toxicity, op9_quality, op10_neighbours)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(read(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_jaccard_join, op4_licenses, op5_mixing, op6_language_model, op7_pieces, op8_toxicity, op9_quality, op10_neighbours, op11_whitening, op12_conversation_trie, op13_line_dedup)}
 #: Windows of 50 words by the hash of their text, and what they cover.
 OP2 = r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -71,4 +83,12 @@ links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.
 reach(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id FROM docs d LEFT JOIN sizes s USING (doc_id)
 """
-ORACLE: dict[str, str] = {"op2_substring_dedup": OP2, "op3_jaccard_join": OP3, "op5_mixing": mixing.ORACLE}
+#: Lines by their key, and the first document that holds each.
+OP13 = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM docs),
+keyed AS (SELECT *, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS k FROM lines),
+held AS (SELECT *, CASE WHEN length(k) >= 10 AND min(doc_id) OVER (PARTITION BY k) < doc_id THEN 1 ELSE 0 END AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN gone = 0 THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256 FROM held GROUP BY doc_id
+"""
+ORACLE: dict[str, str] = {"op2_substring_dedup": OP2, "op3_jaccard_join": OP3, "op5_mixing": mixing.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE, "op13_line_dedup": OP13}
