@@ -129,6 +129,21 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))
 
 
+def quoted(name: str) -> str:
+    """A column's name where an expression is expected, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain(df: DataFrame, *own: str) -> DataFrame:
+    """df with plain names: columns of `own` keep theirs, others are c0, c1, .. by place; `named` gives the names back."""
+    return df.toDF(*(c if c in own else f"c{i}" for i, c in enumerate(df.columns)))
+
+
+def named(df: DataFrame, like: DataFrame, *more: str) -> DataFrame:
+    """The columns of a `plain` frame, under like's names, and then `more` of its own."""
+    return df.select(*df.columns[: len(like.columns)], *more).toDF(*like.columns, *more)
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

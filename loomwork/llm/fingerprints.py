@@ -102,14 +102,15 @@ class Fingerprinter:
 def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = C.SHINGLE) -> DataFrame:
     """docs (doc_id, text) with a column `fingerprint`: hex; a column that has this name already is replaced."""
     docs = C.without(docs, "fingerprint")
-    schema = C.with_field(docs, "fingerprint", "string")
+    rows = C.plain(docs, "text")
+    schema = C.with_field(rows, "fingerprint", "string")
 
     def run(batches):
         maker = Fingerprinter(bins, bits, k)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.hex() for x in maker.of_texts(b.column("text"))], pa.string())], [*b.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, schema)
+    return C.named(rows.mapInArrow(run, schema), docs, "fingerprint")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

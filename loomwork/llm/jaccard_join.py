@@ -272,7 +272,7 @@ def kept(docs: DataFrame, k: int = C.SHINGLE, percent: int = 80) -> DataFrame:
     Of rows equal in doc_id and text one stays; different texts under one doc_id all
     stay if that is their class's smallest; rows with a null doc_id all stay.
     """
-    reach = classes(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    own = C.unused(docs, "same")
-    once = docs.where("doc_id is not null").withColumn(own, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", own]).drop(own)
-    return once.join(reach, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = C.plain(docs, "doc_id", "text")
+    reach = classes(rows, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    once = rows.where("doc_id is not null").withColumn("_same", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return C.named(once.join(reach, "doc_id", "left_semi").select(rows.columns).unionByName(rows.where("doc_id is null")), docs)

@@ -47,7 +47,8 @@ from loomwork.llm import common as C
 from loomwork.llm import exchange as X
 
 LEAST = 10
-SHARD_KEYS = 1 << 17
+SHARD_KEYS = 1 << 16
+LEAST_BITS = 4
 FULL = 0.8
 KICKS = 400
 _SHARD = "part int, n long, refs binary, filter binary"
@@ -102,7 +103,7 @@ class Cuckoo:
             slot = np.argmax(np.cumsum(free, 1) == rank[:, None] + 1, 1)
             self.cells[at[fits], slot[fits]] = mark[fits]
             left, far = mark[~fits], at[~fits]
-            if turn % 2 and len(left):  # both places were full: the first of each bucket takes another's slot
+            if turn and len(left):  # both places were full: the first of each bucket takes another's slot, whose owner goes to its other place
                 lead = (rank == room)[~fits]
                 slot = (C.mix(far[lead].astype(np.uint64) + _U(turn)) & _U(3)).astype(np.int64)
                 out = self.cells[far[lead], slot].copy()
@@ -287,7 +288,7 @@ class LineIndex:
 
 
 def _bits(keys: int) -> int:
-    return max(2, int(np.ceil(np.log2(max(1, keys) / SHARD_KEYS))))
+    return max(LEAST_BITS, int(np.ceil(np.log2(max(1, keys) / SHARD_KEYS))))
 
 
 def _n_keys(postings: DataFrame) -> int:
@@ -444,9 +445,8 @@ def digest(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
 
 def deduped(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """docs without the lines that a document with a smaller doc_id holds in the index (and n_chars, where there is one, counted anew)."""
-    names = docs.columns
-    inner = [c if c in ("doc_id", "text", "n_chars") else f"_{i}" for i, c in enumerate(names)]
-    plain = docs.select(*(F.col("`" + c.replace("`", "``") + "`").cast("long").alias(n) if c == "doc_id" else F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in zip(names, inner, strict=True)))
+    plain = C.plain(docs, "doc_id", "text", "n_chars")
+    plain = plain.withColumn("doc_id", F.col("doc_id").cast("long"))
     index = index or insert(None, plain)
 
     def use(table: pa.Table, rows: list) -> pa.Table:
@@ -459,4 +459,4 @@ def deduped(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
         return table
 
     out = marked(plain, index, use, plain.schema)
-    return out.select(*(F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(inner, docs.schema, strict=True)))
+    return C.named(out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), docs)

@@ -85,10 +85,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken."""
-    names = docs.columns
-    plain = docs.select(*(F.col(c).alias(f"c{i}") if c not in ("doc_id", "source", "text") else F.col(c) for i, c in enumerate(names)))
-    out = copies(plain, **options).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0")
-    return out.select(*(F.col(f"c{i}").alias(c) if c not in ("doc_id", "source", "text") else F.col(c) for i, c in enumerate(names)))
+    out = copies(C.plain(docs, "doc_id", "source", "text"), **options)
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0")
+    return C.named(each, docs)
 
 
 ORACLE = r"""

@@ -160,7 +160,8 @@ def fit(docs: DataFrame, ratings: DataFrame, *, most: int = MOST, bits: int = BI
 def rated(docs: DataFrame, ratings: DataFrame, at_least: int = 1, **options) -> DataFrame:
     """docs with expected_grade and tail = P(grade >= at_least)."""
     docs = C.without(docs, "expected_grade", "tail")
-    model = fit(docs, ratings, **options)
+    rows = C.plain(docs, "doc_id", "text")
+    model = fit(rows, ratings, **options)
     if model is None:
         return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail", F.lit(None).cast("double"))
     bits = (len(model.weights) - _DENSE).bit_length() - 1
@@ -182,8 +183,8 @@ def rated(docs: DataFrame, ratings: DataFrame, at_least: int = 1, **options) ->
             tail = tails[:, at_least - 1] if at_least <= tails.shape[1] else np.zeros(len(tails))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(1)), pa.array(tail)], [*b.schema.names, "expected_grade", "tail"])
 
-    schema = C.with_field(docs, "expected_grade", "double").add("tail", "double")
-    return docs.mapInArrow(run, schema)
+    schema = C.with_field(rows, "expected_grade", "double").add("tail", "double")
+    return C.named(rows.mapInArrow(run, schema), docs, "expected_grade", "tail")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -230,9 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST, least: int = LE
 def scored(docs: DataFrame, labels: DataFrame, into: str = "toxicity", **options) -> DataFrame:
     """docs with a column `into`, 0 to 1 (a column that has this name already is replaced).  Only the text decides it."""
     docs = C.without(docs, into)
-    model, e, curve = fit(docs, labels, **options)
+    rows = C.plain(docs, "doc_id", "text")
+    model, e, curve = fit(rows, labels, **options)
     if model is None:
-        return docs.withColumn(into, F.lit(float(curve)))
+        return C.named(rows.withColumn("_score", F.lit(float(curve))), docs, "_score").withColumnRenamed("_score", into)
     box = docs.sparkSession.sparkContext.broadcast((model, e, curve))
 
     def run(batches):
@@ -240,9 +241,9 @@ def scored(docs: DataFrame, labels: DataFrame, into: str = "toxicity", **options
         for b in batches:
             x = _texts(model, b.column("text"), (e,))[:, 0]
             score = 1 / (1 + np.exp(-np.clip(x * scale + offset, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "_score"])
 
-    return docs.mapInArrow(run, C.with_field(docs, into, "double"))
+    return C.named(rows.mapInArrow(run, C.with_field(rows, "_score", "double")), docs, "_score").withColumnRenamed("_score", into)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -254,4 +255,4 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose score is under `least`."""
     own = C.unused(docs, "toxicity")
-    return scored(docs, labels, own).where(F.col(own) < least).drop(own)
+    return scored(docs, labels, own).where(F.col(C.quoted(own)) < least).drop(own)

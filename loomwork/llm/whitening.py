@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from loomwork.llm import common as C
 
@@ -43,10 +44,6 @@ ROWS = 4096
 _HALF = 1 << 31
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _integers(col: str):
     """x - SHIFT of each component, as longs."""
     edge = float(1 << 62)
@@ -253,12 +250,12 @@ def whitened(vectors: DataFrame, col: str = "embedding", into: str = "whitened",
     The whitening is fitted on the distinct usable vectors of the same table.
     """
     names = vectors.columns
-    plain = vectors.select(*(F.col(_quoted(c)).alias(f"_{i}") for i, c in enumerate(names)))
+    plain = vectors.select(*(F.col(C.quoted(c)).alias(f"_{i}") for i, c in enumerate(names)))
     at = f"_{names.index(col)}"
     rows, dims = usable(plain.select(at), at)
     model = fitted(fit_list(rows), dims, components)
     plain = plain.withColumn("_y", F.when(_fine(at) & (F.size(at) == dims), _integers(at)))
-    schema = C.with_field(plain.drop("_y"), "w", "array<double>")
+    schema = StructType([*plain.drop("_y").schema.fields]).add("w", ArrayType(DoubleType()))
 
     def out(batches):
         for batch in batches:

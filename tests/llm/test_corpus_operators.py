@@ -426,14 +426,14 @@ def test_neighbours_search_goes_on_until_nothing_is_left(spark):
     assert neighbours.recall(found, each, 2, 19) == 1.0
 
 
-EDGE = "doc_id long, text string, lang string, source string, n_chars long, batch int, part int, size long, node long, toxicity double, _toxicity int, tail int, expected_grade int, fingerprint int, tokens int, same int, lot int, target int, grade int, rate int"
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, batch int, part int, size long, node long, toxicity double, _toxicity int, tail int, expected_grade int, fingerprint int, tokens int, same int, lot int, target int, grade int, rate int, `a.b` int, `c``d e` int"
 
 
 def edge_rows():
     """Null and repeated ids, repeated rows, one id with two texts, null, empty, blank and very long texts, ties; every column clashes with some inner name."""
     long_ = " ".join(f"w{i % 997}" for i in range(30_000))
     rows = [(None, "no id here", None), (None, None, "s"), (None, "no id here", None), (7, "alpha beta gamma delta epsilon zeta", "s"), (7, "alpha beta gamma delta epsilon zeta", "s"), (7, "one two three four five six", "s"), (8, None, "s"), (9, "", None), (10, " \n\t ", "s"), (11, long_, "t"), (12, long_ + " end", "t"), (13, "x" * 200_000, "t"), (14, "alpha beta gamma delta epsilon zeta", None), (1 << 60, "far", "s")]
-    return [(i, t, "en", s, len(t or ""), *[1] * 4, 0.5, *[1] * 10) for i, t, s in rows]
+    return [(i, t, "en", s, len(t or ""), *[1] * 4, 0.5, *[1] * 12) for i, t, s in rows]
 
 
 @pytest.fixture(scope="module")
