@@ -442,6 +442,34 @@ def edge(spark):
     return spark.createDataFrame(edge_rows(), EDGE).repartition(2)
 
 
+def test_neighbours_of_repeated_ids_against_brute_force(spark):
+    """Ids with several vectors, repeated rows, unusable vectors, and columns that clash with inner names."""
+    C.importable(spark)
+    r = np.random.default_rng(12)
+    rows = [(int(i), [float(v) for v in r.normal(size=8)]) for i in range(700)]
+    rows += [(i % 40, [float(v) for v in r.normal(size=8)]) for i in range(120)] + rows[:30] + [(i, rows[5][1]) for i in range(800, 860)]
+    odd = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3.0) for i, v in rows + odd], "vec_id long, embedding array<double>, vertex int, `a.b` int, x double").repartition(3)
+    found = neighbours.nearest(df, "vec_id % 20 = 0", k=10)
+    got = collections.defaultdict(list)
+    for row in sorted(found.collect(), key=lambda row: row["rank"]):
+        got[row.query_id].append((row.vec_id, row.score))
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = whole = 0
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best = {}
+        for v in x[ids == q]:
+            for i, s in zip(ids.tolist(), (x @ v).tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -9e9), s)
+        want = sorted(best.items(), key=lambda t: (-round(t[1], 9), t[0]))[:10]
+        assert len(got[q]) == 10 and len({i for i, _ in got[q]}) == 10
+        assert all(abs(best[i] - s) < 1e-9 for i, s in got[q])
+        hits += len({i for i, _ in want} & {i for i, _ in got[q]})
+        whole += 10
+    assert set(got) == {i for i, _ in rows if i % 20 == 0} and hits / whole > 0.95
+
+
 def test_edge_cases_of_digests(spark, edge):
     n, ids = len(edge_rows()), collections.Counter(r[0] for r in edge_rows())
     labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0), "x") for i in (7, 8, 9, 10, 11, 12, 13, 14)] + [(None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
