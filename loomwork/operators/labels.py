@@ -10,18 +10,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import numeric as N
+from loomwork.operators import ranks
 
 PATHOLOGY = ("pathologies.lung.", "pathologies.pleura.", "pathologies.vessels.", "pathologies.bones.")
 
 
-def label_and_mask(value) -> tuple[Column, Column]:
-    """(label, valid) of a label's text: present 1, not present 0, 1 -> 0, 2 and 3 -> 1; 0, others and null masked."""
-    word, n = F.lower(F.trim(value)), N.numeric_label(value)
-    label = F.when((word == "present") | n.isin(2, 3), 1).otherwise(0)
-    valid = F.coalesce((word == "present") | (word == "not present") | n.isin(1, 2, 3), F.lit(False))
+def label_and_mask(value, number: Column | None = None) -> tuple[Column, Column]:
+    """(label, valid) of a label: present 1, not present 0, 1 -> 0, 2 and 3 -> 1; 0, others and null masked.
+
+    value is a string, of which only the two words and plain digits say anything ("2.0" and
+    "true" don't); number: the value where it was a JSON number or boolean instead.
+    """
+    word = F.lower(F.trim(value))
+    n = F.when(F.regexp_like(word, F.lit("^[0-9]{1,9}$")), word.try_cast("int")).cast("double")
+    if number is not None:
+        n = F.coalesce(number.cast("double"), n)
+    label = F.when((word == "present") | n.isin(2.0, 3.0), 1).otherwise(0)
+    valid = F.coalesce((word == "present") | (word == "not present") | n.isin(1.0, 2.0, 3.0), F.lit(False))
     return label, valid
 
 
+def json_label(doc) -> tuple[Column, Column]:
+    """(label, valid) of a label as JSON text, by its JSON type: an object counts by its own `label`."""
+    whole = F.try_parse_json(doc)
+    inner = F.try_variant_get(whole, "$.label", "variant")
+    node = F.when(F.schema_of_variant(whole).startswith("OBJECT") & inner.isNotNull(), inner).otherwise(whole)
+    kind = F.schema_of_variant(node)
+    word = F.when(kind == "STRING", F.try_variant_get(node, "$", "string"))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(node, "$", "boolean").cast("double")).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(node, "$", "double"))
+    return label_and_mask(word, number)
+
+
 def labelled(rows: DataFrame, value: str = "value") -> DataFrame:
     label, valid = label_and_mask(F.col(value))
     return rows.withColumn("label", label).withColumn("valid", valid)
@@ -41,15 +60,19 @@ def eligible_labels(leaves: DataFrame, *, least_other: int = 1, threshold: float
     return rows.where((F.col(value) == 0) & (F.col("n_other") >= least_other) & (F.col("ratio") >= threshold))
 
 
-def within_quota(rows: DataFrame, quotas: DataFrame, *, seed: int = 42, concept: str = "name", report: str = "doc_id") -> DataFrame:
-    """At most quota rows of each concept: those with the smallest hashes of seed, report and concept.
+def quota_flags(rows: DataFrame, quotas: DataFrame, *, seed: int = 42, concept: str = "name", report: str = "doc_id", flag: str = "chosen", **limits) -> DataFrame:
+    """rows with `flag`: whether they are of the quota rows of their concept with the smallest hashes of seed, report and concept.
 
-    Each eligible row is as likely as any other, and reruns agree; a concept
-    without a quota keeps none.
+    Each eligible row is as likely as any other, and reruns agree; a concept without a
+    quota keeps none.  A concept's rows are never in one task: `ranks.smallest`.
     """
-    order = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(report).cast("string"), F.col(concept)).cast("binary"))
-    turn = F.row_number().over(W.partitionBy(concept).orderBy(order, report))
-    return rows.join(F.broadcast(quotas), concept).withColumn("turn", turn).where(F.col("turn") <= F.col("quota")).drop("turn", "quota")
+    code = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(report).cast("string"), F.col(concept)).cast("binary"))
+    return ranks.smallest(rows.withColumn("_code", code), concept, "_code", quotas.select(concept, "quota"), tie=report, flag=flag, **limits).drop("_code")
+
+
+def within_quota(rows: DataFrame, quotas: DataFrame, *, seed: int = 42, concept: str = "name", report: str = "doc_id", **limits) -> DataFrame:
+    """The rows that `quota_flags` chooses."""
+    return quota_flags(rows, quotas, seed=seed, concept=concept, report=report, flag="_chosen", **limits).where("_chosen").drop("_chosen")
 
 
 def vectors(rows: DataFrame, imputed: DataFrame | None = None, report: str = "doc_id", concept: str = "name") -> DataFrame:

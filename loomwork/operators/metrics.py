@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import numeric as N
+from loomwork.operators import ranks
 
 NAN = float("nan")
 
@@ -23,13 +24,12 @@ def confusion(rows: DataFrame, key: list[str]) -> DataFrame:
 def _steps(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, score, hits, misses, tp, fp, all_pos, all_neg): counts at each distinct score, and of all rows at or above it.
 
-    Rows are summed per score before any window, so a window's partition has
-    distinct scores only.
+    Rows are summed per score first; the running sums are on two levels, so no task has
+    all scores of a key.
     """
     each = rows.groupBy(*key, "score").agg(F.count_if(F.col("y") == 1).alias("hits"), F.count_if(F.col("y") != 1).alias("misses"))
-    down = W.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*key)
-    return each.withColumn("tp", F.sum("hits").over(down)).withColumn("fp", F.sum("misses").over(down)).withColumn("all_pos", F.sum("hits").over(whole)).withColumn("all_neg", F.sum("misses").over(whole))
+    out = ranks.running(each, key, "score", ["hits", "misses"])
+    return out.withColumnsRenamed({"hits_upto": "tp", "misses_upto": "fp", "hits_all": "all_pos", "misses_all": "all_neg"})
 
 
 def ranking(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators import ranks
+
 from loomwork.functions import numeric as N
 
 
@@ -91,8 +93,12 @@ def histogram(rows: DataFrame, value: str, bins: int, lo: float, hi: float, key:
 
 
 def spread(rows: DataFrame, key: list[str], value: str, quantiles=(0.01, 0.99)) -> DataFrame:
-    """Least, largest, mean, unbiased deviation and interpolated quantiles."""
-    return rows.groupBy(*key).agg(F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), *(F.percentile(value, q).alias(f"q{round(100 * q)}") for q in quantiles))
+    """Least, largest, mean, unbiased deviation and interpolated quantiles (of finite values; null without any)."""
+    out = rows.groupBy(*key).agg(F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    exact = ranks.quantiles(rows, key, value, tuple(quantiles)).select(*(F.col(c).alias(f"_{c}") for c in key), "share", "quantile")
+    exact = exact.groupBy(*(f"_{c}" for c in key)).agg(*(F.max(F.when(F.col("share") == float(q), F.col("quantile"))).alias(f"q{round(100 * q)}") for q in quantiles))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return (out.join(exact, on, "left") if key else out.join(exact)).drop(*(f"_{c}" for c in key))
 
 
 def statuses(rows: DataFrame, status: str = "status", known=("success", "dry_run", "failed")) -> DataFrame:

@@ -1,12 +1,14 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables kept there."""
 
 from __future__ import annotations
 
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     at = os.path.join(tempfile.gettempdir(), "loomwork-shared")
     spark.conf.set("spark.checkpoint.dir", at)
     return at
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; gone when the session ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what several passes read is computed once, and outlives an executor."""
+    at = place(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows of a side that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted, are few; else it is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
