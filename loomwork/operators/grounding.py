@@ -59,11 +59,187 @@ def with_runs(rows: DataFrame, counts: str = "counts") -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("runs", ArrayType(LongType())))
 
 
+def with_encoded(rows: DataFrame, runs: str = "runs", into: str = "counts") -> DataFrame:
+    """rows with the compressed string of their run lengths."""
+    def run(batches):
+        for b in batches:
+            cells = [None if r is None else encode_runs(r) for r in b.column(runs).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.string())], [*b.schema.names, into])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(into, "string"))
+
+
 def area(runs) -> Column:
     """Pixels of a mask: the sum of every second run."""
     return F.aggregate(F.transform(runs, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+# ------------------------------------------------------------ masks as edges: a picture is one row
+
+
+def with_edges(rows: DataFrame, counts: str = "counts", into: str = "edges") -> DataFrame:
+    """rows with the positions at which a compressed mask flips, off before the first; null for null."""
+    def run(batches):
+        for b in batches:
+            cells = [None if c is None else np.cumsum(decode_runs(c)) for c in b.column(counts).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], [*b.schema.names, into])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(into, ArrayType(LongType())))
+
+
+def with_counts(rows: DataFrame, edges: str = "edges", into: str = "counts") -> DataFrame:
+    """rows with the compressed string of a mask given by its edges: the other way round."""
+    def run(batches):
+        for b in batches:
+            cells = [None if c is None else encode_runs(np.diff([0, *c]).tolist()) for c in b.column(edges).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.string())], [*b.schema.names, into])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(into, "string"))
+
+
+def let(value, body) -> Column:
+    """body(value), with the value computed once for a row however often, and in whichever lambda, the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def edges_of(mask) -> Column:
+    """The edges of an array of booleans."""
+    none = F.array().cast("array<int>")
+
+    def found(m):
+        n = F.size(m)
+        turns = F.zip_with(F.slice(m, 2, F.greatest(n, F.lit(1))), F.slice(m, 1, F.greatest(n - 1, F.lit(0))), lambda x, y: x != y)
+        flips = F.filter(F.transform(turns, lambda t, i: F.when(t, i + 1)), lambda x: x.isNotNull())
+        return F.concat(F.when(F.get(m, F.lit(0)), F.array(F.lit(0))).otherwise(none), flips, F.when(F.get(m, n - 1), F.array(n)).otherwise(none))
+
+    return F.transform(let(mask, found), lambda x: x.cast("long"))
+
+
+def mask_from(edges, n) -> Column:
+    """The array of n booleans with these edges."""
+    ends = F.concat(F.filter(edges, lambda x: x < n), F.array(n.cast("long")))
+    sizes = let(ends, lambda e: F.zip_with(e, F.concat(F.array(F.lit(0).cast("long")), F.slice(e, 1, F.size(e) - 1)), lambda to, at: (to - at).cast("int")))
+    return F.flatten(F.transform(sizes, lambda x, i: F.array_repeat(i % 2 == 1, x)))
+
+
+def edge_area(edges) -> Column:
+    """Pixels between every second pair of edges."""
+    return F.aggregate(F.transform(edges, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def edge_overlap(a, b) -> Column:
+    """Pixels that two masks share: one sweep over the edges of both."""
+    tag = lambda edges, k: F.transform(edges, lambda x: F.struct(x.cast("long").alias("at"), F.lit(k).alias("of")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(0).cast("long").alias("both"))
+    step = lambda s, e: F.struct(e["at"].alias("at"), (s["a"] != (e["of"] == 0)).alias("a"), (s["b"] != (e["of"] == 1)).alias("b"), (s["both"] + F.when(s["a"] & s["b"], e["at"] - s["at"]).otherwise(0)).alias("both"))
+    return F.aggregate(F.array_sort(F.concat(tag(a, 0), tag(b, 1))), start, step, lambda s: s["both"])
+
+
+def mask_overlap(masks: DataFrame, key: list[str], pred: str = "pred", gt: str = "gt") -> DataFrame:
+    """(key, inter, dice, iou) of masks (key, edges of pred and gt): a row a picture, no shuffle."""
+    rows = masks.select(*key, edge_area(pred).alias("p"), edge_area(gt).alias("g"), edge_overlap(pred, gt).alias("inter"))
+    return rows.select(*key, "inter", (2 * F.col("inter") / (F.col("p") + F.col("g") + 1e-8)).alias("dice"), (F.col("inter") / (F.col("p") + F.col("g") - F.col("inter") + 1e-8)).alias("iou"))
+
+
+def pictures(pixels: DataFrame, key: list[str]) -> DataFrame:
+    """pixels (key, pos, a, gt; maybe inside) as a row each: a (values by position), edges of gt and inside, counted by rank of position."""
+    inside = F.col("inside") if "inside" in pixels.columns else F.lit(True)
+    cells = pixels.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "a", "gt", inside.alias("inside")))).alias("c"))
+    of = lambda f: F.transform("c", lambda x: x[f])
+    return cells.select(*key, of("a").alias("a"), edges_of(of("gt")).alias("gt"), edges_of(of("inside")).alias("inside"))
+
+
+def picture_metrics(rows: DataFrame, key: list[str], threshold: float = 0.5, *, method: str = "fixed", percentile: float = 98.0) -> DataFrame:
+    """The case metrics of pictures (key, a, edges of gt; maybe of inside): expressions on one row a picture, no window and no shuffle.
+
+    One array of the pixels inside, by falling a and rising position, serves
+    pointing, top-k, percentile and ranking; see `case_metrics` for what they are.
+    """
+    if method not in ("fixed", "percentile", "topk"):
+        raise ValueError(method)
+    n = F.size("a")
+    inside = mask_from(F.col("inside"), n) if "inside" in rows.columns else F.array_repeat(F.lit(True), n)
+    marks = F.zip_with(mask_from(F.col("gt"), n), inside, lambda g, i: F.struct(g.alias("gt"), i.alias("in")))
+    cells = F.transform(F.zip_with("a", marks, lambda a, m: F.struct(a.alias("a"), m["gt"].alias("gt"), m["in"].alias("in"))), lambda x, i: F.when(x["in"], F.struct((-x["a"]).alias("far"), i.alias("pos"), x["gt"].alias("gt"))))
+    rows = rows.select(*key, edge_area("gt").alias("_g"), F.array_sort(F.filter(cells, lambda x: x.isNotNull())).alias("_c")).where(F.size("_c") > 0)
+    count = lambda cells: F.size(cells)
+    hits = lambda cells: F.size(F.filter(cells, lambda x: x["gt"]))
+    top = F.slice("_c", 1, F.greatest(F.lit(1), F.col("_g")).cast("int"))
+    m = F.size("_c")
+    p = F.lit(percentile / 100) * (m - 1)
+    value = lambda i: -F.get("_c", m - 1 - i.cast("int"))["far"]
+    cut = {"fixed": F.lit(float(threshold)), "topk": F.lit(float("nan")), "percentile": value(F.floor(p)) + (value(F.ceil(p)) - value(F.floor(p))) * (p - F.floor(p))}[method]
+    rows = rows.withColumn("threshold", cut)
+    hit = top if method == "topk" else F.filter("_c", lambda x: -x["far"] >= F.col("threshold"))
+    total = lambda only: F.aggregate("_c", F.lit(0.0), lambda s, x: s + F.when(x["gt"] | F.lit(not only), -x["far"]).otherwise(0.0))
+    zero = F.lit(0).cast("long")
+    names = ("far", "h", "m", "tp", "fp", "area", "ap")
+    start = F.struct(*(v.alias(w) for v, w in zip((F.lit(None).cast("double"), zero, zero, zero, zero, F.lit(0.0), F.lit(0.0)), names, strict=True)))
+
+    def step(s, x):
+        """tp and fp count all pixels so far; the last h and m of them are of one value, whose part of the areas is added when it ends."""
+        same = s["far"] == x["far"]
+        h, miss = x["gt"].cast("long"), 1 - x["gt"].cast("long")
+        gain = lambda f, v: s[f] + F.when(same, 0.0).otherwise(v)
+        more = (x["far"], F.when(same, s["h"]).otherwise(zero) + h, F.when(same, s["m"]).otherwise(zero) + miss, s["tp"] + h, s["fp"] + miss, gain("area", s["m"] * (s["tp"] - s["h"] / 2)), gain("ap", F.when(s["h"] > 0, s["h"] * s["tp"] / (s["tp"] + s["fp"])).otherwise(0.0)))
+        return F.struct(*(v.alias(w) for v, w in zip(more, names, strict=True)))
+
+    last = lambda s: F.struct(s["tp"].alias("tp"), s["fp"].alias("fp"), (s["area"] + s["m"] * (s["tp"] - s["h"] / 2)).alias("area"), (s["ap"] + F.when(s["h"] > 0, s["h"] * s["tp"] / (s["tp"] + s["fp"])).otherwise(0.0)).alias("ap"))
+    ranked = F.aggregate(F.transform("_c", lambda x: F.struct(x["far"].cast("double").alias("far"), x["gt"].alias("gt"))), start, step, last)
+    out = rows.select(
+        *key, "_g", "threshold", (total(True) / (total(False) + 1e-8)).alias("energy"), F.get("_c", F.lit(0))["gt"].cast("int").alias("pointing"), count(top).alias("n_top"), hits(top).alias("i_top"), count(hit).alias("n_hit"), hits(hit).alias("i_hit"), ranked.alias("r"),
+    )
+    d = lambda c: 2 * F.col(f"i_{c}") / (F.col(f"n_{c}") + F.col("_g") + 1e-8)
+    u = lambda c: F.col(f"i_{c}") / (F.col(f"n_{c}") + F.col("_g") - F.col(f"i_{c}") + 1e-8)
+    both = (F.col("r.tp") > 0) & (F.col("r.fp") > 0)
+    curve = lambda c: F.when(both, c).otherwise(float("nan"))
+    return out.select(*key, "energy", "pointing", d("top").alias("topk_dice"), u("top").alias("topk_iou"), d("hit").alias("dice"), u("hit").alias("iou"), "threshold", curve(F.col("r.area") / (F.col("r.tp") * F.col("r.fp"))).alias("auroc"), curve(F.col("r.ap") / F.col("r.tp")).alias("auprc"))
+
+
+def with_suffix_counts(rows: DataFrame, n: int = 100) -> DataFrame:
+    """pictures with p and x: how many pixels inside, and how many of them of the ground truth, have a >= i / n, for i = 0 .. n."""
+    schema = StructType([*rows.schema.fields]).add("p", ArrayType(LongType())).add("x", ArrayType(LongType()))
+    grid = np.arange(n + 1) / n
+
+    def filled(edges, size: int) -> np.ndarray:
+        flips = np.zeros(size + 1, np.int64)
+        np.add.at(flips, np.minimum(np.asarray(edges, np.int64), size), 1)
+        return np.cumsum(flips[:-1]) % 2 == 1
+
+    def run(batches):
+        for b in batches:
+            found = []
+            inside = b.column("inside").to_pylist() if "inside" in b.schema.names else [None] * b.num_rows
+            for a, gt, box in zip(b.column("a").to_pylist(), b.column("gt").to_pylist(), inside, strict=True):
+                a = np.asarray(a, float)
+                keep = np.ones(len(a), bool) if box is None else filled(box, len(a))
+                at = np.searchsorted(grid, a[keep], "right")  # grid points up to a
+                found.append([np.cumsum(np.bincount(at[w], minlength=n + 2)[:0:-1])[::-1] for w in (slice(None), filled(gt, len(a))[keep])])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def picture_sweep(rows: DataFrame, by: list[str], n: int = 100) -> DataFrame:
+    """(by.., thr_dice, dice, thr_iou, iou) of pictures (by.., a, edges of gt; maybe of inside): n + 1 rows a picture, not one a pixel."""
+    cells = with_suffix_counts(rows, n)
+    whole = mask_from(F.col("gt"), F.size("a"))
+    inner = mask_from(F.col("inside"), F.size("a")) if "inside" in rows.columns else F.array_repeat(F.lit(True), F.size("a"))
+    cells = cells.withColumn("_g", F.size(F.filter(F.zip_with(whole, inner, lambda g, i: g & i), lambda v: v))).where("_g > 0")
+    full = cells.select(*by, "_g", F.posexplode(F.arrays_zip("p", "x")).alias("i", "c")).select(*by, "_g", "i", "c.p", "c.x")
+    per = full.groupBy(*by, "i").agg(F.sum(2 * F.col("x") / (F.col("p") + F.col("_g") + 1e-8)).alias("dice"), F.sum(F.col("x") / (F.col("p") + F.col("_g") - F.col("x") + 1e-8)).alias("iou"))
+    return _best_of_grid(per, by, n)
+
+
+def _best_of_grid(per: DataFrame, by: list[str], n: int) -> DataFrame:
+    first = lambda c: F.min(F.struct((-F.round(c, 9)).alias("v"), "i"))
+    out = (per.groupBy(*by) if by else per).agg(first("dice").alias("d"), first("iou").alias("u"))
+    return out.select(*by, F.coalesce(F.col("d.i") / float(n), F.lit(0.5)).alias("thr_dice"), (-F.col("d.v")).alias("dice"), F.coalesce(F.col("u.i") / float(n), F.lit(0.5)).alias("thr_iou"), (-F.col("u.v")).alias("iou"))
+
+
+# ------------------------------------------------------------ geometry, and measures a row a pixel
+
+
 def letterbox(h, w, size: int) -> Column:
     """struct(scale, nh, nw, y0, x0): the picture scaled into a square, centred."""
     scale = F.lit(float(size)) / F.greatest(h, w)
@@ -174,6 +350,4 @@ def sweep_by(pixels: DataFrame, key: list[str], by: list[str], n: int = 100) ->
     up = W.partitionBy(*both).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
     full = full.withColumn("p", F.coalesce(F.sum("m").over(up), F.lit(0))).withColumn("x", F.coalesce(F.sum("t").over(up), F.lit(0)))
     per = full.groupBy(*by, "i").agg(F.sum(2 * F.col("x") / (F.col("p") + F.col("g") + 1e-8)).alias("dice"), F.sum(F.col("x") / (F.col("p") + F.col("g") - F.col("x") + 1e-8)).alias("iou"))
-    first = lambda c: F.min(F.struct((-F.round(c, 9)).alias("v"), "i"))
-    out = (per.groupBy(*by) if by else per).agg(first("dice").alias("d"), first("iou").alias("u"))
-    return out.select(*by, F.coalesce(F.col("d.i") / float(n), F.lit(0.5)).alias("thr_dice"), (-F.col("d.v")).alias("dice"), F.coalesce(F.col("u.i") / float(n), F.lit(0.5)).alias("thr_iou"), (-F.col("u.v")).alias("iou"))
+    return _best_of_grid(per, by, n)

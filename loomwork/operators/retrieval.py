@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,43 +12,79 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import documents as D
 from loomwork.functions import numeric as N
+from loomwork.session import small, stored
+
+
+#: Bytes of a tile of queries, and of a tile of a bank: what one task multiplies at a time.
+TILE_BYTES = 8 << 20
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    cells = table.column(column).combine_chunks()
+    cells = pa.concat_arrays(cells.chunks) if isinstance(cells, pa.ChunkedArray) else cells
+    return cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cells), -1)
+
 
 def _nearest(queries: pa.Table, bank: pa.Table, k: int) -> pa.Table:
-    """Of a block of a concept's bank: each query's k most similar different texts."""
-    rows: dict[str, list] = {"query_id": [], "concept": [], "text": [], "text_idx": [], "sim": []}
+    """Of a tile of a concept's bank: each query's k most similar different texts, told apart by their codes."""
+    kinds = [("query_id", pa.int64()), ("concept", bank.schema.field("concept").type), ("text", pa.string()), ("code", pa.binary()), ("text_idx", pa.int64()), ("sim", pa.float64())]
+    whose, at, sim = [], [], []
     if queries.num_rows and bank.num_rows:
-        matrix = lambda t, c: np.array(t.column(c).to_pylist(), np.float64)
-        u, texts, at = matrix(bank, "u"), bank.column("text").to_pylist(), bank.column("text_idx").to_numpy()
-        names, group = np.unique(np.array(texts, object).astype(str), return_inverse=True)
-        for a in range(0, queries.num_rows, 256):
-            part = queries.slice(a, 256)
-            sims = matrix(part, "v") @ u.T
-            for q, s in zip(part.column("q_id").to_pylist(), sims, strict=True):
-                order = np.lexsort((at, -s))
+        u, ids = _matrix(bank, "u"), bank.column("text_idx").to_numpy()
+        codes = np.frombuffer(b"".join(bank.column("code").to_pylist()), "<u8").reshape(-1, 2)
+        group = np.empty(len(codes), np.int64)
+        order = np.lexsort((codes[:, 1], codes[:, 0]))
+        group[order] = np.cumsum(np.concatenate(([0], (codes[order][1:] != codes[order][:-1]).any(1))))
+        v, q_ids = _matrix(queries, "v"), queries.column("q_id").to_numpy()
+        for a in range(0, len(v), 256):
+            for q, s in zip(q_ids[a : a + 256], v[a : a + 256] @ u.T, strict=True):
+                order = np.lexsort((ids, -s))
                 _, first = np.unique(group[order], return_index=True)
-                for i in order[np.sort(first)[:k]]:
-                    for c, x in zip(rows, (q, bank.column("concept")[0].as_py(), texts[i], int(at[i]), float(s[i])), strict=True):
-                        rows[c].append(x)
-    kinds = [("query_id", pa.int64()), ("concept", bank.schema.field("concept").type), ("text", pa.string()), ("text_idx", pa.int64()), ("sim", pa.float64())]
-    return pa.table(rows, pa.schema(kinds))
+                best = order[np.sort(first)[:k]]
+                whose.append(np.full(len(best), q))
+                at.append(best)
+                sim.append(s[best])
+    at = np.concatenate(at) if at else np.empty(0, np.int64)
+    picked = bank.take(pa.array(at))
+    return pa.table([pa.array(np.concatenate(whose) if whose else [], pa.int64()), picked.column("concept"), picked.column("text"), picked.column("code"), picked.column("text_idx").cast(pa.int64()), pa.array(np.concatenate(sim) if sim else [], pa.float64())], pa.schema(kinds))
+
 
+def tiled(queries: DataFrame, bank: DataFrame, tile: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into tiles of about `tile` bytes: queries (concept, q_tile, b_tile, q_id, v), bank (concept, q_tile, b_tile, text_idx, text, code, u).
 
-def top_texts(queries: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
+    The tiles of a concept are numbered by its bytes on each side, which are summed
+    first; each tile of queries is sent to each tile of its concept's bank, so a row is
+    copied as often as the *other* side has tiles, whatever the number of partitions.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("q_id"), "concept", N.unit("v").alias("v")).where(F.col("concept").isNotNull())
+    b = bank.select("concept", F.col("text_idx").cast("long").alias("text_idx"), F.trim("text").alias("text"), N.unit("raw").alias("u")).where(F.col("concept").isNotNull() & F.col("text").isNotNull())
+    code = F.unhex(F.md5(F.col("text").cast("binary")))
+    b = b.withColumn("code", code)
+    n = lambda rows, size, name: rows.groupBy("concept").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / tile)).cast("int").alias(name))
+    counts = n(q, 8 * F.size("v") + 32, "q_tiles").join(n(b, 8 * F.size("u") + F.octet_length("text") + 64, "b_tiles"), "concept")
+    counts = small(stored(counts, "tiles"))
+    of = lambda key, tiles: F.pmod(F.xxhash64(*key), F.col(tiles)).cast("int")
+    each = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    q = q.join(counts, "concept").withColumn("q_tile", of(["q_id"], "q_tiles")).withColumn("b_tile", each("b_tiles"))
+    b = b.join(counts, "concept").withColumn("b_tile", of(["text_idx", "text"], "b_tiles")).withColumn("q_tile", each("q_tiles"))
+    return q.select("concept", "q_tile", "b_tile", "q_id", "v"), b.select("concept", "q_tile", "b_tile", "text_idx", "text", "code", "u")
+
+
+def top_texts(queries: DataFrame, bank: DataFrame, k: int = 5, tile: int = TILE_BYTES) -> DataFrame:
     """(query_id, concept, rank, sim, text): the k most similar different texts of the query's concept.
 
     queries (query_id, concept, v), bank (concept, text_idx, text, raw): both are
-    normalised; of equal texts the most similar counts.  A concept's bank is dealt into
-    blocks by text, each block multiplied with the concept's queries in Arrow, and only
-    k rows a block and query are merged; no side is broadcast.
+    normalised; of equal texts the most similar counts, the smallest text_idx on ties; rows
+    without a concept or a text take no part.  Tiles of both sides are multiplied in Arrow;
+    a tile returns at most k rows a query, and these are merged by the texts' codes.
     """
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = bank.select("concept", F.col("text_idx").cast("long").alias("text_idx"), F.trim("text").alias("text"), N.unit("raw").alias("u"))
-    b = b.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))
-    q = queries.select(F.col("query_id").cast("long").alias("q_id"), F.col("concept").alias("q_concept"), N.unit("v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q_part"))
+    q, b = tiled(queries, bank, tile)
     kind = bank.schema["concept"].dataType.simpleString()
-    best = q.groupBy("q_concept", "q_part").cogroup(b.groupBy("concept", "part")).applyInArrow(lambda x, y: _nearest(x, y, k), f"query_id long, concept {kind}, text string, text_idx long, sim double")
-    rank = F.row_number().over(W.partitionBy("query_id", "concept").orderBy(F.desc("sim"), "text_idx"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "concept", "rank", "sim", "text")
+    cells = ["concept", "q_tile", "b_tile"]
+    best = q.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInArrow(lambda x, y: _nearest(x, y, k), f"query_id long, concept {kind}, text string, code binary, text_idx long, sim double")
+    one = best.groupBy("query_id", "concept", "code").agg(F.min(F.struct((-F.col("sim")).alias("far"), "text_idx", "text")).alias("m"))
+    rank = F.row_number().over(W.partitionBy("query_id", "concept").orderBy("m.far", "m.text_idx"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "concept", "rank", (-F.col("m.far")).alias("sim"), "m.text")
 
 
 def pooled(rows: DataFrame, key: list[str], vector: str, how: str = "mean", normalise: bool = True) -> DataFrame:
@@ -110,6 +148,56 @@ def hash_vectors(texts: DataFrame, text: str = "text", width: int = 64) -> DataF
     return texts.mapInArrow(run, schema)
 
 
+#: A token, where a text is cut without a tokenizer of its own.
+TOKEN = r"[^\x20\x09-\x0D]+"
+
+
+def windows(texts: DataFrame, *, text: str = "text", size: int = 512, overlap: int = 64, tokens: Column | None = None) -> DataFrame:
+    """texts with window, start, n_tokens, n_windows, window_text: runs of `size` tokens, each sharing `overlap` with the one before.
+
+    A text of at most `size` tokens is one window; the last window ends with the text, so
+    no token is lost; texts without tokens (null too) have no window.  tokens: an array of
+    strings, by default the text's words; windows are joined by blanks.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size")
+    step = size - overlap
+    rows = texts.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)) if tokens is None else tokens)
+    n = F.coalesce(F.size("_t"), F.lit(0))
+    count = F.when(n <= 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(float(step)))).cast("int")
+    rows = rows.withColumn("n_windows", count).where("n_windows > 0").withColumn("window", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    rows = rows.withColumn("start", F.col("window") * step).withColumn("_t", F.slice("_t", F.col("window") * step + 1, size))
+    return rows.withColumn("n_tokens", F.size("_t")).withColumn("window_text", F.array_join("_t", " ")).drop("_t")
+
+
+def long_texts(texts: DataFrame, key: list[str], **options) -> DataFrame:
+    """(key.., n_windows) of texts that are cut: what a log of long texts says."""
+    return windows(texts, **options).where("window = 0 and n_windows > 1").select(*key, "n_windows")
+
+
+def window_means(texts: DataFrame, key: list[str], encode: Callable[[DataFrame], DataFrame], width: int, *, weighted: bool = False, normalise: bool = True, **options) -> DataFrame:
+    """(key.., n_windows, n_tokens, vector): windows of each text encoded apart, each of length 1, and their mean, of length 1 again.
+
+    encode: rows with `window_text` -> the same rows with `vector`.  weighted: a
+    window counts by its tokens, else all alike.  Texts without tokens have zeros.  The
+    windows are encoded as rows of their own, so a long text is dealt over as many
+    tasks as its windows are; one row of a text holds its windows' vectors.
+    """
+    rows = encode(windows(texts, **options).select(*key, "window", "n_windows", "n_tokens", "window_text"))
+    vector = N.unit("vector", 1e-8, True) if normalise else F.transform("vector", lambda x: x.cast("double"))
+    cells = rows.groupBy(*key, "n_windows").agg(F.array_sort(F.collect_list(F.struct("window", "n_tokens", vector.alias("v")))).alias("c"))
+    weight = lambda x: x["n_tokens"].cast("double") if weighted else F.lit(1.0)
+    zeros = F.array_repeat(F.lit(0.0), width)
+    total = F.aggregate("c", zeros, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b * weight(x)))
+    mass = F.aggregate("c", F.lit(0.0), lambda s, x: s + weight(x))
+    tokens = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["n_tokens"])
+    means = cells.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("n_windows").alias("_w"), tokens.alias("_n"), F.transform(total, lambda x: x / mass).alias("_v"))
+    if normalise:
+        means = means.withColumn("_v", N.unit("_v"))
+    out = texts.select(*key).join(means, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
+    return out.select(*key, F.coalesce("_w", F.lit(0)).alias("n_windows"), F.coalesce("_n", F.lit(0)).alias("n_tokens"), F.coalesce("_v", zeros).alias("vector"))
+
+
 def best_match(matches: DataFrame, rank: int = 1) -> DataFrame:
     """The match of each concept: the asked rank if there is one, else by rank (none last), similarity, file order."""
     order = [(F.col("rank") != rank) | F.col("rank").isNull(), F.col("rank").asc_nulls_last(), F.coalesce("sim", F.lit(-1.0)).desc(), "ord"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,3 +105,42 @@ def weighted_draw(rows: DataFrame, key: str, weight: str, n: int, seed: int = 42
     spans = spans.withColumn("_lot", F.explode(F.sequence(lot("_lo"), lot("_hi"))))
     draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", N.hash52(F.lit(str(seed)), F.col("draw").cast("string")) / F.lit(float(1 << 52)) * F.lit(total)).withColumn("_lot", lot("_u"))
     return draws.join(spans, "_lot").where("_u >= _lo and _u < _hi").select("draw", key)
+
+
+#: Rounds of the permutation, and steps by which a number that left the range is brought back.
+ROUNDS, STEPS = 6, 64
+
+
+def permuted(x, n: int, key: str) -> Column:
+    """x of 0 .. n - 1 in another order of all n numbers: a keyed bijection, from x alone.
+
+    A Feistel network on pairs (l, r) of Z_a x Z_b, a and b near the root of n: in turn a
+    hash of one is added to the other.  a * b exceeds n by less than 2 a; a number beyond
+    n is sent through again.
+    """
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = max(1, -(-n // a))
+
+    def once(y):
+        start = F.struct(F.floor(y / F.lit(b)).cast("long").alias("l"), (y % b).alias("r"))
+        hashed = lambda i, v: N.hash32(F.lit(key), i.cast("string"), v.cast("string"))
+        turn = lambda s, i: F.when(i % 2 == 0, F.struct(((s["l"] + hashed(i, s["r"])) % a).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), ((s["r"] + hashed(i, s["l"])) % b).alias("r")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["l"] * b + s["r"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), once(F.col(x) if isinstance(x, str) else x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+
+
+def epoch(rows: DataFrame, order: list, batch: int, *, number: int = 0, seed: int = 42, drop_last: bool = False) -> DataFrame:
+    """rows with place, batch and slot: each epoch another order of all rows, in batches of exactly `batch` rows.
+
+    Rows are numbered once by `order`; an epoch's order is a function of the number, so it
+    needs no sort, and any task can tell which rows a batch has.  The last batch
+    is shorter, or left out with drop_last.  Ties of `order` make the numbering arbitrary: give a
+    whole key.
+    """
+    if batch < 1:
+        raise ValueError("batch must be positive")
+    numbered = positions(rows, order, "_row")
+    n = numbered.count()
+    out = numbered.withColumn("place", permuted("_row", n, f"{seed}|{number}")).withColumn("batch", F.floor(F.col("place") / batch)).withColumn("slot", F.col("place") % batch).drop("_row")
+    return out.where(F.col("place") < n - n % batch) if drop_last else out
