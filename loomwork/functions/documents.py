@@ -9,52 +9,78 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 
-DEPTH = 8
+class Number(float):
+    """A number that keeps how it was written."""
 
+    __slots__ = ("written",)
 
-def nodes(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
+    def __new__(cls, written: str):
+        out = super().__new__(cls, written)
+        out.written = written
+        return out
+
+
+class Nodes:
+    """Table function: a JSON document -> (path, ord, value) of every node below the root, in document order."""
+
+    def eval(self, doc: str):
+        if doc is None:
+            return
+        try:
+            root = json.loads(doc, parse_float=Number)
+        except ValueError:
+            return
+        open_: list = [("", [], root)]
+        while open_:
+            path, order, node = open_.pop()
+            if order:
+                yield path, order, _written(node)
+            if isinstance(node, dict):
+                below = node.items()
+            elif isinstance(node, list):
+                below = ((f"[{i}]", x) for i, x in enumerate(node))
+            else:
+                continue
+            cells = [(f"{path}.{key}" if path else key, [*order, i], x) for i, (key, x) in enumerate(below)]
+            open_ += reversed(cells)
+
+
+def _written(node) -> str | None:
+    if node is None or isinstance(node, str):
+        return node
+    return node.written if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)
+
+
+def nodes(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Every node below the root: the columns of docs but `doc`, path, ord (document order), value (JSON text or plain).
 
-    Objects give `a.b`, list items `a.[i]`.  The documents are read once: each of `depth`
-    levels is an array made from the level above, and all are exploded together; a
-    document that goes on below them fails the query, so no leaf is lost unseen; null or
-    malformed documents have no nodes.
+    Objects give `a.b`, list items `a.[i]`, to any depth: a table function walks each
+    document with a stack, beside its row (a lateral join), so a node is a row at once and no
+    level is a pass or a column.  Null or malformed documents have no nodes; of a
+    key that an object has twice the last counts; numbers are kept as written.
     """
     keep = [c for c in docs.columns if c != doc]
+    walk = F.udtf(Nodes, returnType="path string, ord array<int>, value string")
+    rows = docs.select(*(F.col(_quoted(c)).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(_quoted(doc)).cast("string").alias("_doc"))
+    found = rows.lateralJoin(walk(F.col("_doc").outer()))
+    return found.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "path", "ord", "value")
 
-    def entries(value):
-        is_map, is_list = F.startswith(F.ltrim(value), F.lit("{")), F.startswith(F.ltrim(value), F.lit("["))
-        pairs = F.map_entries(F.from_json(F.when(is_map, value), "map<string,string>"))
-        items = F.transform(F.from_json(F.when(is_list, value), "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-        return F.coalesce(pairs, items)
-
-    def node(path, ord, value):
-        return F.struct(path.alias("path"), ord.alias("ord"), value.alias("value"))
 
-    def children(n):
-        each = F.transform(entries(n["value"]), lambda x, i: node(F.concat_ws(".", F.nullif(n["path"], F.lit("")), x["key"]), F.concat(n["ord"], F.array(i)), x["value"]))
-        return F.coalesce(each, F.array())
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    levels = [f"_level{i}" for i in range(depth + 1)]
-    found = docs.select(*keep, F.array(node(F.lit(""), F.array().cast("array<int>"), F.col(doc).cast("string"))).alias(levels[0]))
-    for above, level in zip(levels, levels[1:], strict=False):
-        found = found.withColumn(level, F.flatten(F.transform(above, children)))
-    found = found.select(*keep, F.explode(F.concat(*levels[1:])).alias("_node")).select(*keep, "_node.path", "_node.ord", "_node.value")
-    deeper = (F.size("ord") == depth) & (F.size(entries(F.col("value"))) > 0)
-    return found.withColumn("value", F.when(deeper, F.raise_error(F.concat(F.lit(f"a document goes on below {depth} levels at "), "path"))).otherwise(F.col("value")))
 
-
-def labelled_leaves(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
+def labelled_leaves(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Nodes that are objects with a `text`: path, ord, text (cleaned), label (text form, null without)."""
-    rows = nodes(docs, doc, depth)
+    rows = nodes(docs, doc)
     has = F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), "text")
     rows = rows.where(F.startswith(F.ltrim("value"), F.lit("{")) & has)
     return rows.withColumn("text", T.clean(F.get_json_object("value", "$.text"))).withColumn("label", F.get_json_object("value", "$.label")).drop("value")
 
 
-def text_leaves(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFrame:
+def text_leaves(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(path, ord, text) with non-empty text: objects' own text, and scalars anywhere but at keys text and label; a bare root is `_root`."""
-    rows = nodes(docs, doc, depth)
+    rows = nodes(docs, doc)
     keep = [c for c in docs.columns if c != doc]
     is_map, is_list = F.startswith(F.ltrim("value"), F.lit("{")), F.startswith(F.ltrim("value"), F.lit("["))
     inner = rows.where(~F.regexp_like("path", F.lit(r"(^|\.)(text|label)(\.|$)")))
@@ -64,11 +90,16 @@ def text_leaves(docs: DataFrame, doc: str = "doc", depth: int = DEPTH) -> DataFr
     return leaves.unionByName(bare.where("text <> ''"))
 
 
+def json_path(path: str, base: str = "$") -> str:
+    """The JSON path of a dotted one, its keys quoted: they may hold blanks and brackets."""
+    return base + "".join(f"['{key}']" for key in path.split("."))
+
+
 def at_path(doc, path: str) -> Column:
     """The value below `data` (or the root): a leaf object's label, else the value; null if absent."""
     def look(base: str) -> Column:
-        whole = F.get_json_object(doc, f"{base}.{path}")
-        return F.coalesce(F.get_json_object(doc, f"{base}.{path}.label"), F.when(~F.startswith(F.ltrim(whole), F.lit("{")), whole))
+        whole = F.get_json_object(doc, json_path(path, base))
+        return F.coalesce(F.get_json_object(doc, json_path(path, base) + ".label"), F.when(~F.startswith(F.ltrim(whole), F.lit("{")), whole))
 
     return F.coalesce(look("$.data"), look("$"))
 
@@ -188,9 +219,9 @@ def typed_violations(docs: DataFrame, doc: str, schema: dict) -> DataFrame:
     return rows.select(*keep, F.explode(whole).alias("p")).select(*keep, "p.path", "p.problem")
 
 
-def label_map(docs: DataFrame, doc: str, groups: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+def label_map(docs: DataFrame, doc: str, groups: tuple[str, ...]) -> DataFrame:
     """(.., path, label) below the groups: leaves with a label, and bare numeric leaves; `data.` is cut from paths."""
-    rows = nodes(docs, doc, depth)
+    rows = nodes(docs, doc)
     rows = rows.withColumn("path", F.regexp_replace("path", r"^data\.", ""))
     is_map, is_list = F.startswith(F.ltrim("value"), F.lit("{")), F.startswith(F.ltrim("value"), F.lit("["))
     own = F.when(is_map, F.get_json_object("value", "$.label"))
@@ -231,7 +262,7 @@ def echo_violations(answers: DataFrame, expected: DataFrame, *, key: str = "case
     whole = top.select(key, F.lit("").alias("path"), F.explode("problems").alias("problem"))
     good = docs.join(top.where(F.size("problems") == 0).select(key), key).select(key, F.to_json(F.try_variant_get("v", "$.concepts", "variant")).alias("concepts"))
     paths = [r["path"] for r in expected.select("path").distinct().orderBy("path").collect()]
-    leaf = F.coalesce(*(F.when(F.col("path") == p, F.get_json_object("concepts", f"$.{p}")) for p in paths), F.lit(None).cast("string"))
+    leaf = F.coalesce(*(F.when(F.col("path") == p, F.get_json_object("concepts", json_path(p))) for p in paths), F.lit(None).cast("string"))
     rows = expected.join(good, key).withColumn("leaf", leaf)
     at = lambda f: F.get_json_object("leaf", f"$.{f}")
     absent = [F.when(~F.array_contains(F.coalesce(F.json_object_keys("leaf"), F.array().cast("array<string>")), f), F.lit(f"missing {f}")) for f in fields]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import io
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomwork.functions import text as T
+from loomwork.sources import paired, pictures
 
 
 def text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -120,9 +123,11 @@ def cases(spark: SparkSession, root: str, first: str, second: str, most: int | N
 
 
 class ShardSource(DataSource):
-    """`npy_shards`: rows (shard, row, vector) of `<kind>_NNNNN.npy` files in a directory, one partition per file.
+    """`npy_shards`: rows (shard, row, vector) of `<kind>_NNNNN.npy` files in a directory.
 
-    The path must be one that executors can open; shards are read memory mapped.
+    A partition is a range of `rows` rows of a file; filters on `shard` leave the other
+    files unopened.  Files are reached through pyarrow's file systems, and only a
+    partition's own rows are read.
     """
 
     @classmethod
@@ -136,56 +141,53 @@ class ShardSource(DataSource):
         return ShardReader(self.options)
 
 
+@dataclass
+class ShardRows(InputPartition):
+    shard: int
+    file: str
+    first: int
+    last: int
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.kind = options["path"], options.get("kind", "embeddings")
+        self.path, self.kind, self.rows = options["path"], options.get("kind", "embeddings"), int(options.get("rows", paired.ROWS))
+        self.filters: list = []
 
-    def partitions(self):
-        import glob
-        import os
-        import re
+    def pushFilters(self, filters):
+        for f in filters:
+            if paired.keeps(f, 0) is None:
+                yield f
+            else:
+                self.filters.append(f)
 
-        found = sorted(glob.glob(os.path.join(glob.escape(self.path), f"{self.kind}_*.npy")))
-        return [InputPartition(f) for f in found if re.search(r"_(\d+)\.npy$", f)] or [InputPartition(None)]
+    def partitions(self):
+        system, root = paired._system(self.path)
+        out = []
+        for f in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name):
+            found = re.fullmatch(rf"{re.escape(self.kind)}_(\d+)\.npy", f.base_name)
+            if found and all(paired.keeps(x, int(found[1])) for x in self.filters):
+                n = paired.array_shape(system, f.path)[0]
+                out += [ShardRows(int(found[1]), f.path, a, min(a + self.rows, n)) for a in range(0, n, self.rows)]
+        return out or [None]
 
     def read(self, partition):
-        import re
-
-        if partition.value is None:
+        if partition is None:
             return
-        data = np.load(partition.value, mmap_mode="r")
-        shard = int(re.search(r"_(\d+)\.npy$", partition.value)[1])
-        for a in range(0, len(data), 4096):
-            block = np.asarray(data[a : a + 4096], np.float32)
+        system, _ = paired._system(self.path)
+        for a in range(partition.first, partition.last, 4096):
+            block = paired.array_rows(system, partition.file, a, min(a + 4096, partition.last)).astype(np.float32)
             n = len(block)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * block.shape[1]), pa.array(block.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(a, a + n)), vectors], ["shard", "row", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition.shard, np.int32)), pa.array(np.arange(a, a + n)), vectors], ["shard", "row", "vector"])
 
 
-def shards(spark: SparkSession, path: str, kind: str = "embeddings") -> DataFrame:
+def shards(spark: SparkSession, path: str, kind: str = "embeddings", rows: int = paired.ROWS) -> DataFrame:
     spark.dataSource.register(ShardSource)
-    return spark.read.format("npy_shards").option("path", path).option("kind", kind).load()
+    spark.conf.set(paired._PUSHED, "true")
+    return spark.read.format("npy_shards").option("path", path).option("kind", kind).option("rows", rows).load()
 
 
 def decode_arrays(rows: DataFrame, content: str = "content") -> DataFrame:
-    """binaryFile rows with `pixels`, height and width: .npy content scaled to [0, 1] by its integer type."""
-    schema = StructType([*rows.schema.fields]).add("pixels", ArrayType(FloatType())).add("height", "integer").add("width", "integer")
-
-    def run(batches):
-        for b in batches:
-            pixels, hs, ws = [], [], []
-            for cell in b.column(content).to_pylist():
-                a = np.load(io.BytesIO(cell), allow_pickle=False)
-                x = a.astype(np.float32)
-                if a.dtype == np.uint16:
-                    x /= 65535
-                elif a.dtype == np.uint8:
-                    x /= 255
-                elif a.dtype.kind in "iu":
-                    x = (x - x.min()) / max(float(x.max() - x.min()), 1e-6)
-                pixels.append(np.clip(x, 0, 1).ravel())
-                hs.append(x.shape[0])
-                ws.append(x.shape[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pixels, pa.list_(pa.float32())), pa.array(hs, pa.int32()), pa.array(ws, pa.int32())], [*b.schema.names, "pixels", "height", "width"])
-
-    return rows.mapInArrow(run, schema)
+    """binaryFile rows with `pixels`, height and width: see `pictures.decoded`."""
+    return pictures.decoded(rows, content).drop("error")

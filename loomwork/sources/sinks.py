@@ -28,6 +28,22 @@ def json_documents(rows: DataFrame, path: str, column: str = "doc") -> None:
     rows.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def named_files(rows: DataFrame, path: str, name: str = "file", column: str = "doc") -> None:
+    """A file for each row, by its own name, written by the executors; a task that runs again writes the same files again."""
+    from loomwork.sources.paired import _system
+
+    def run(batches):
+        system, root = _system(path)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for file, doc in zip(b.column(name).to_pylist(), b.column(column).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{file}") as out:
+                    out.write((doc or "").encode())
+        yield from ()
+
+    rows.select(name, column).mapInArrow(run, "done int").write.format("noop").mode("overwrite").save()
+
+
 def log(rows: DataFrame, path: str) -> None:
     """Appends (report_id, reason, detail)."""
     rows.select("report_id", "reason", "detail").write.mode("append").json(path)

@@ -31,3 +31,8 @@ def idempotent_append(path: str, key: str) -> Callable[[DataFrame, int], None]:
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) by tumbling window: an extension for event tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def each_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps all rows, and that a repeated batch doesn't double: a folder for each batch number, overwritten."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
