@@ -50,10 +50,13 @@ def text_sha1_dedup(spark, d) -> DataFrame:
     return S.first_per_key(rows, ["source", "lang", "digest"], ["doc_id"])
 
 
-@query("SELECT idx::BIGINT AS idx, regexp_replace(CASE WHEN idx % 2 = 0 THEN 'structured.' || name ELSE name END, '^structured\\.', '') AS field, replace(replace(name, '.', '_'), ' ', '_') AS safe FROM concepts".replace("\\\\", "\\"), "concepts")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'structured.' ELSE '' END || lower(p_type) || '.' || p_name AS field, replace(replace(lower(p_type) || '.' || p_name, '.', '_'), ' ', '_') AS safe FROM part")
 def norm_field(spark, d) -> DataFrame:
-    raw = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("structured."), "name")).otherwise(F.col("name"))
-    return X.concepts(spark).select(F.col("idx").cast("long").alias("idx"), T.field(raw).alias("field"), T.safe_name("name").alias("safe"))
+    """Names with a prefix, with two of them, or without."""
+    name = F.concat(F.lower("p_type"), F.lit("."), "p_name")
+    n = F.col("p_partkey") % 4
+    raw = F.when(n == 0, F.concat(F.lit("structured."), name)).when(n == 1, F.concat(F.lit("structured.structured."), name)).otherwise(name)
+    return X.read(spark, d, "part").select("p_partkey", T.field(raw).alias("field"), T.safe_name(name).alias("safe"))
 
 
 @query("SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS items FROM (SELECT doc_id, list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(raw, ','), lambda y: trim(y)), x) = i) AS list_distinct_ordered FROM (SELECT doc_id, lang || ', ' || source || ',,' || lang || ' ,x' AS raw FROM documents))")
@@ -68,10 +71,11 @@ def deterministic_pick(spark, d) -> DataFrame:
     return rows.select("doc_id", "name", N.pick(F.col("pool"), 42, F.col("doc_id").cast("string"), F.col("name")).alias("sentence"))
 
 
-@query("SELECT sha1(string_agg(name, '|' ORDER BY idx)) AS digest, count(*) AS k FROM concepts", "concepts")
+@query("SELECT s_nationkey, sha1(string_agg(s_name, '|' ORDER BY s_suppkey)) AS digest, count(*) AS k FROM supplier GROUP BY s_nationkey")
 def concept_fingerprint(spark, d) -> DataFrame:
-    rows = X.concepts(spark).agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("c"), F.count("*").alias("k"))
-    return rows.select(N.fingerprint(F.transform("c", lambda x: x["name"])).alias("digest"), "k")
+    """The suppliers of a nation as an ordered list of names."""
+    rows = X.read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("c"), F.count("*").alias("k"))
+    return rows.select("s_nationkey", N.fingerprint(F.transform("c", lambda x: x["s_name"])).alias("digest"), "k")
 
 
 @query("SELECT doc_id, name, CASE WHEN label IN ('0', '1', '2', '3') THEN CAST(label AS BIGINT) END AS number, label = 'not present' AS absent, label IN ('0', '1') AS binary_label FROM leaves", "leaves")
@@ -79,9 +83,11 @@ def label_parse(spark, d) -> DataFrame:
     return X.leaves(spark, d).select("doc_id", "name", N.numeric_label("label").cast("long").alias("number"), T.is_absent("label").alias("absent"), N.is_binary("label").alias("binary_label"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.0005 * (1 + cos(pi() * (step - 100) / 900)) END, 12) AS rate FROM (SELECT unnest(range(0, 1001, 10)) AS step)")
+@query("SELECT event_id, step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.0005 * (1 + cos(pi() * least(1, (step - 100) / 900.0::DOUBLE))) END, 12) AS rate FROM (SELECT event_id, event_id % 1001 AS step FROM events)")
 def learning_rates(spark, d) -> DataFrame:
-    return spark.range(0, 1001, 10).select(F.col("id").alias("step"), _r(N.learning_rate("id", 0.001, 100, 1000), "rate", 12))
+    """The rate of each event as a step of a run."""
+    rows = X.read(spark, d, "events").select("event_id", (F.col("event_id") % 1001).alias("step"))
+    return rows.select("event_id", "step", _r(N.learning_rate("step", 0.001, 100, 1000), "rate", 12))
 
 
 @query("SELECT page_id, replace(split_part(url, '/', 3), '.', '_') AS host, CASE WHEN contains(lower(url), '/en/') THEN 'en' WHEN contains(lower(url), '/fr/') THEN 'fr' END AS lang, 'see ' || url || ' now' AS said FROM pages")
@@ -126,6 +132,17 @@ def schema_violations(spark, d) -> DataFrame:
 # ------------------------------------------------------------ labels and imputation
 
 
+_KINDS = ['{"label":2.0}', '{"label":"2.0"}', "true", '"true"', '"Present "', '{"label":"not present","text":"x"}', '"3"', "1", "0", "{}", "[1]", "null", "broken", '{"label":false}']
+
+
+@query("SELECT event_id, (k IN (0, 4, 6))::BIGINT AS label, k IN (0, 2, 4, 5, 6, 7) AS valid FROM (SELECT event_id, event_id % 14 AS k FROM events)")
+def label_kinds(spark, d) -> DataFrame:
+    """Labels by their JSON type: strings of numbers other than digits, lists, empty objects and broken text are masked."""
+    doc = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % len(_KINDS)).cast("int"))
+    y, valid = L.json_label(doc)
+    return X.read(spark, d, "events").select("event_id", y.cast("long").alias("label"), valid.alias("valid"))
+
+
 @query("SELECT doc_id, name, y::BIGINT AS label, valid FROM labelled", "labelled")
 def label_map(spark, d) -> DataFrame:
     return _labelled(spark, d).select("doc_id", "name", F.col("y").cast("long").alias("label"), "valid")
@@ -150,9 +167,8 @@ def _quota(spark, d) -> DataFrame:
   (SELECT e.doc_id, e.name, c.idx, row_number() OVER (PARTITION BY e.name ORDER BY sha1('42|' || CAST(e.doc_id AS VARCHAR) || '|' || e.name), e.doc_id) AS turn FROM eligible e JOIN concepts c USING (name)) GROUP BY name""", "eligible")
 def label_extraction_balanced(spark, d) -> DataFrame:
     rows = L.eligible_labels(X.pathology(X.leaves(spark, d))).select("doc_id", "name")
-    chosen = L.within_quota(rows, _quota(spark, d)).withColumn("chosen", F.lit(True))
-    both = rows.join(chosen, ["doc_id", "name"], "left")
-    return both.groupBy("name").agg(F.count("*").alias("n_eligible"), F.count("chosen").alias("n_imputed"), F.min(F.when(F.col("chosen"), F.col("doc_id"))).alias("first_doc"))
+    both = L.quota_flags(rows, _quota(spark, d))
+    return both.groupBy("name").agg(F.count("*").alias("n_eligible"), F.count_if("chosen").alias("n_imputed"), F.min(F.when(F.col("chosen"), F.col("doc_id"))).alias("first_doc"))
 
 
 @query("""SELECT l.doc_id, string_agg(CASE WHEN e.doc_id IS NULL AND valid THEN CAST(y AS VARCHAR) ELSE '0' END, '' ORDER BY idx) AS labels, string_agg(CASE WHEN valid OR e.doc_id IS NOT NULL THEN '1' ELSE '0' END, '' ORDER BY idx) AS masks,
@@ -560,6 +576,22 @@ def threshold_sweep(spark, d) -> DataFrame:
     return G.sweep(_pixels(spark, d), ["l_suppkey"]).select("thr_dice", _r(F.col("dice"), "dice"), "thr_iou", _r(F.col("iou"), "iou"))
 
 
+@query(ORACLE["overlap_dice_iou"])
+def masks_overlap(spark, d) -> DataFrame:
+    """The same on masks as compressed run lengths, a row a picture."""
+    rows = G.pictures(_pixels(spark, d), ["l_suppkey"])
+    rows = rows.select("l_suppkey", "gt", G.edges_of(F.transform("a", lambda x: x >= 0.5)).alias("pred"))
+    coded = G.with_counts(G.with_counts(rows, "pred", "pred_counts"), "gt", "gt_counts").select("l_suppkey", "pred_counts", "gt_counts")
+    out = G.mask_overlap(G.with_edges(G.with_edges(coded, "pred_counts", "pred"), "gt_counts", "gt"), ["l_suppkey"])
+    return out.select("l_suppkey", "inter", _r(F.col("dice"), "dice"), _r(F.col("iou"), "iou"))
+
+
+@query(ORACLE["threshold_sweep"])
+def masks_sweep(spark, d) -> DataFrame:
+    out = G.picture_sweep(G.pictures(_pixels(spark, d), ["l_suppkey"]), [])
+    return out.select("thr_dice", _r(F.col("dice"), "dice"), "thr_iou", _r(F.col("iou"), "iou"))
+
+
 _CASE = _PIX + """, r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY a DESC, pos) AS t, sum(CASE WHEN gt THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey) AS g, quantile_cont(a, 0.9) OVER (PARTITION BY l_suppkey) AS q FROM px),
   m AS (SELECT *, t <= greatest(1, g) AS top FROM r), k AS (SELECT l_suppkey, a, count(CASE WHEN gt THEN 1 END) AS hits, count(CASE WHEN NOT gt THEN 1 END) AS misses FROM px GROUP BY ALL),
   s AS (SELECT *, sum(hits) OVER w AS tp, sum(misses) OVER w AS fp, sum(hits) OVER (PARTITION BY l_suppkey) AS pos, sum(misses) OVER (PARTITION BY l_suppkey) AS neg FROM k WINDOW w AS (PARTITION BY l_suppkey ORDER BY a DESC)),
@@ -582,6 +614,16 @@ def case_metrics(spark, d) -> DataFrame:
     return _measured(G.case_metrics(_pixels(spark, d), ["l_suppkey"]))
 
 
+@query(ORACLE["case_metrics"])
+def masks_case_metrics(spark, d) -> DataFrame:
+    return _measured(G.picture_metrics(G.pictures(_pixels(spark, d), ["l_suppkey"]), ["l_suppkey"]))
+
+
+@query(_CASE + _measures("a >= q", "q"))
+def masks_case_percentile(spark, d) -> DataFrame:
+    return _measured(G.picture_metrics(G.pictures(_pixels(spark, d), ["l_suppkey"]), ["l_suppkey"], method="percentile", percentile=90.0))
+
+
 @query(_CASE + _measures("a >= q", "q"))
 def case_metrics_percentile(spark, d) -> DataFrame:
     return _measured(G.case_metrics(_pixels(spark, d), ["l_suppkey"], method="percentile", percentile=90.0))
@@ -602,13 +644,7 @@ def rle_area(spark, d) -> DataFrame:
     rows = X.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("runs"))
     rows = rows.select("l_orderkey", F.transform("runs", lambda r: r["l_quantity"].cast("long")).alias("runs"))
 
-    def encode(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("l_orderkey"), pa.array([G.encode_runs(r) for r in b.column("runs").to_pylist()], pa.string())], ["l_orderkey", "counts"])
-
-    coded = rows.mapInArrow(encode, "l_orderkey long, counts string")
+    coded = G.with_encoded(rows).select("l_orderkey", "counts")
     return G.with_runs(coded).select("l_orderkey", G.area(F.col("runs")).alias("area"))
 
 

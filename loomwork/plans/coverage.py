@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import documents as D
@@ -22,20 +21,13 @@ from loomwork.operators import stats as S
 from loomwork.operators import stores as O
 from loomwork.plans import fixtures as X
 from loomwork.plans.catalog import _labelled, _r, query
-from loomwork.session import shared_dir
+from loomwork.session import place
+from loomwork.sources import pictures as Y
 from loomwork.sources import readers as E
 from loomwork.sources import sinks as K
 from loomwork.streaming import resume as U
 
 
-def _place(spark, name: str) -> str:
-    """A new place in the shared folder, for what a query writes and reads again; gone when the session ends."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
 # ------------------------------------------------------------ strings, numbers, dates
 
 _PATH = "CASE doc_id % 3 WHEN 0 THEN 'root\\patient' || doc_id || '\\study1\\view1_Frontal.jpg' WHEN 1 THEN 'a/Patient' || doc_id || '/study2/view2_lateral.PNG' ELSE 'patient' || doc_id || '/study3/view3_x.jpeg' END"
@@ -101,10 +93,11 @@ def run_stamps(spark, d) -> DataFrame:
     return X.read(spark, d, "events").select("event_id", T.run_stamp("ts").alias("run"))
 
 
-@query("SELECT i::INT AS at, i / 500.0::DOUBLE AS point, CASE WHEN i < 20 THEN round(0.1 + i * 0.04, 6) END AS step FROM range(0, 501) t(i)")
+@query("SELECT sample_id, name, (SELECT count(*) FROM range(0, 501) t(i) WHERE i / 500.0::DOUBLE <= score) AS at_grid, (SELECT count(*) FROM range(0, 20) t(i) WHERE round(0.1 + i * 0.04, 6) <= score) AS at_step FROM scores", "scores")
 def threshold_grids(spark, d) -> DataFrame:
-    rows = spark.range(1).select(N.grid(500).alias("g"), N.steps(0.1, 0.9, 0.04).alias("s"))
-    return rows.select("s", F.posexplode("g").alias("at", "point")).select("at", "point", F.get("s", F.col("at")).alias("step"))
+    """How many points of a grid, and of a grid by steps, each score reaches."""
+    below = lambda points: F.size(F.filter(points, lambda x: x <= F.col("score"))).cast("long")
+    return X.scores(spark, d).select("sample_id", "name", below(N.grid(500)).alias("at_grid"), below(N.steps(0.1, 0.9, 0.04)).alias("at_step"))
 
 
 @query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_dot_product(v, list_reverse(v)) / list_dot_product(v, v), 6) AS likeness FROM e")
@@ -168,15 +161,18 @@ def echo_check(spark, d) -> DataFrame:
     return D.echo_violations(cases.select("case_id", answer.alias("answer")), expected).select("case_id", "path", "problem")
 
 
-@query("SELECT 3::BIGINT AS n_top, 'binary_cls_label|initial_retrieved_text|cls_text_consistency|final_text|consistency_feedback' AS fields, 'consistent|inconsistent|unclear' AS words")
+@query("SELECT lower(r_name) || '.' || n_name AS path, 3::BIGINT AS n_top, 'binary_cls_label|initial_retrieved_text|cls_text_consistency|final_text|consistency_feedback' AS fields, 'consistent|inconsistent|unclear' AS words FROM nation JOIN region ON n_regionkey = r_regionkey")
 def consistency_fields(spark, d) -> DataFrame:
-    """The answer's schema, read back through its own JSON."""
-    schema = json.dumps(D.consistency_schema(["heart", "lung.mass", "lung.nodule"]))
-    at = lambda p: F.get_json_object(F.lit(schema), p)
-    rows = spark.range(1)
-    leaf = "$.properties.concepts.properties.lung.properties.mass"
-    listed = lambda p: F.array_join(F.from_json(at(p), "array<string>"), "|")
-    return rows.select((F.size(F.from_json(at("$.required"), "array<string>")) + (at("$.additionalProperties") == "false").cast("int")).cast("long").alias("n_top"), listed(f"{leaf}.required").alias("fields"), listed(f"{leaf}.properties.cls_text_consistency.enum").alias("words"))
+    """The answer's schema for the nations below their regions, read back at each path through its own JSON."""
+    rows = X.read(spark, d, "nation").join(X.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("above"), F.col("n_name").alias("below"))
+    rows = rows.withColumn("path", F.concat_ws(".", "above", "below"))
+    schema = json.dumps(D.consistency_schema(sorted(r.path for r in rows.collect())))  # a schema is a fixed list of paths
+    whole = F.lit(schema)
+    listed = lambda c: F.array_join(F.from_json(c, "array<string>"), "|")
+    inner = F.element_at(F.from_json(F.get_json_object(whole, "$.properties.concepts.properties"), "map<string,string>"), F.col("above"))
+    leaf = F.element_at(F.from_json(F.get_json_object(inner, "$.properties"), "map<string,string>"), F.col("below"))
+    n_top = (F.size(F.from_json(F.get_json_object(whole, "$.required"), "array<string>")) + (F.get_json_object(whole, "$.additionalProperties") == "false").cast("int")).cast("long")
+    return rows.select("path", n_top.alias("n_top"), listed(F.get_json_object(leaf, "$.required")).alias("fields"), listed(F.get_json_object(leaf, "$.properties.cls_text_consistency.enum")).alias("words"))
 
 
 @query("""SELECT l.doc_id, l.name, l.label AS raw, l.y AS label, valid AS base_valid, e.doc_id IS NOT NULL AND NOT valid AS imputed, valid OR e.doc_id IS NOT NULL AS mask, p.sev AS target_label, p.n_other, round(p.ratio, 6) AS ratio
@@ -321,37 +317,118 @@ def _pictures(spark, d) -> DataFrame:
     return X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
 
 
+def _pixels_of(rows: DataFrame, pixels, *more: str) -> DataFrame:
+    each = rows.select("vec_id", *more, F.posexplode(pixels).alias("pos", "x"))
+    return each.withColumn("x", F.round("x", 6) + 0.0)
+
+
+_PIC = "WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64))::INT AS i FROM embeddings)"
+_STRETCH = _PIC + ", q AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM p GROUP BY vec_id) SELECT vec_id, i AS pos, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) + 0.0 AS x FROM p JOIN q USING (vec_id)"
+
+
 @query("SELECT vec_id, i::INT AS pos, round((x - m) / s, 6) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i, list_avg(embedding::DOUBLE[]) AS m, list_stddev_samp(embedding::DOUBLE[]) AS s FROM embeddings)")
 def picture_normalised(spark, d) -> DataFrame:
-    out = I.mapped(_pictures(spark, d), lambda x: I.normalised(x, "cxr_per_image"))
-    return out.select("vec_id", F.posexplode("pixels").alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+    return _pixels_of(_pictures(spark, d), I.normalised("pixels", "cxr_per_image"))
+
+
+def _channel_sql(table, value: str) -> str:
+    cells = ", ".join(f"({c}, {m}::DOUBLE, {s}::DOUBLE)" for c, (m, s) in enumerate(zip(*table, strict=True)))
+    return _PIC + f", big AS (SELECT vec_id, max(v) > 1.5 AS big FROM p GROUP BY vec_id) SELECT vec_id, (64 * c + i)::INT AS pos, round(({value} - m) / s, 6) + 0.0 AS x FROM p JOIN big USING (vec_id), (VALUES {cells}) t(c, m, s)"
+
+
+@query(_channel_sql(I.IMAGENET, "v"))
+def picture_imagenet(spark, d) -> DataFrame:
+    return _pixels_of(_pictures(spark, d), I.normalised("pixels", "imagenet"))
+
+
+@query(_channel_sql(I.RAD_DINO, "(CASE WHEN big THEN v / 255 ELSE v END)").replace("AS v, unnest", "* (vec_id % 2 * 40 + 1) AS v, unnest"))
+def picture_rad_dino(spark, d) -> DataFrame:
+    """Every second picture goes far beyond 1.5, as one of bytes does."""
+    rows = _pictures(spark, d).withColumn("pixels", F.transform("pixels", lambda v: v * (F.col("vec_id") % 2 * 40 + 1)))
+    return _pixels_of(rows, I.normalised("pixels", "rad_dino_maira_2"))
+
+
+@query(_PIC + " SELECT vec_id, i AS pos, round((v - 0.25) / 0.5, 6) + 0.0 AS x FROM p")
+def picture_global(spark, d) -> DataFrame:
+    return _pixels_of(_pictures(spark, d), I.normalised("pixels", "cxr_global", mean=0.25, std=0.5))
+
+
+@query(_STRETCH)
+def picture_percentile(spark, d) -> DataFrame:
+    return _pixels_of(_pictures(spark, d), I.normalised("pixels", "cxr_percentile"))
 
 
-@query("SELECT vec_id, i::INT AS pos, round(greatest(0, least(1, (x - lo) / (hi - lo))), 6) AS x FROM (SELECT e.vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i, lo, hi FROM embeddings e JOIN (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY vec_id) q USING (vec_id))")
+@query(_PIC + " SELECT vec_id, i AS pos, round(v, 6) + 0.0 AS x FROM p")
+def picture_none(spark, d) -> DataFrame:
+    """Mode none, and a global one without a deviation: pixels stay as they are."""
+    return _pixels_of(_pictures(spark, d), I.normalised(I.normalised("pixels", "none"), "cxr_global", mean=0.1))
+
+
+@query(_STRETCH)
 def picture_stretched(spark, d) -> DataFrame:
-    out = I.mapped(_pictures(spark, d), lambda x: I.contrast(x, "percentile"))
-    return out.select("vec_id", F.posexplode("pixels").alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+    return _pixels_of(_pictures(spark, d), I.stretched("pixels"))
+
+
+@query(_PIC.replace("AS v, unnest", "/ 2 + 0.5 AS v, unnest") + """, h AS (SELECT vec_id, i, greatest(0, least(1, v)) AS v FROM p), l AS (SELECT vec_id, least(floor(v / (1.0::DOUBLE / 32)), 31)::INT AS b FROM h),
+  g AS (SELECT k.vec_id, g.b, count(CASE WHEN l.b <= g.b THEN 1 END) / 64.0::DOUBLE AS c FROM (SELECT DISTINCT vec_id FROM l) k, range(0, 32) g(b) JOIN l ON l.vec_id = k.vec_id GROUP BY ALL)
+  SELECT h.vec_id, h.i AS pos, round(greatest(0, least(1, (a.c + (coalesce(z.c, a.c) - a.c) * (v * 32 - a.b) - o.c) / greatest(1 - o.c, 1e-12))), 6) + 0.0 AS x
+  FROM h JOIN g a ON a.vec_id = h.vec_id AND a.b = least(floor(v * 32), 31) LEFT JOIN g z ON z.vec_id = h.vec_id AND z.b = a.b + 1 JOIN g o ON o.vec_id = h.vec_id AND o.b = 0""")
+def picture_equalised(spark, d) -> DataFrame:
+    """Equalised on 32 levels."""
+    rows = _pictures(spark, d).withColumn("pixels", F.transform("pixels", lambda v: v / 2 + 0.5))
+    return _pixels_of(I.equalised(rows, ["vec_id"], levels=32), F.col("pixels"))
 
 
 @query("SELECT vec_id, 16 AS height, 24 AS width, i::INT AS pos, round(embedding[((i // 24) // 2) * 8 + (i % 24) // 3 + 1]::DOUBLE, 6) AS x FROM embeddings, range(0, 384) t(i)")
 def picture_enlarged(spark, d) -> DataFrame:
-    out = I.mapped(_pictures(spark, d), lambda x: I.resized(x, 16, 24, "nearest"))
-    return out.select("vec_id", "height", "width", F.posexplode("pixels").alias("pos", "x")).select("vec_id", "height", "width", "pos", _r(F.col("x"), "x"))
+    rows = _pictures(spark, d).withColumn("pixels", I.resized("pixels", "height", "width", 16, 24, "nearest")).withColumn("height", F.lit(16)).withColumn("width", F.lit(24))
+    return _pixels_of(rows, F.col("pixels"), "height", "width").select("vec_id", "height", "width", "pos", "x")
 
 
-@query("SELECT vec_id, 0 AS pos, 0.0::DOUBLE AS x FROM embeddings WHERE false")
-def picture_none(spark, d) -> DataFrame:
-    """A table without pictures stays empty."""
-    out = I.mapped(_pictures(spark, d).where("vec_id < 0"), lambda x: I.squared(x, 4))
-    return out.select("vec_id", F.posexplode("pixels").alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+def _box_sql(h: int, w: int, size: int, pad: str) -> str:
+    """A picture's first h x w pixels, letterboxed: weights of a triangle on both axes."""
+    return f"""WITH p AS (SELECT vec_id, unnest(embedding[1:{h * w}])::DOUBLE AS v, unnest(range(0, {h * w})) AS i FROM embeddings),
+  s AS (SELECT {size}.0::DOUBLE / greatest({h}, {w}) AS scale), b AS (SELECT greatest(1, round_even({h} * scale, 0))::INT AS nh, greatest(1, round_even({w} * scale, 0))::INT AS nw FROM s),
+  wy AS (SELECT o, k, greatest(0, 1 - abs(k + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {h} / nh) / greatest({h} / nh::DOUBLE, 1)) AS w FROM b, range(0, {size}) t(o), range(0, {h}) u(k) WHERE o < nh),
+  wx AS (SELECT o, k, greatest(0, 1 - abs(k + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {w} / nw) / greatest({w} / nw::DOUBLE, 1)) AS w FROM b, range(0, {size}) t(o), range(0, {w}) u(k) WHERE o < nw),
+  r AS (SELECT vec_id, wy.o AS y, wx.o AS x, sum(v * wy.w * wx.w) / sum(wy.w * wx.w) AS v FROM p JOIN wy ON wy.k = i // {w} JOIN wx ON wx.k = i % {w} GROUP BY ALL),
+  c AS (SELECT vec_id, y, x FROM (SELECT DISTINCT vec_id FROM p), range(0, {size}) t(y), range(0, {size}) u(x))
+  SELECT c.vec_id, (c.y * {size} + c.x)::INT AS pos, round(coalesce(v, {pad}), 6) + 0.0 AS x FROM c, b LEFT JOIN r ON r.vec_id = c.vec_id AND r.y = c.y - ({size} - nh) // 2 AND r.x = c.x - ({size} - nw) // 2"""
+
+
+@query(_box_sql(7, 9, 6, "-1"))
+def picture_letterboxed(spark, d) -> DataFrame:
+    """7 x 9 pixels made smaller, averaged, and padded above and below."""
+    rows = _pictures(spark, d).select("vec_id", F.slice("pixels", 1, 63).alias("pixels"), F.lit(7).alias("height"), F.lit(9).alias("width"))
+    return _pixels_of(rows, I.squared("pixels", "height", "width", 6, pad=-1.0))
+
+
+@query(_box_sql(8, 8, 5, "0"))
+def picture_scaled(spark, d) -> DataFrame:
+    return _pixels_of(_pictures(spark, d), I.squared("pixels", "height", "width", 5, keep=False))
+
+
+@query("SELECT p_partkey, count(CASE WHEN y BETWEEN y0 AND y0 + nh - 1 AND x BETWEEN x0 AND x0 + nw - 1 THEN 1 END) AS n_inside, min(CASE WHEN y BETWEEN y0 AND y0 + nh - 1 AND x BETWEEN x0 AND x0 + nw - 1 THEN y * 12 + x END)::BIGINT AS first FROM (SELECT *, (12 - nh) // 2 AS y0, (12 - nw) // 2 AS x0 FROM (SELECT p_partkey, greatest(1, round_even(h * (12.0::DOUBLE / greatest(h, w)), 0))::INT AS nh, greatest(1, round_even(w * (12.0::DOUBLE / greatest(h, w)), 0))::INT AS nw FROM (SELECT p_partkey, p_size * 37 + 5 AS h, (p_partkey % 900 + 60)::INT AS w FROM part))), range(0, 12) t(y), range(0, 12) u(x) GROUP BY p_partkey")
+def evaluated_region(spark, d) -> DataFrame:
+    rows = X.read(spark, d, "part").select("p_partkey", I.evaluated(F.col("p_size") * 37 + 5, F.col("p_partkey") % 900 + 60, 12).alias("inside"))
+    return rows.select("p_partkey", F.size(F.filter("inside", lambda v: v)).cast("long").alias("n_inside"), (F.array_position("inside", True) - 1).alias("first"))
 
 
 @query("""SELECT vec_id, i::INT AS pos, round(e[y0 * 8 + x0 + 1] * (1 - fy) * (1 - fx) + e[y0 * 8 + x1 + 1] * (1 - fy) * fx + e[y1 * 8 + x0 + 1] * fy * (1 - fx) + e[y1 * 8 + x1 + 1] * fy * fx, 6) + 0.0 AS x FROM (
   SELECT *, floor(sy)::INT AS y0, floor(sx)::INT AS x0, least(floor(sy)::INT + 1, 7) AS y1, least(floor(sx)::INT + 1, 7) AS x1, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM (
     SELECT vec_id, embedding::DOUBLE[] AS e, i, greatest((i // 20 + 0.5) * 0.4 - 0.5, 0) AS sy, greatest((i % 20 + 0.5) * 0.4 - 0.5, 0) AS sx FROM embeddings, range(0, 400) t(i)))""")
 def attention_raised(spark, d) -> DataFrame:
-    out = I.mapped(_pictures(spark, d), lambda x: I.attention(x, 20))
-    return out.select("vec_id", F.posexplode("pixels").alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+    return _pixels_of(_pictures(spark, d), I.raised("pixels", "height", "width", 20))
+
+
+@query("SELECT vec_id, i AS pos, CAST(floor(greatest(0, least(1, v / 2 + 0.5)) * 65535 + 0.5) AS BIGINT) AS x, CASE WHEN vec_id % 7 = 0 THEN 'bad' END AS error FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64))::INT AS i FROM embeddings) WHERE vec_id % 7 <> 0 OR i = 0".replace("CAST(floor", "CASE WHEN vec_id % 7 <> 0 THEN CAST(floor").replace("AS BIGINT) AS x", "AS BIGINT) END AS x"))
+def picture_files(spark, d) -> DataFrame:
+    """Pictures as PNG files' bytes, read again to the pixel; every seventh is cut off, and is a row with an error."""
+    rows = _pictures(spark, d).withColumn("pixels", F.transform("pixels", lambda v: v / 2 + 0.5))
+    files = Y.encoded(rows, bits=16).select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.expr("substring(content, 1, 60)")).otherwise(F.col("content")).alias("content"))
+    out = Y.decoded(files)
+    each = out.select("vec_id", F.explode(F.when(F.col("error").isNull(), F.transform("pixels", lambda x, i: F.struct(i.alias("pos"), F.floor(x.cast("double") * 65535 + 0.5).alias("x")))).otherwise(F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("long").alias("x"))))).alias("c"), "error")
+    return each.select("vec_id", "c.pos", "c.x", F.when(F.col("error").isNotNull(), "bad").alias("error"))
 
 
 @query("SELECT vec_id, embedding[17]::DOUBLE AS first, embedding[32]::DOUBLE AS last FROM embeddings")
@@ -415,18 +492,21 @@ def whole_shards(spark, d) -> DataFrame:
     return O.complete_shards([shard, shard.where("shard % 3 <> 1"), shard.where("shard % 4 <> 2")])
 
 
-@query("SELECT 'sharded' AS images, 'pt' AS labels, 'sharded' AS asked, 'pt' AS old")
+@query("SELECT 'sharded' AS images, 'pt' AS labels, 'sharded' AS asked, 'pt' AS old, (SELECT count(*) FROM customer) AS n_files")
 def storage_layout(spark, d) -> DataFrame:
-    files = spark.createDataFrame([("x/meta_00000.parquet",), ("x/images_00000.npy",), ("x/labels_00000.npy",)], "path string")
-    old = spark.createDataFrame([("x/1.pt",)], "path string")
-    made = [O.layout(files, "images"), O.layout(files, "labels"), O.layout(old, "images", "sharded"), O.layout(old, "images")]
-    return spark.range(1).select(*(F.lit(m).alias(n) for m, n in zip(made, ("images", "labels", "asked", "old"), strict=True)))
+    """Listings of a file for each customer: of shards in one directory, of single files in another."""
+    keys = X.read(spark, d, "customer")
+    kind = F.element_at(F.array(*map(F.lit, ("meta", "images", "labels"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    files = keys.select(F.concat(F.lit("x/"), kind, F.lit("_"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.when(kind == "meta", ".parquet").otherwise(".npy")).alias("path"))
+    old = keys.select(F.concat(F.lit("x/"), F.col("c_custkey").cast("string"), F.lit(".pt")).alias("path"))
+    made = [O.layout(files, "images"), O.layout(old, "labels"), O.layout(old, "images", "sharded"), O.layout(old, "images")]
+    return files.agg(*(F.lit(m).alias(n) for m, n in zip(made, ("images", "labels", "asked", "old"), strict=True)), F.count("*").alias("n_files"))
 
 
 @query("SELECT shard, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last, sum(row)::BIGINT AS rows FROM (SELECT c_custkey, ((row_number() OVER (ORDER BY c_custkey) - 1) // 40)::INT + 3 AS shard, (row_number() OVER (ORDER BY c_custkey) - 1) % 40 AS row FROM customer) GROUP BY shard")
 def stamped_shards(spark, d) -> DataFrame:
     """Written in whole shards from number 3, read again."""
-    at = _place(spark, "shards")
+    at = place(spark, "shards")
     K.shards(X.read(spark, d, "customer").select("c_custkey"), at, ["c_custkey"], shard_rows=40, start=3)
     return spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"), F.sum("row").alias("rows"))
 
@@ -455,74 +535,79 @@ def resumed_shards(spark, d) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS report_id, lang AS examination, sha1(regexp_replace(text, '\\r', '', 'g')) AS digest FROM documents WHERE doc_id % 4 > 0 AND text IS NOT NULL AND trim(regexp_replace(text, '\\r', '', 'g')) NOT IN ('', 'NA', 'null')".replace("\\\\", "\\"))
 def csv_reports(spark, d) -> DataFrame:
     """Reports written as CSV with quoted cells of several lines, ids with blanks or missing, and read again."""
-    at = _place(spark, "reports")
+    at = place(spark, "reports")
     rows = X.read(spark, d, "documents").where("text is not null").withColumn("text", F.regexp_replace("text", "\r", ""))
     rows = rows.where(~F.trim("text").isin("", "NA", "null"))
     made = rows.select(F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string"))).alias("report_id"), F.col("lang").alias("examination"), F.col("text").alias("report_text"))
-    made.coalesce(1).write.option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at, header=True)
+    made.write.option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at, header=True)
     return E.reports(spark, at).select("report_id", "examination", F.sha1(F.col("report_text").cast("binary")).alias("digest"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS report_id, doc_id % 3 = 1 AS has_json, CASE WHEN doc_id % 3 = 1 THEN CAST(n_chars AS VARCHAR) END AS n FROM documents WHERE doc_id < 60")
+@query("SELECT CAST(doc_id AS VARCHAR) AS report_id, doc_id % 3 = 1 AS has_json, CASE WHEN doc_id % 3 = 1 THEN CAST(n_chars AS VARCHAR) END AS n FROM documents")
 def json_directory(spark, d) -> DataFrame:
-    """Structured documents of a directory by id; a third is missing, a third malformed."""
-    at = _place(spark, "documents")
-    rows = X.read(spark, d, "documents").where("doc_id < 60").select(F.col("doc_id").cast("string").alias("report_id"), "doc_id", F.to_json(F.struct("n_chars")).alias("doc"))
-    some = rows.where("doc_id % 3 > 0").select("report_id", F.when(F.col("doc_id") % 3 == 2, "{broken").otherwise(F.col("doc")).alias("doc"))
-    _named_files(some, at, "report_id", "doc", "{}_structured.json")
+    """Structured documents of a directory by id, a file each; a third is missing, a third malformed."""
+    at = place(spark, "documents")
+    rows = X.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("report_id"), "doc_id", F.to_json(F.struct("n_chars")).alias("doc"))
+    some = rows.where("doc_id % 3 > 0").select(F.concat("report_id", F.lit("_structured.json")).alias("file"), F.when(F.col("doc_id") % 3 == 2, "{broken").otherwise(F.col("doc")).alias("doc"))
+    K.named_files(some, at, "file", "doc")
     out = E.json_documents(spark, at, rows.select("report_id"))
     return out.select("report_id", "has_json", F.get_json_object("doc", "$.n_chars").alias("n"))
 
 
-def _named_files(rows: DataFrame, at: str, key: str, value: str, name: str) -> None:
-    """A small number of files with given names, through Hadoop's file system."""
-    spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in rows.select(key, value).collect():
-        out = fs.create(path(f"{at}/{name.format(r[key])}"))
-        out.write(bytearray(r[value].encode()))
-        out.close()
+def _json_files(rows: DataFrame, name: str) -> str:
+    """Rows (value) as files of one JSON text each."""
+    at = place(rows.sparkSession, name)
+    rows.select("value").write.option("maxRecordsPerFile", 1).text(at)
+    return at
 
 
-def _json_file(spark, name: str, value) -> str:
-    at = _place(spark, name)
-    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(at)
-    return at
+def _wrapped(key: str, map_: Column) -> Column:
+    return F.concat(F.lit(f'{{"{key}":'), F.to_json(map_), F.lit("}")).alias("value")
 
 
-@query("SELECT name, pool[1] AS first, len(pool)::BIGINT AS n FROM pools", "pools")
+@query("SELECT p_type AS name, arg_min('no ' || p_name || ' seen', p_partkey) AS first, count(*) AS n FROM part WHERE p_partkey % 3 > 0 GROUP BY p_type")
 def sentence_pools(spark, d) -> DataFrame:
-    """A wrapped sentence file, empty sentences left out."""
-    at = _json_file(spark, "pools", {"concept_texts": {c: [f" No sign 0  of {c}", "", f"No sign 1 of {c}", f"No sign 2 of {c}"] for c in X.CONCEPTS if not c.endswith(".other")}})
+    """A wrapped sentence file of the parts by type; empty sentences are left out, blanks made one."""
+    said = F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" no "), "p_name", F.lit("  seen")))
+    rows = X.read(spark, d, "part").groupBy("p_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", said.alias("s")))), lambda x: x["s"]).alias("pool"))
+    at = _json_files(rows.agg(_wrapped("concept_texts", F.map_from_entries(F.collect_list(F.struct("p_type", "pool"))))), "pools")
     return E.pools(spark, at, "concept_texts").select("name", F.col("pool")[0].alias("first"), F.size("pool").cast("long").alias("n"))
 
 
-@query("SELECT name, side = 1 AS positive, side::INT AS idx, CASE side WHEN 1 THEN 'signs of ' ELSE 'no ' END || name AS text FROM concepts, range(0, 2) t(side)", "concepts")
+@query("SELECT p_brand AS name, p_size >= 25 AS positive, (row_number() OVER (PARTITION BY p_brand, p_size >= 25 ORDER BY p_partkey) - 1)::INT AS idx, p_name AS text FROM part")
 def prompt_file(spark, d) -> DataFrame:
-    at = _json_file(spark, "prompts", {"concept_prompts": {c: {"positive": ["x", f"signs of {c}"], "negative": [f"no {c}", "y"]} for c in X.CONCEPTS}})
-    return E.prompts(spark, at).where("positive = (idx = 1)").select("name", "positive", "idx", "text")
+    """Prompts of both sides for each brand."""
+    side = F.when(F.col("p_size") >= 25, "positive").otherwise("negative")
+    rows = X.read(spark, d, "part").groupBy("p_brand", side.alias("side")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("texts"))
+    rows = rows.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("side", "texts"))).alias("sides"))
+    at = _json_files(rows.agg(_wrapped("concept_prompts", F.map_from_entries(F.collect_list(F.struct("p_brand", "sides"))))), "prompts")
+    return E.prompts(spark, at)
 
 
-@query("SELECT row_number() OVER () - 1 AS idx, name FROM (VALUES ('b'), ('a'), ('thoracic_organs.heart'), ('c')) t(name)")
+@query("WITH n AS (SELECT 0 AS pos, 'NATION_3' AS name UNION ALL SELECT 1, 'b' UNION ALL SELECT 2 + n_nationkey, n_name FROM nation) SELECT row_number() OVER (ORDER BY pos) - 1 AS idx, name FROM (SELECT name, min(pos) AS pos FROM n GROUP BY name)")
 def concept_file(spark, d) -> DataFrame:
     """Inline names first, then the file's; first occurrences, comments and blanks out."""
-    at = _place(spark, "concepts")
-    spark.createDataFrame([("# note\n\nthoracic_organs.heart\n a \nc",)], "value string").coalesce(1).write.text(at)
-    return E.concepts(spark, at, " b, a ,b").select(F.col("idx").cast("long").alias("idx"), "name")
+    names = X.read(spark, d, "nation").agg(F.concat(F.lit("# note\n\n "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), " \n")).alias("value"))
+    return E.concepts(spark, _json_files(names, "concepts"), " NATION_3, b ,NATION_3").select(F.col("idx").cast("long").alias("idx"), "name")
 
 
-@query("SELECT name AS concept, 0.25 + idx / 100.0::DOUBLE AS thr_f1, CASE WHEN idx % 2 = 0 THEN 0.5::DOUBLE END AS thr_j FROM concepts", "concepts")
+@query("SELECT s_name AS concept, s_suppkey % 100 / 100.0::DOUBLE AS thr_f1, CASE WHEN s_suppkey % 2 = 0 THEN 0.5::DOUBLE END AS thr_j FROM supplier")
 def threshold_file(spark, d) -> DataFrame:
-    at = _json_file(spark, "thresholds", {c: {"thr_f1": 0.25 + i / 100, **({"thr_j": 0.5} if i % 2 == 0 else {})} for i, c in enumerate(X.CONCEPTS)})
-    return E.thresholds(spark, at)
+    """Thresholds of the suppliers in a file for each nation, some without the second."""
+    row = F.struct((F.col("s_suppkey") % 100 / 100).alias("thr_f1"), F.when(F.col("s_suppkey") % 2 == 0, 0.5).alias("thr_j"))
+    rows = X.read(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("s_name"), row.alias("t"))))).alias("value"))
+    return E.thresholds(spark, _json_files(rows, "thresholds"))
 
 
-@query("SELECT 'image' || i AS image_id, 'class' || (i % 3) AS class, 10 + i AS height, 5 AS width, 3 * (i + 1)::BIGINT AS area FROM range(0, 30) t(i)")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS image_id, 'class' || l_orderkey % 3 AS class, count(*)::BIGINT AS height, 50::BIGINT AS width, sum(CASE WHEN r % 2 = 0 THEN q ELSE 0 END)::BIGINT AS area FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, l_quantity AS q FROM lineitem) GROUP BY l_orderkey")
 def mask_file(spark, d) -> DataFrame:
-    """Run-length masks of a file, and their areas."""
-    at = _json_file(spark, "masks", {f"image{i}": {f"class{i % 3}": {"size": [10 + i, 5], "counts": G.encode_runs([2, i + 1, 4, 2 * (i + 1), 1])}} for i in range(30)})
-    return G.with_runs(E.masks(spark, at)).select("image_id", "class", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), G.area(F.col("runs")).alias("area"))
+    """Run-length masks of the orders, in files of a thousand, and their areas."""
+    rows = X.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("runs"))
+    rows = G.with_encoded(rows.select("l_orderkey", F.transform("runs", lambda r: r["l_quantity"].cast("long")).alias("runs")))
+    mask = F.create_map(F.concat(F.lit("class"), (F.col("l_orderkey") % 3).cast("string")), F.struct(F.array(F.size("runs"), F.lit(50)).alias("size"), F.col("counts")))
+    files = rows.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("l_orderkey").cast("string"), mask.alias("m"))))).alias("value"))
+    out = G.with_runs(E.masks(spark, _json_files(files, "masks")))
+    return out.select("image_id", "class", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), G.area(F.col("runs")).alias("area"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS report_id, split FROM splits", "splits")
@@ -530,13 +615,13 @@ def split_file(spark, d) -> DataFrame:
     """A split table by another key name, with blanks, each id twice: the first row counts."""
     rows = X.splits(spark, d).select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("accession"), F.concat("split", F.lit(" ")).alias("split"))
     both = rows.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("split", F.when(F.col("turn") == 2, "other").otherwise(F.col("split")))
-    return E.split_map(both.orderBy("accession", "turn").coalesce(1))
+    return E.split_map(both.orderBy("accession", "turn"))
 
 
 @query("SELECT user_id AS report_id, event_type AS reason, count(*) AS n FROM events WHERE event_id % 9 = 0 GROUP BY ALL")
 def failure_log(spark, d) -> DataFrame:
     """Appended in two runs, read again."""
-    at = _place(spark, "log")
+    at = place(spark, "log")
     rows = X.read(spark, d, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("report_id"), F.col("event_type").alias("reason"), F.lit("-").alias("detail"), "event_id")
     K.log(rows.where("event_id % 2 = 0"), at)
     K.log(rows.where("event_id % 2 = 1"), at)
@@ -546,7 +631,7 @@ def failure_log(spark, d) -> DataFrame:
 @query("SELECT 'val' AS split, arg_max(epoch, (v, -epoch))::BIGINT AS epoch, round(max(v), 6) AS value FROM (SELECT event_id % 20 AS epoch, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL)")
 def metric_logs(spark, d) -> DataFrame:
     """A metric log written by split; the best epoch read from it."""
-    at = _place(spark, "metrics")
+    at = place(spark, "metrics")
     rows = X.read(spark, d, "events").groupBy((F.col("event_id") % 20).alias("epoch"), F.when(F.col("event_id") % 2 == 0, "val").otherwise("train").alias("split")).agg(F.avg("value").alias("value"))
     K.metric_log(rows.select(F.col("epoch").alias("step"), "epoch", F.lit("auroc").alias("metric"), "value", F.lit(0.0).alias("walltime"), "split"), at)
     best = M.best_epoch(spark.read.parquet(at), "auroc")
@@ -555,7 +640,7 @@ def metric_logs(spark, d) -> DataFrame:
 
 @query("SELECT name AS concept, split, count(*) AS n, round(avg(score), 6) AS value FROM scores JOIN splits ON doc_id = sample_id GROUP BY ALL", "scores", "splits")
 def concept_logs(spark, d) -> DataFrame:
-    at = _place(spark, "concepts")
+    at = place(spark, "concepts")
     rows = X.scores(spark, d).join(X.splits(spark, d, "sample_id"), "sample_id")
     K.concept_log(rows.select(F.lit(1).alias("step"), F.lit(1).alias("epoch"), F.col("name").alias("concept"), F.lit("score").alias("metric"), F.col("score").alias("value"), F.lit(0.0).alias("walltime"), "split"), at)
     return spark.read.parquet(at).groupBy("concept", "split").agg(F.count("*").alias("n"), _r(F.avg("value"), "value"))
@@ -564,7 +649,7 @@ def concept_logs(spark, d) -> DataFrame:
 @query("SELECT n_nationkey AS report_id, n_name AS name FROM nation")
 def document_per_id(spark, d) -> DataFrame:
     """A document file for each id, the second writing of some ids in place of the first."""
-    at = _place(spark, "perid")
+    at = place(spark, "perid")
     rows = X.read(spark, d, "nation").select(F.col("n_nationkey").alias("report_id"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("doc"))
     K.document_files(rows.withColumn("doc", F.lit('{"name":"old"}')), at)
     K.document_files(rows, at)
@@ -574,7 +659,7 @@ def document_per_id(spark, d) -> DataFrame:
 @query("SELECT c_custkey, c_custkey * 2 AS twice FROM customer")
 def built_once(spark, d) -> DataFrame:
     """An index made where it is missing, and only read the second time."""
-    at = _place(spark, "index")
+    at = place(spark, "index")
     rows = X.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 2).alias("twice"))
     K.built(spark, at, lambda: rows)
     return K.built(spark, at, lambda: rows.limit(0))
@@ -583,7 +668,7 @@ def built_once(spark, d) -> DataFrame:
 @query("SELECT doc_id, count(*) AS n, max(batch)::BIGINT AS batch FROM (SELECT doc_id, 0 AS batch FROM documents) GROUP BY doc_id")
 def resumed_stream(spark, d) -> DataFrame:
     """Documents as a stream that stops and goes on: each is written once, only what is pending is asked for."""
-    at = _place(spark, "stream")
+    at = place(spark, "stream")
     docs = X.read(spark, d, "documents").select("doc_id")
     docs.where("doc_id % 2 = 0").write.parquet(f"{at}/in")
     for _ in range(2):

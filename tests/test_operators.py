@@ -256,11 +256,16 @@ def test_pixels_of_every_supplier(spark, tmp_path):
     assert catalog.threshold_sweep(spark, str(tmp_path)).count() == 1
 
 
-def test_documents_deeper_than_the_limit_fail(spark):
+def test_documents_of_any_depth(spark):
     def doc(levels):
-        return json.dumps({"a": {"text": "x"}}) if levels == 1 else '{"a": ' + doc(levels - 1) + "}"
-
-    for leaves in (D.labelled_leaves, D.text_leaves):
-        assert leaves(spark.createDataFrame([(1, doc(2))], "id int, doc string"), "doc", depth=3).count() == 1
-        with pytest.raises(Exception, match="goes on below 3 levels"):
-            leaves(spark.createDataFrame([(1, doc(9))], "id int, doc string"), "doc", depth=3).collect()
+        return '{"a":' * (levels - 1) + json.dumps({"a": {"text": "x", "label": 1.50, "more": [None, True, {"b": 2.0}]}}) + "}" * (levels - 1)
+
+    for levels in (1, 2, 9, 40, 400):
+        rows = spark.createDataFrame([(1, doc(levels)), (2, "{broken"), (3, None), (4, "[]")], "id int, doc string")
+        assert [(r.id, r.path, r.text) for r in D.text_leaves(rows, "doc").collect() if r.path.endswith("a")] == [(1, ".".join("a" * levels), "x")]
+        assert [(r.id, r.path, r.label) for r in D.labelled_leaves(rows, "doc").collect()] == [(1, ".".join("a" * levels), "1.5")]
+    names = {r.path.removeprefix("a.a.a"): (r.ord[3:], r.value) for r in D.nodes(spark.createDataFrame([(1, doc(3))], "id int, doc string")).collect()}
+    assert names[".label"] == ([1], "1.5") and names[".more.[0]"] == ([2, 0], None) and names[".more.[1]"] == ([2, 1], "true") and names[".more.[2].b"] == ([2, 2, 0], "2.0")
+    clash = spark.createDataFrame([(1, '{"k y": {"text": "t"}}')], "`a.b` int, doc string")
+    assert [(r["a.b"], r.path, r.text) for r in D.text_leaves(clash.withColumnRenamed("a.b", "id")).select(F.col("id").alias("a.b"), "path", "text").collect()] == [(1, "k y", "t")]
+    assert one(spark, D.at_path(F.lit('{"data": {"k y": {"label": "2"}}}'), "k y")) == "2"
