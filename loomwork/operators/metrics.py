@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import numeric as N
 from loomwork.operators import ranks
+from loomwork.session import small
 
 NAN = float("nan")
 
@@ -82,17 +83,23 @@ def masked_bce(rows: DataFrame, *, smoothing: float = 0.0) -> DataFrame:
     return per.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("plain"), F.coalesce(F.avg(F.col("s") / F.col("n")), F.lit(0.0)).alias("balanced"))
 
 
-def info_nce(rows: DataFrame, *, tau: float = 0.07, symmetric: bool = True) -> DataFrame:
+def info_nce(rows: DataFrame, *, tau: float = 0.07, taus: DataFrame | None = None, symmetric: bool = True) -> DataFrame:
     """(macro, weighted) contrastive losses of rows (batch, name, sample, v, u): within a batch's concept each v against all u.
 
     Concepts with fewer than two rows in a batch are skipped.  Pairs are made
-    within (batch, concept), whose size is the batch size.
+    within (batch, concept), whose size is the batch size.  taus (name, tau): the
+    temperatures of single concepts; the others have `tau`.
     """
     if tau <= 0:
         raise ValueError("tau must be positive")
     a = rows.select("batch", "name", F.col("sample").alias("i"), N.unit("v", 1e-6, True).alias("v"))
     b = rows.select("batch", "name", F.col("sample").alias("k"), N.unit("u", 1e-6, True).alias("u"))
-    pairs = a.join(b, ["batch", "name"]).withColumn("z", N.dot("v", "u") / tau)
+    if taus is not None:
+        own = taus.select(F.col("name").alias("_name"), F.when(F.col("tau") > 0, F.col("tau").cast("double")).otherwise(F.raise_error(F.lit("tau must be positive")).cast("double")).alias("_tau"))
+        a = a.join(small(own), F.col("name") == F.col("_name"), "left").withColumn("tau", F.coalesce("_tau", F.lit(float(tau)))).drop("_name", "_tau")
+    else:
+        a = a.withColumn("tau", F.lit(float(tau)))
+    pairs = a.join(b, ["batch", "name"]).withColumn("z", N.dot("v", "u") / F.col("tau"))
 
     def one(side: str):
         per = pairs.groupBy("batch", "name", side).agg(F.max("z").alias("m"), F.collect_list("z").alias("zs"), F.max(F.when(F.col("i") == F.col("k"), F.col("z"))).alias("d"))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import documents as D
+from loomwork.operators import labels as L
 from loomwork.operators import retrieval as R
+from loomwork.operators import runs as O
 from loomwork.operators import splits as P
+from loomwork.operators import stats as S
 from loomwork.plans import fixtures as X
 from loomwork.plans.catalog import _r, query
 from loomwork.session import place
@@ -150,6 +153,62 @@ def buffered_stream(spark, d) -> DataFrame:
     return rows.select("bucket", "n_flushes", "n_flushed", (F.col("n") - F.col("n_flushed")).alias("n_left"), "n_twice")
 
 
+# ------------------------------------------------------------ a run of steps
+
+
+def _steps(spark, d, threshold: float) -> list[O.Step]:
+    """Reports as structured documents, their leaves, labels, quotas, imputation, vectors of the texts, and the final counts."""
+    split = X.splits(spark, d)
+
+    def structured(_):
+        cells = X.pathology(X.leaves(spark, d)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("text", "label").alias("leaf")))).alias("m"))
+        return cells.select("doc_id", F.to_json("m").alias("doc"))
+
+    def leaves(t):
+        rows = D.nodes(t["structured"]).where(F.startswith("value", F.lit("{")))
+        return rows.select("doc_id", F.col("path").alias("name"), F.get_json_object("value", "$.text").alias("text"), F.get_json_object("value", "$.label").alias("label"))
+
+    def labels(t):
+        y, valid = L.label_and_mask(F.col("label"))
+        return t["leaves"].select("doc_id", "name", y.cast("double").alias("label"), valid.alias("valid"))
+
+    def quotas(t):
+        units = t["leaves"].where("text <> ''").select(F.col("doc_id").alias("report_id"), "name")
+        return S.quotas(S.text_counts(units, X.concepts(spark), split.withColumnRenamed("doc_id", "report_id")))
+
+    def imputed(t):
+        rows = L.eligible_labels(t["leaves"].withColumn("sev", F.col("label").cast("long")), threshold=threshold).select("doc_id", "name")
+        return L.within_quota(rows, t["quotas"])
+
+    def vectors(t):
+        texts = t["leaves"].where("text <> ''").select("doc_id", "name", "text")
+        return R.window_means(texts, ["doc_id", "name"], _stand_in, 3, size=4, overlap=1)
+
+    def counts(t):
+        rows = t["labels"].join(t["imputed"].withColumn("chosen", F.lit(True)), ["doc_id", "name"], "left")
+        made = F.coalesce("chosen", F.lit(False)) & ~F.col("valid")
+        rows = rows.select("doc_id", "name", "label", (F.col("valid") | made).alias("valid"), made.alias("imputed"))
+        with_vectors = t["vectors"].join(split, "doc_id").groupBy("split", "name").agg(F.count("*").alias("n_vectors"))
+        return S.label_counts(rows, split).select("split", "name", "n_valid", "n_imputed", "n_total").join(with_vectors, ["split", "name"], "left").na.fill(0, ["n_vectors"])
+
+    return [
+        O.Step("structured", structured), O.Step("leaves", leaves, ("structured",)), O.Step("labels", labels, ("leaves",)), O.Step("quotas", quotas, ("leaves",)),
+        O.Step("imputed", imputed, ("leaves", "quotas"), {"threshold": threshold}), O.Step("vectors", vectors, ("leaves",), {"size": 4, "overlap": 1}), O.Step("counts", counts, ("labels", "imputed", "vectors")),
+    ]
+
+
+@query("""WITH base AS (SELECT split, name, count(*) AS n FROM path JOIN splits USING (doc_id) WHERE text <> '' GROUP BY ALL), quota AS (SELECT name, sum(n) AS quota FROM base GROUP BY name),
+  chosen AS (SELECT doc_id, name FROM (SELECT e.doc_id, e.name, quota, row_number() OVER (PARTITION BY e.name ORDER BY sha1('42|' || CAST(e.doc_id AS VARCHAR) || '|' || e.name), e.doc_id) AS turn FROM eligible e JOIN quota USING (name)) WHERE turn <= quota)
+  SELECT split, p.name, count(CASE WHEN y.valid OR c.doc_id IS NOT NULL THEN 1 END) AS n_valid, count(CASE WHEN c.doc_id IS NOT NULL AND NOT y.valid THEN 1 END) AS n_imputed, count(*) AS n_total, count(CASE WHEN p.text <> '' THEN 1 END) AS n_vectors, 2 + 7 AS n_made, 5 AS n_skipped
+  FROM path p JOIN splits USING (doc_id) JOIN labelled y ON y.doc_id = p.doc_id AND y.name = p.name LEFT JOIN chosen c ON c.doc_id = p.doc_id AND c.name = p.name GROUP BY ALL""", "path", "splits", "labelled", "eligible")
+def staged_run(spark, d) -> DataFrame:
+    """The whole job as steps with a manifest; run again with another threshold, only what depends on it is made anew."""
+    run = O.Run(spark, place(spark, "run"))
+    run(_steps(spark, d, 80.0))
+    tables = run(_steps(spark, d, 70.0))
+    return tables["counts"].withColumn("n_made", F.lit(len(run.made))).withColumn("n_skipped", F.lit(len(run.skipped)))
+
+
 # ------------------------------------------------------------ deep documents
 
 

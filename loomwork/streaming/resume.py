@@ -24,8 +24,19 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 def idempotent_append(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that a repeated batch doesn't double: a folder for each batch number, overwritten."""
-    return lambda df, number: df.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    """A batch writer that doubles nothing: a folder for each batch number, overwritten when the batch comes again, without keys that earlier batches have written."""
+
+    def write(df: DataFrame, number: int) -> None:
+        rows = df.dropDuplicates([key])
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        before = [f"{path}/batch={i}" for i in range(number) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={i}/_SUCCESS"))]
+        if before:
+            rows = pending(rows, spark.read.schema(df.schema).parquet(*before), key)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -352,3 +352,39 @@ def test_labels_by_json_type(spark):
     got = {r.doc: (r.y, r.valid) for r in spark.createDataFrame([(k,) for k in cases], "doc string").select("doc", y.alias("y"), valid.alias("valid")).collect()}
     assert got == cases
     assert json.loads('"2.0"') == "2.0"
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
+    from loomwork.operators import runs
+
+    calls = []
+
+    def make(name, value):
+        def made(tables):
+            calls.append(name)
+            if value is None:
+                raise RuntimeError("stopped")
+            rows = spark.range(3).withColumn("v", F.lit(value))
+            return rows if not tables else rows.unionByName(next(iter(tables.values())).select("id", "v"))
+
+        return made
+
+    steps = lambda v: [runs.Step("a", make("a", 1)), runs.Step("b", make("b", v), ("a",), {"v": 2}), runs.Step("c", make("c", 3), ("b",))]
+    run = runs.Run(spark, str(tmp_path / "r"))
+    with pytest.raises(RuntimeError):
+        run(steps(None))
+    run = runs.Run(spark, str(tmp_path / "r"))
+    assert run(steps(2))["c"].count() == 9 and run.made == ["b", "c"] and run.skipped == ["a"] and calls == ["a", "b", "b", "c"]
+    other = [runs.Step("a", make("a", 1)), runs.Step("b", make("b", 5), ("a",), {"v": 5}), runs.Step("c", make("c", 3), ("b",))]
+    run = runs.Run(spark, str(tmp_path / "r"))
+    assert sorted(r.v for r in run(other)["b"].collect()) == [1, 1, 1, 5, 5, 5] and run.made == ["b", "c"]
+    with pytest.raises(ValueError):
+        run([runs.Step("x", make("x", 1), ("y",))])
+
+
+def test_streams_do_not_double_keys_across_batches(spark, tmp_path):
+    write = resume.idempotent_append(str(tmp_path / "out"), "k")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    for number, df in ((0, rows(1, 2, 2)), (1, rows(2, 3)), (1, rows(2, 3)), (2, rows(1, 4))):
+        write(df, number)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
