@@ -14,7 +14,7 @@ its own.  The network is a GRU whose input is a table row per word or tail class
 It starts from the unigram counts, and is trained by truncated backpropagation
 (state carried over windows of `STEPS` tokens) with Adam, on the executors, once over
 every token of all training texts.  For that, texts become input numbers where they
-are read, are dealt by a hash of their id into shards, and shards into rounds; the
+are read, are dealt by a hash of id and text into shards (their number by the bytes of text alone), and shards into rounds; the
 shards of a round start from the same weights, and the average of what they come to,
 by tokens, starts the next round.  Shards a round and rounds both grow with the root
 of the number of shards.  The driver holds weights only.
@@ -41,10 +41,10 @@ from loomwork.llm import common as C
 from loomwork.llm import exchange as X
 from loomwork.llm.toxicity import fold
 
-HEAD = 768
-PER_CLASS = 28
+HEAD = 1008
+PER_CLASS = 32
 TAILS = 24
-HIDDEN = 24
+HIDDEN = 32
 STEPS = 20
 WIDE = 256
 ROUNDS = 8
@@ -359,25 +359,30 @@ class GRU:
         return back
 
 
-_SUMS = "n long, sums binary"
+_SUMS = "shard int, n long, sums binary"
 
 
-def _added(batches):
-    """Sums of sums, so that the driver gets few."""
-    n, total = 0, 0.0
-    for b in batches:
-        n += sum(b.column("n").to_pylist())
-        total = total + sum(np.frombuffer(x, np.float64) for x in b.column("sums").to_pylist())
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of shards' sums, in the shards' order."""
+    order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+    cells = table.column("sums").to_pylist()
+    total = sum(np.frombuffer(cells[i], np.float64) for i in order)
+    return pa.table({"shard": pa.array([table.column("shard")[int(order[0])].as_py()], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def n_shards(n_bytes: int) -> int:
+    """Training shards of so many bytes of text: a function of the data alone, as the model depends on them."""
+    unit = min(X.LARGEST, max(X.UNIT, int(X.UNIT * (n_bytes / (1 << 30)) ** 0.5)))
+    return max(1, n_bytes // unit, min(16, n_bytes >> 20))
 
 
 def learn_all(docs: DataFrame, to: X.Layout, model: GRU, about: tuple) -> int:
     """Trains model once over every token of docs (doc_id, text; training texts only); the number of tokens read."""
     spark = docs.sparkSession
     box = spark.sparkContext.broadcast(about)
-    n_shards = to.batches
-    rounds = min(n_shards, max(ROUNDS, math.isqrt(n_shards)))
+    shards_ = n_shards(to.n_bytes)
+    rounds = min(shards_, max(ROUNDS, math.isqrt(shards_)))
+    shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64("text")), F.lit(shards_)).cast("int")
 
     def encode(batches):
         vocab = Vocabulary(*box.value)
@@ -393,7 +398,7 @@ def learn_all(docs: DataFrame, to: X.Layout, model: GRU, about: tuple) -> int:
         table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
         return pa.table({"shard": table.column("shard")[:1], "tokens": pa.array([b"".join(table.column("tokens").to_pylist())], pa.binary())})
 
-    tokens = docs.select("doc_id", "text", to.batch().alias("shard")).mapInArrow(encode, "doc_id long, shard int, tokens binary")
+    tokens = docs.select("doc_id", "text", shard.alias("shard")).mapInArrow(encode, "doc_id long, shard int, tokens binary")
     tokens = tokens.groupBy("shard").applyInArrow(packed, "shard int, tokens binary").withColumn("round", F.pmod("shard", F.lit(rounds)))
     shards = C.stored(tokens, "tokens", by="round")
     names, read = GRU.NAMES, 0
@@ -402,23 +407,22 @@ def learn_all(docs: DataFrame, to: X.Layout, model: GRU, about: tuple) -> int:
         rate = RATE * (1 - 0.85 * i / rounds)
 
         def learn(batches, start=start, rate=rate):
-            vocab, n, total = Vocabulary(*box.value), 0, None
+            vocab = Vocabulary(*box.value)
             for b in batches:
-                for cell in b.column("tokens"):
+                for shard, cell in zip(b.column("shard").to_pylist(), b.column("tokens"), strict=True):
                     ids = np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
-                    net = GRU(vocab, params={k: x.copy() for k, x in start.value.items()})
-                    net.train(ids, rate, max(1, min(WIDE, len(ids) // (128 * STEPS))))
-                    flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * len(ids)
-                    n, total = n + len(ids), flat if total is None else total + flat
+                    if len(ids):
+                        net = GRU(vocab, params={k: x.copy() for k, x in start.value.items()})
+                        net.train(ids, rate, max(1, min(WIDE, len(ids) // (128 * STEPS))))
+                        flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * len(ids)
+                        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["shard", "n", "sums"])
             C.trim()
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
 
-        width = max(1, math.ceil(n_shards / rounds))
-        sums = shards.where(F.col("round") == i).select("tokens").repartition(width).mapInArrow(learn, _SUMS)
+        width = max(1, math.ceil(shards_ / rounds))
+        sums = shards.where(F.col("round") == i).select("shard", "tokens").repartitionByRange(width, "shard").mapInArrow(learn, _SUMS)
         if width > 64:
-            sums = sums.repartition(math.isqrt(width)).mapInArrow(_added, _SUMS)
-        got = sums.collect()
+            sums = sums.groupBy(F.floor(F.col("shard") / (rounds * math.isqrt(width))).alias("lot")).applyInArrow(_added, _SUMS)
+        got = sorted(sums.collect(), key=lambda r: r["shard"])
         n, whole = sum(r["n"] for r in got), sum(np.frombuffer(r["sums"], np.float64) for r in got)
         if n:
             mean, a = whole / n, 0

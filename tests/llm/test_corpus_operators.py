@@ -582,3 +582,20 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     got = [x for x in language_model.likelihoods(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
     n = sum(x.n_tokens for x in got)
     assert sum(x.score for x in got) / n > sum(x.base_score for x in got) / n + 0.3
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    """The same documents under few and many shuffle partitions, and in another order of rows."""
+    C.importable(spark)
+    r = random.Random(21)
+    words = [f"v{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(1, 400)))) for i in range(1500)], "doc_id long, text string")
+    assert language_model.n_shards(df.agg({"text": "count"}).first()[0]) == 1 and language_model.n_shards(864 << 20) == 144 and language_model.n_shards(25 << 20) == 16
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (3, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append({x.doc_id: x.score for x in language_model.likelihoods(df.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][i], got[1][i], rel_tol=1e-5) for i in got[0])
