@@ -122,43 +122,47 @@ def units(reports: DataFrame, leaves: DataFrame, imputed: DataFrame | None = Non
     order; imputed: (report, at, name, text), `at` in its own order.  Full text,
     leaves, imputed leaves, grouped leaves, all structured text, and the whole
     report, in this order; empty and excluded ones go; of equal (field, text) the
-    first stays.
+    first stays.  A report's cells meet in one aggregation, and its units come from one
+    explode, so sources are read once and shuffled once.
     """
     from loomwork.functions import text as T
 
     if level not in ("leaf", "full", "both"):
         raise ValueError(f"level: {level}")
-    shape = lambda df, rank, name, text, source, made: df.select(report, F.struct(F.lit(rank).alias("rank"), F.col("at").cast("int").alias("at")).alias("ord"), name.alias("field"), text.alias("text"), F.lit(source).alias("source"), F.lit(made).alias("is_imputed"))
-    body = T.prefixed(F.col("name"), F.col("text"), True) if prefix else F.col("text")
-    leaf = leaves.where("text <> ''")
-    full = shape(reports.withColumn("at", F.lit(0)), 1, F.lit("unstructured.full"), T.clean("full"), "unstructured", False)
-    own = shape(leaf, 2, F.concat(F.lit("structured."), "name"), body, "structured", False)
-    made = shape(imputed, 3, F.concat(F.lit("structured."), "name"), body, "structured", True) if imputed is not None else own.limit(0)
-    kept = own.unionByName(made).where(~T.excluded(F.col("field"), skip, skip_prefixes))
-    parts = [kept]
-    everything = leaf.select(report, F.lit(2).alias("rank"), "at", "name", "text")
+    shape = lambda df, rank, at, name, text: df.select(report, F.struct(F.lit(rank).alias("rank"), at.cast("int").alias("at"), text.alias("text"), name.alias("name")).alias("cell"))
+    rows = shape(reports, 1, F.lit(0), F.lit(""), F.col("full")).unionByName(shape(leaves.where("text <> ''"), 2, F.col("at"), F.col("name"), F.col("text")))
     if imputed is not None:
-        everything = everything.unionByName(imputed.select(report, F.lit(3).alias("rank"), "at", "name", "text"))
-    joined = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(by)), lambda x: x["text"]), delimiter)
+        rows = rows.unionByName(shape(imputed, 3, F.col("at"), F.col("name"), F.col("text")))
+    cells = rows.groupBy(report).agg(F.array_sort(F.collect_list("cell")).alias("c"))
+    unit = lambda rank, at, field, text, source, made: F.struct(F.struct(rank.alias("rank"), at.alias("at")).alias("ord"), field.alias("field"), text.alias("text"), F.lit(source).alias("source"), made.alias("is_imputed"))
+    no, zero = F.lit(False), F.lit(0)
+    excluded = lambda u: T.excluded(u["field"], skip, skip_prefixes)
+    body = lambda x: T.prefixed(x["name"], x["text"], True) if prefix else x["text"]
+    own = F.transform(F.filter("c", lambda x: x["rank"] > 1), lambda x: unit(x["rank"], x["at"], F.concat(F.lit("structured."), x["name"]), body(x), "structured", x["rank"] == 3))
+    cells = cells.withColumn("kept", F.filter(own, lambda u: ~excluded(u)))
+    joined = lambda found, by: F.array_join(F.transform(found, lambda x: x["text"]), by)
+    parts = [F.col("kept")] if level != "full" else []
     for i, g in enumerate(groups):
-        below = everything.where((F.col("name") == g) | F.startswith("name", F.lit(g + ".")))
-        text = below.groupBy(report).agg(T.clean(joined(F.struct("rank", "at", "text"))).alias("text")).withColumn("at", F.lit(i))
-        parts.append(shape(text, 4, F.lit(f"structured.grouped.{g}"), F.col("text"), "grouped", False))
+        below = _below("c", g)
+        parts.append(F.when(F.size(below) > 0, F.array(unit(F.lit(4), F.lit(i), F.lit(f"structured.grouped.{g}"), T.clean(joined(below, delimiter)), "grouped", no))))
     if level in ("full", "both"):
-        whole = kept.groupBy(report).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("at", F.lit(0))
-        parts += [full, shape(whole, 5, F.lit("structured.full"), F.col("text"), "structured_full", False)]
-        both = reports.join(whole.select(report, F.col("text").alias("rest")), report, "left").withColumn("at", F.lit(0))
-        parts.append(shape(both, 6, F.lit("report.full"), F.trim(F.concat_ws(" ", T.clean("full"), "rest")), "report_full", False))
-    if level == "full":
-        parts = parts[1:]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where((F.col("text") != "") & ~T.excluded(F.col("field"), skip, skip_prefixes))
+        whole = F.when(F.size("kept") > 0, joined("kept", " "))
+        said = F.filter("c", lambda x: x["rank"] == 1)
+        parts.append(F.transform(said, lambda x: unit(F.lit(1), zero, F.lit("unstructured.full"), T.clean(x["text"]), "unstructured", no)))
+        parts.append(F.when(whole.isNotNull(), F.array(unit(F.lit(5), zero, F.lit("structured.full"), whole, "structured_full", no))))
+        parts.append(F.transform(said, lambda x: unit(F.lit(6), zero, F.lit("report.full"), F.trim(F.concat_ws(" ", T.clean(x["text"]), whole)), "report_full", no)))
+    none = F.filter("kept", lambda u: F.lit(False))
+    each = cells.select(report, F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("u")).select(report, "u.ord", "u.field", "u.text", "u.source", "u.is_imputed")
+    out = each.where((F.col("text") != "") & ~T.excluded(F.col("field"), skip, skip_prefixes))
     turn = F.row_number().over(W.partitionBy(report, "field", F.sha1(F.col("text").cast("binary"))).orderBy("ord"))
     return out.withColumn("turn", turn).where("turn = 1").drop("turn")
 
 
+def _below(cells: str, group: str) -> Column:
+    """Leaf cells of a group, or below it."""
+    return F.filter(cells, lambda x: (x["rank"] > 1) & ((x["name"] == group) | F.startswith(x["name"], F.lit(group + "."))))
+
+
 def inspection(leaves: DataFrame, *, least_other: int = 1, threshold: float = 70.0, report: str = "doc_id") -> DataFrame:
     """Per report and concept: raw label, label, base_valid, and the imputation decision with its numbers.
 

@@ -388,3 +388,21 @@ def test_streams_do_not_double_keys_across_batches(spark, tmp_path):
     for number, df in ((0, rows(1, 2, 2)), (1, rows(2, 3)), (1, rows(2, 3)), (2, rows(1, 4))):
         write(df, number)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+
+
+def test_units_leave_out_and_count_once(spark):
+    reports = spark.createDataFrame([(1, " full  text "), (2, None), (3, "only full")], "doc_id int, full string")
+    leaves = spark.createDataFrame([(1, 0, "comparison", "old"), (1, 1, "report_date.x", "1999"), (1, 2, "lung.a", "same"), (1, 3, "lung.a", "same"), (1, 4, "lung", "top"), (1, 5, "lungs.b", "far"), (2, 0, "heart", ""), (4, 0, "heart", "big")], "doc_id int, at int, name string, text string")
+    imputed = spark.createDataFrame([(1, 0, "lung.c", "made"), (2, 0, "heart", "none")], "doc_id int, at int, name string, text string")
+    got = {(r.doc_id, r.field, r.text, r.is_imputed) for r in L.units(reports, leaves, imputed, groups=("lung",)).collect()}
+    assert got == {
+        (1, "unstructured.full", "full text", False), (1, "structured.lung.a", "same", False), (1, "structured.lung", "top", False), (1, "structured.lungs.b", "far", False), (1, "structured.lung.c", "made", True),
+        (1, "structured.grouped.lung", "same ; same ; top ; made", False), (1, "structured.full", "same same top far made", False), (1, "report.full", "full text same same top far made", False),
+        (2, "structured.heart", "none", True), (2, "structured.full", "none", False), (2, "report.full", "none", False), (3, "unstructured.full", "only full", False), (3, "report.full", "only full", False), (4, "structured.heart", "big", False), (4, "structured.full", "big", False),
+    }
+    full = {r.field for r in L.units(reports, leaves, imputed, level="full", groups=("lung",)).collect()}
+    assert full == {"unstructured.full", "structured.grouped.lung", "structured.full", "report.full"}
+    leaf = L.units(reports, leaves, level="leaf", prefix=True)
+    assert {(r.field, r.text) for r in leaf.where("doc_id = 1").collect()} == {("structured.lung.a", "lung.a: same"), ("structured.lung", "lung: top"), ("structured.lungs.b", "lungs.b: far")}
+    with pytest.raises(ValueError):
+        L.units(reports, leaves, level="some")
