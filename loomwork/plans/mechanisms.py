@@ -14,7 +14,7 @@ from loomwork.operators import stats as S
 from loomwork.plans import fixtures as X
 from loomwork.plans.catalog import _r, query
 from loomwork.session import place
-from loomwork.sources import paired, sinks
+from loomwork.sources import paired, readers, sinks
 from loomwork.streaming import buffers
 from loomwork.streaming import resume as U
 
@@ -59,6 +59,30 @@ def paired_halves(spark, d) -> DataFrame:
     return rows.join(out, "vec_id").select("vec_id", near.alias("near"))
 
 
+# ------------------------------------------------------------ directories and indexes
+
+
+@query("SELECT 'case' || c_custkey AS name FROM customer WHERE c_custkey % 6 = 0 ORDER BY 1 LIMIT 12")
+def case_directories(spark, d) -> DataFrame:
+    """The first dozen directories that hold both files; others hold one of them."""
+    at = place(spark, "cases")
+    rows = X.read(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit("image.json"), F.lit("report.json"))).alias("file"), F.col("c_name").alias("doc"))
+    rows = rows.where(F.when(F.col("file") == "image.json", F.col("c_custkey") % 2 == 0).otherwise(F.col("c_custkey") % 3 == 0))
+    sinks.named_files(rows.select(F.concat(F.lit("case"), F.col("c_custkey").cast("string"), F.lit("/"), F.col("file")).alias("file"), "doc"), at)
+    return readers.cases(spark, at, "image.json", "report.json", 12).select(F.regexp_extract("case", r"([^/]+)$", 1).alias("name"))
+
+
+@query("SELECT 'csv' AS kind, CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM supplier UNION ALL SELECT 'parquet', CAST(s_suppkey AS VARCHAR), s_name FROM supplier")
+def index_tables(spark, d) -> DataFrame:
+    """An index as one CSV result and as Parquet, told apart by its ending."""
+    at = place(spark, "index")
+    rows = X.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"))
+    sinks.result_csv(rows, f"{at}.csv")
+    rows.write.parquet(f"{at}.parquet")
+    read = lambda end: readers.table(spark, f"{at}.{end}").select(F.lit(end).alias("kind"), "key", "name")
+    return read("csv").unionByName(read("parquet"))
+
+
 # ------------------------------------------------------------ windows of long texts
 
 

@@ -37,6 +37,8 @@ def named_files(rows: DataFrame, path: str, name: str = "file", column: str = "d
         system.create_dir(root, recursive=True)
         for b in batches:
             for file, doc in zip(b.column(name).to_pylist(), b.column(column).to_pylist(), strict=True):
+                if "/" in file:
+                    system.create_dir(f"{root}/{file.rpartition('/')[0]}", recursive=True)
                 with system.open_output_stream(f"{root}/{file}") as out:
                     out.write((doc or "").encode())
         yield from ()
