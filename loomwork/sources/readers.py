@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loomwork.functions import text as T
+from loomwork.session import stored
 from loomwork.sources import paired, pictures
 
 
@@ -116,9 +117,48 @@ def masks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, root: str, first: str, second: str, most: int | None = None) -> DataFrame:
-    """(case, first, second): directories with both files, in order of path."""
-    listing = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("case"), "path")
-    both = listing(first).withColumnRenamed("path", "first").join(listing(second).withColumnRenamed("path", "second"), "case")
+    """(case, first, second): directories with both files, in order of path.
+
+    Tasks list the directories, a level of the tree at a time, so that neither the driver nor a
+    job holds a file for each case.  Patterns, and paths that only Spark knows, are listed by Spark.
+    """
+    try:
+        system, top = paired._system(root)
+    except (pa.ArrowException, OSError):
+        system = None
+    if system is None or re.search(r"[*?\[\]{}\\]", first + second):
+        listing = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("case"), "path")
+        both = listing(first).withColumnRenamed("path", "first").join(listing(second).withColumnRenamed("path", "second"), "case")
+        return both.orderBy("case").limit(most) if most is not None else both
+    top = top.rstrip("/")
+    scheme = root.rstrip("/").removesuffix(top) if "://" in root else "file:"
+
+    def listed(batches):
+        system, _ = paired._system(root)
+        rows = lambda names, kind: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([kind] * len(names), pa.bool_())], ["path", "both"])
+        for b in batches:
+            held = []
+            for folder in b.column("path").to_pylist():
+                files, folders = set(), []
+                for f in system.get_file_info(fs.FileSelector(folder)):
+                    if f.type == fs.FileType.File:
+                        files.add(f.base_name)
+                    elif f.type == fs.FileType.Directory and not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name):
+                        folders.append(f.path)
+                for a in range(0, len(folders), 10_000):
+                    yield rows(folders[a : a + 10_000], False)
+                if first in files and second in files:
+                    held.append(scheme + folder)
+            yield rows(held, True)
+
+    level, n, both = spark.createDataFrame([(top,)], "path string"), 1, None
+    while n:
+        parts = max(1, min(n // 64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        found = stored(level.repartition(parts).mapInArrow(listed, "path string, both boolean"), "listing")
+        here = found.where("both").select(F.col("path").alias("case"), F.concat("path", F.lit(f"/{first}")).alias("first"), F.concat("path", F.lit(f"/{second}")).alias("second"))
+        both = here if both is None else both.union(here)
+        level = found.where("not both").select("path")
+        n = level.count()
     return both.orderBy("case").limit(most) if most is not None else both
 
 

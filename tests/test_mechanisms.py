@@ -406,3 +406,24 @@ def test_units_leave_out_and_count_once(spark):
     assert {(r.field, r.text) for r in leaf.where("doc_id = 1").collect()} == {("structured.lung.a", "lung.a: same"), ("structured.lung", "lung: top"), ("structured.lungs.b", "lungs.b: far")}
     with pytest.raises(ValueError):
         L.units(reports, leaves, level="some")
+
+
+def test_cases_are_listed_by_tasks_and_their_files_dealt(spark, tmp_path):
+    """A directory's place in the tree does not matter; no plan holds a file for each case, and one partition's files are written by several tasks."""
+    at = str(tmp_path / "cases")
+    names = [f"c{i}/{f}" for i in range(300) for f in ("a.json", "b.json") if i % (2 if f == "a.json" else 3) == 0] + ["deep/er/x/a.json", "deep/er/x/b.json", "_tmp/y/a.json", "_tmp/y/b.json", "a.json", "b.json"]
+    rows = spark.createDataFrame([(n,) for n in names], "file string").coalesce(1).withColumn("doc", F.col("file"))
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dealt", "dealt")
+    sinks.named_files(rows, at)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [before.getStageInfo(s) for j in before.getJobIdsForGroup("dealt") for s in before.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 1
+    found = readers.cases(spark, at, "a.json", "b.json")
+    want = {f"file:{at}/c{i}" for i in range(0, 300, 6)} | {f"file:{at}/deep/er/x", f"file:{at}"}
+    assert {(r["case"], r["first"], r["second"]) for r in found.collect()} == {(c, f"{c}/a.json", f"{c}/b.json") for c in want}
+    assert not any(f.endswith(".json") for f in found.inputFiles())
+    by_spark = readers.cases(spark, at, "[a].json", "[b].json")
+    assert {tuple(r) for r in by_spark.select("case", "first", "second").collect()} == {tuple(r) for r in found.select("case", "first", "second").collect()}
+    assert [r["case"] for r in readers.cases(spark, at, "a.json", "b.json", 3).collect()] == sorted(want)[:3]
+    assert open(f"{at}/c6/b.json").read() == "c6/b.json"
