@@ -599,3 +599,39 @@ def test_language_model_does_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][i], got[1][i], rel_tol=1e-5) for i in got[0])
+
+
+def test_neighbours_are_all_found_among_near_copies_and_lengths_far_apart(spark):
+    """Tight groups that no link leaves, lengths from 1e-3 to 1e4 and more ties than answers: every neighbour is found."""
+    C.importable(spark)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 12))
+    x = np.repeat(centres, 60, axis=0) + 1e-7 * r.normal(size=(2400, 12))
+    x[::3] *= 10.0 ** r.integers(-3, 4, (800, 1))
+    x[7] *= 1e4
+    x = np.concatenate((x, x[:200], np.eye(12)[r.integers(0, 12, 300)] * np.repeat([1.0, 2.0], 150)[:, None]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for q in neighbours.nearest(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got[q.query_id].append((q.vec_id, q.score))
+    assert set(got) == set(range(0, len(x), 20))
+    for q in got:
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.sort(s)[::-1][:20]
+        assert np.allclose([v for _, v in got[q]], best, rtol=1e-12, atol=0) and len({i for i, _ in got[q]}) == 20
+        assert all(abs(s[i] - v) <= 1e-12 * abs(v) for i, v in got[q])
+
+
+def test_exact_check_keeps_what_reaches_the_floor():
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(5000, 6)), r.normal(size=(30, 6))
+    x[100:4000] = x[100] + 1e-9 * r.normal(size=(3900, 6))
+    names = r.permutation(5000).astype(np.int64)
+    s = q @ x.T
+    want = [np.lexsort((names, -a))[:25] for a in s]
+    for floor in (np.full(30, -np.inf), np.sort(s, 1)[:, -25] - 1e-9, np.full(30, 1e9)):
+        row, ids, near = neighbours._reached(names, x, q, floor, 25, wide=700, high=7)
+        for i in range(30):
+            assert ids[row == i].tolist() == (names[want[i]].tolist() if floor[i] < 1e9 else [])
+            assert np.allclose(near[row == i], s[i, want[i]][: (row == i).sum()], rtol=1e-12)
