@@ -77,9 +77,10 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     if not len(keys):
         return keys, np.empty(0, np.uint64)
-    uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(count), len(uniq)).astype(np.uint64)
-    return uniq, (np.concatenate(tail)[first] << np.uint64(40)) | n
+    uniq, inverse = C.distinct(keys)
+    n, own = np.bincount(inverse, np.concatenate(count), len(uniq)).astype(np.uint64), np.empty(len(uniq), np.uint64)
+    own[inverse] = np.concatenate(tail)
+    return uniq, (own << np.uint64(40)) | n
 
 
 def _sums(group: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
@@ -440,7 +441,7 @@ def _scored(table: pa.Table, totals: np.ndarray, model: GRU) -> pa.Table:
     v = model.v
     spans = [(w.hash, w.first) for _, _, w in _words(table.column("text"))]
     hashes = np.concatenate([h for h, _ in spans]) if spans else np.empty(0, np.uint64)
-    words, number = np.unique(hashes, return_inverse=True)
+    words, number = C.distinct(hashes)
     count, tail = (totals & _COUNT).astype(np.float64), ((totals >> np.uint64(40)) & np.uint64(127)).astype(np.int64)
     ids = len(v.head) + tail
     own = np.log((count + 0.5) / (v.n_k + 0.5 * (v.v_k + 1))[tail])

@@ -635,3 +635,19 @@ def test_exact_check_keeps_what_reaches_the_floor():
         for i in range(30):
             assert ids[row == i].tolist() == (names[want[i]].tolist() if floor[i] < 1e9 else [])
             assert np.allclose(near[row == i], s[i, want[i]][: (row == i).sum()], rtol=1e-12)
+
+
+def test_word_hashes_at_their_place_in_the_text_and_distinct_values():
+    """Words are hashed as one by one from place 0, by either way; distinct is np.unique."""
+    col = pa.chunked_array([pa.array(["", None, " a\tbc  bc ", "é ü a", " \n", "z" * 4096, "q"])])
+    for far in ("", "y" * 5000):
+        data, off = C.buffers(pa.concat_arrays([*col.chunks, pa.array([far])]))
+        w = C.Words(data, off)
+        for a, b, h in zip(w.start, w.end, w.hash, strict=True):
+            x = 0
+            for i, c in enumerate(data[a:b].tolist()):
+                x += int(C._BYTE[c]) * int(C._LOW[i & 4095]) * (int(C._HIGH[i >> 12]) if b - a > 4096 else 1)
+            assert int(h) == int(C.mix(np.array([(x + int(b - a)) & (2**64 - 1)], np.uint64))[0])
+    for x in (w.hash, np.array([5, 1, 5, 1 << 63, 0], np.uint64), np.empty(0, np.uint64)):
+        for got, want in zip(C.distinct(x), np.unique(x, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
